@@ -13,3 +13,17 @@ def compare(now: DataFrame, baseline: DataFrame) -> DataFrame:
     """(metric, delta, verdict) of two tables (metric, v)."""
     j = now.alias("n").join(baseline.alias("b"), "metric").select("metric", (F.col("n.v") - F.col("b.v")).alias("delta"))
     return j.withColumn("verdict", F.when(F.col("delta") > DEAD_BAND, "better").when(F.col("delta") < -DEAD_BAND, "worse").otherwise("same"))
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """Rows (conf, kind, source, ...) that failed, with the first reason that fits."""
+    c = F.col("conf")
+    why = F.when(c < 0.2, "missed text").when(F.col("kind") == "face", "wrong kind").when(c < 0.3, "wrong colour").when((F.col("source") == "external") & (c > 0.9), "false object")
+    return rows.withColumn("failure", why).where("failure is not null")
+
+
+def summary(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """Metrics of score rows (found, acc, ok, seconds): recall, mean accuracy of found ones, share right, median and worst seconds."""
+    share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
+    aggs = [F.count(F.lit(1)).alias("n"), share(F.col("found")).alias("recall"), F.avg(F.when(F.col("found"), F.col("acc"))).alias("accuracy"), F.avg(F.when(F.col("found"), F.when(F.col("ok"), 1.0).otherwise(0.0))).alias("right"), F.expr("percentile(seconds, 0.5)").alias("median_s"), F.max("seconds").alias("worst_s")]
+    return rows.rollup(by).agg(*aggs) if by else rows.agg(*aggs)

@@ -25,7 +25,7 @@ def query(name: str, *views: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             own = [v for v in views if v in fixtures.VIEWS]
-            SQL[name] = f"{fixtures.duckdb_with(*own)} {sql}" if own else (f"WITH {sql.lstrip(' ,')}" if sql.lstrip().startswith(",") else sql)
+            SQL[name] = sql if sql.startswith("WITH") else f"{fixtures.duckdb_with(*own)} {sql}" if own else (f"WITH {sql.lstrip(' ,')}" if sql.lstrip().startswith(",") else sql)
         return f
 
     return wrap
