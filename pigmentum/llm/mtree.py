@@ -144,12 +144,13 @@ def _search_block(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
             tree = MTree(x)
             for i, row in zip(queries["vec_id"].tolist(), q, strict=True):
                 out += [(i, j, int(s)) for s, j in tree.search(row, k, ids, i)]
-        else:  # doubles can't hold the products: whole numbers of any size, clipped to a long at the end
+        else:  # doubles can't hold the products: whole numbers of any size, clipped to a long before they are ranked
             ints = [list(map(int, v)) for v in vectors]
             for i, v in zip(queries["vec_id"].tolist(), wanted, strict=True):
                 v = list(map(int, v))
-                best = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(v, w, strict=False)), int(j)) for j, w in zip(ids, ints, strict=True) if j != i))
-                out += [(i, j, max(min(-s, (1 << 63) - 1), -1 << 63)) for s, j in best]
+                product = lambda w: max(min(sum(a * b for a, b in zip(v, w, strict=False)), (1 << 63) - 1), -1 << 63)  # noqa: B023, E731
+                best = heapq.nsmallest(k, ((-product(w), int(j)) for j, w in zip(ids, ints, strict=True) if j != i))
+                out += [(i, j, -s) for s, j in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 

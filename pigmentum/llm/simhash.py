@@ -70,6 +70,22 @@ def embedding(fp: Column, width: int = 2) -> Column:
     return out
 
 
+def _steps(near: Column, i: int, width: int) -> list[Column]:
+    """The embeddings one step up and one step down in segment i, where there is such a count."""
+    rest = ~(((1 << width) - 1) << (i * width)) & ((1 << 64) - 1)
+    others = F.lit(rest - (1 << 64) if rest >> 63 else rest).cast("long")
+
+    def at(x: Column) -> Column:
+        return F.shiftrightunsigned(x, i * width).bitwiseAND(F.lit((1 << width) - 1))
+
+    def put(x: Column, n: Column) -> Column:
+        return x.bitwiseAND(others).bitwiseOR(F.shiftleft(n, i * width))
+
+    up = F.transform(F.filter(near, lambda x: at(x) < width), lambda x: put(x, at(x) + 1))
+    down = F.transform(F.filter(near, lambda x: at(x) > 0), lambda x: put(x, at(x) - 1))
+    return [up, down]
+
+
 def cells(fps: DataFrame, bits: int, groups: int, width: int = 2) -> DataFrame:
     """(grp, cell, fp): every cell of every group's grid that holds the fingerprint or lies within bits // groups of it."""
     segments, reach = 64 // width, bits // groups
@@ -82,12 +98,7 @@ def cells(fps: DataFrame, bits: int, groups: int, width: int = 2) -> DataFrame:
         for _ in range(reach):  # one more step along any axis
             steps = [near]
             for i in own:
-                rest = ~(((1 << width) - 1) << (i * width)) & ((1 << 64) - 1)
-                rest = F.lit(rest - (1 << 64) if rest >> 63 else rest).cast("long")
-                at = lambda x, i=i: F.shiftrightunsigned(x, i * width).bitwiseAND(F.lit((1 << width) - 1))
-                put = lambda x, n, i=i, rest=rest: x.bitwiseAND(rest).bitwiseOR(F.shiftleft(n, i * width))
-                steps.append(F.transform(F.filter(near, lambda x, at=at: at(x) < width), lambda x, at=at, put=put: put(x, at(x) + 1)))
-                steps.append(F.transform(F.filter(near, lambda x, at=at: at(x) > 0), lambda x, at=at, put=put: put(x, at(x) - 1)))
+                steps += _steps(near, i, width)
             near = F.array_distinct(F.concat(*steps))
         parts.append(F.struct(F.lit(g).alias("grp"), near.alias("near")))
     dealt = fps.select("fp", F.explode(F.array(*parts)).alias("p"))
