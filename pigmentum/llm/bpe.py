@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -87,9 +88,8 @@ class ByteBpe:
     def __init__(self, path: str, leaf_bytes: int = LEAF_BYTES):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.hf, self.leaf, self.pattern = Tokenizer.from_file(path), max(4, leaf_bytes), PATTERN
+        self.path, self.leaf, self.pattern = path, max(4, leaf_bytes), PATTERN
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         of, vocab = _byte_chars(), spec["model"]["vocab"]
@@ -108,10 +108,17 @@ class ByteBpe:
         self.id_of_rank = np.array([vocab["".join(c)] for c in dict.fromkeys([*(c for c in of if c in vocab), *merged])], "<u4")
         self.same_ids = bool((self.id_of_rank == np.arange(len(self.id_of_rank))).all())
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.vocab, self.raw, self.length = vocab, raw, np.array([len(b) for b in self.bytes_of], np.int64)
+        self.length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.pieces = _Pieces(self._merge)
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    @cached_property
+    def hf(self):
+        """The library's own tokenizer; loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _merge(self, piece: str) -> bytes:
         ids = bytes(self.core._core_bpe.encode_to_tiktoken_buffer(piece, _NONE))
         return ids if self.same_ids else self.id_of_rank[np.frombuffer(ids, "<u4")].tobytes()
@@ -205,22 +212,29 @@ def load(path: str | None = None, leaf_bytes: int = LEAF_BYTES) -> ByteBpe:
     return _LOADED[key]
 
 
+#: Texts encoded at once, so that a batch's token arrays stay small.
+GROUP = 128
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None = None, leaf_bytes: int = LEAF_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, ids, decoded) of batches (doc_id, text): the operator's work inside a worker.
+
+    Callers that only need something derived from ids and texts put it behind this in the same pass.
+    """
+    bpe = load(path, leaf_bytes)
+    for b in batches:
+        for at in range(0, b.num_rows, GROUP):
+            some = b.slice(at, GROUP)
+            ids = [bpe.encode(x) for x in texts_of(some, 1)]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = pa.array(np.concatenate(ids).astype(np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """doc_id, ids array<int>, decoded string: every text's tokens and what they decode to.
 
     A null text counts as empty and gives no ids and an empty decoded text. Rows repeat as they
     are; other columns aren't read. Works row by row, without a shuffle.
     """
-
-    def run(batches):
-        bpe = load(path, leaf_bytes)
-        for b in batches:
-            texts = texts_of(b, 1)
-            # few texts at once, so that a batch's token arrays stay small
-            for at in range(0, len(texts), 256):
-                ids = [bpe.encode(x) for x in texts[at : at + 256]]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = pa.array(np.concatenate(ids).astype(np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 256], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return map_batches(docs, ["doc_id", "text"], run, "doc_id long, ids array<int>, decoded string")
+    return map_batches(docs, ["doc_id", "text"], lambda batches: encoded(batches, path, leaf_bytes), "doc_id long, ids array<int>, decoded string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, licenses, lm, mtree, packing, quality, simhash, token_counts, urls
-from .common import bucket, docs
+from .common import bucket, docs, map_batches
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +22,18 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_decode(docs(spark, sf_dir))
-    digest = lambda x: F.sha2(x.cast("binary"), 256)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+    """The operator's ids and decoded texts as digests, taken in the same pass: only digests leave the workers."""
+
+    def digests(batches):
+        for b in bpe.encoded(batches):
+            ids = b.column(1)
+            flat, ends = ids.values.to_pylist(), ids.offsets.to_pylist()
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            own = [sha(",".join(map(str, flat[s:e]))) for s, e in zip(ends, ends[1:], strict=False)]
+            n = pa.array([e - s for s, e in zip(ends, ends[1:], strict=False)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(own, pa.string()), pa.array(map(sha, b.column(2).to_pylist()), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_batches(docs(spark, sf_dir), ["doc_id", "text"], digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
