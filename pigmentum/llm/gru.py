@@ -15,6 +15,8 @@ import numpy as np
 
 #: Hidden units, words a class, words in the vocabulary, steps of a window, documents side by side.
 HIDDEN, SIDE, VOCAB, STEPS, LANES = 16, 64, 4096, 16, 512
+#: Windows are longer in scoring: no gradients are kept, and the output layer's many small products grow fewer.
+SCORE_STEPS = 64
 UNK, END = 0, 1
 RATE, CLIP, TRAIN_LANES = 0.05, 1.0, 64
 _F = np.float32
@@ -101,7 +103,7 @@ def _by_class(cls: np.ndarray):
     return zip(cls[order[edges]].tolist(), np.split(order, edges[1:]), strict=True) if len(order) else ()
 
 
-def log_likelihoods(p: dict, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
+def log_likelihoods(p: dict, docs: list[np.ndarray], lanes: int = LANES, steps: int = SCORE_STEPS) -> np.ndarray:
     """Natural log-likelihood of each document (an array of word numbers that ends with END)."""
     total = np.zeros(len(docs))
     if not docs:
