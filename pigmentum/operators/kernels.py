@@ -400,21 +400,22 @@ def fit_tween(samples: np.ndarray, starts: tuple[float, float], ends: tuple[floa
     least-squares solution in closed form.
     """
     t, shift, o = samples[:, 0], samples[:, 1:4] - np.array([0, 0, 1]), samples[:, 4]
-    best = (np.inf, {"t0": starts[0], "t1": ends[1], "easing": "ease-out", "dx": 0.0, "dy": 0.0, "scale": 1.0})
-    for t0 in np.linspace(*starts, 5):
-        for t1 in np.linspace(*ends, 5):
-            if t1 - t0 < 0.05:
-                continue
-            for curve in CURVES:
-                q = eased(curve, (t - t0) / (t1 - t0))
-                q = q if entering else 1 - q
-                rest, weight = 1 - q, o * o
-                norm = float((weight * rest * rest).sum())
-                off = (weight * rest) @ shift / norm if norm > 1e-6 else np.zeros(3)
-                error = float((((o - q) / 0.1) ** 2).sum() + (weight[:, None] * ((shift - rest[:, None] * off) / np.array([2, 2, 0.03])) ** 2).sum())
-                if error < best[0]:
-                    best = error, {"t0": float(t0), "t1": float(t1), "easing": curve, "dx": float(off[0]), "dy": float(off[1]), "scale": 1 + float(off[2])}
-    return best[1]
+    fallback = {"t0": starts[0], "t1": ends[1], "easing": "ease-out", "dx": 0.0, "dy": 0.0, "scale": 1.0}
+    t0, t1 = (x.ravel() for x in np.meshgrid(np.linspace(*starts, 5), np.linspace(*ends, 5), indexing="ij"))
+    t0, t1 = t0[t1 - t0 >= 0.05], t1[t1 - t0 >= 0.05]
+    if not len(t0) or not len(t):
+        return fallback
+    x = (t[None] - t0[:, None]) / (t1 - t0)[:, None]  # (candidates, samples)
+    q = np.stack([eased(curve, x) for curve in CURVES], 1)  # (candidates, curves, samples)
+    q = q if entering else 1 - q
+    rest, weight = 1 - q, o * o
+    norm = (weight * rest * rest).sum(-1)
+    off = np.where(norm[..., None] > 1e-6, (weight * rest) @ shift / np.maximum(norm, 1e-12)[..., None], 0)
+    miss = (shift - rest[..., None] * off[..., None, :]) / np.array([2, 2, 0.03])
+    error = (((o - q) / 0.1) ** 2).sum(-1) + (weight[:, None] * miss**2).sum((-1, -2))
+    i, j = np.unravel_index(int(error.argmin()), error.shape)  # the first of equals
+    dx, dy, ds = off[i, j].tolist()
+    return {"t0": float(t0[i]), "t1": float(t1[i]), "easing": list(CURVES)[j], "dx": dx, "dy": dy, "scale": 1 + ds}
 
 
 def fit_motion(samples: np.ndarray, end: float, to_scene: float, size: float, hidden: float = 0.08) -> list[dict]:

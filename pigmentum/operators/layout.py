@@ -109,7 +109,8 @@ def symmetry(el: DataFrame, canvas: tuple[float, float], cells: int = 12, key: s
         F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("gx") >= cells / 2, F.col("area"))), F.lit(0.0))).alias("b"),
     )
     s = cell.groupBy(key).agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("diff"), F.sum(F.col("a") + F.col("b")).alias("mass"))
-    return s.select(key, round_to(F.when(F.col("mass") > 0, F.greatest(F.lit(0.0), 1 - F.col("diff") / F.col("mass"))).otherwise(1.0), 2).alias("symmetry"))
+    # a hair above, so that exact halves don't depend on the order of the sums
+    return s.select(key, round_to(F.when(F.col("mass") > 0, F.greatest(F.lit(0.0), 1 - F.col("diff") / F.col("mass"))).otherwise(1.0) + 1e-9, 2).alias("symmetry"))
 
 
 def baseline(texts: DataFrame, key: str = "pid", size: str = "size") -> DataFrame:

@@ -43,7 +43,7 @@ GRID = f"""{MARGINS}, {COLS}, {ROWS}, cs AS (SELECT pid, count(*) AS n, median(b
 ALIGN = """v AS (SELECT pid, count(*) FILTER (vote = 'left') AS l, count(*) FILTER (vote = 'center') AS c, count(*) FILTER (vote = 'right') AS r FROM (SELECT pid, CASE WHEN abs(x + w / 2 - 300) < 24 THEN 'center' WHEN abs(x - lft) < 18 THEN 'left' WHEN abs(x + w - (600 - rgt)) < 18 THEN 'right' END AS vote FROM el JOIN m USING (pid)) GROUP BY pid),
   al AS (SELECT pid, CASE WHEN greatest(l, c, r) / greatest(1.0, l + c + r) > 0.55 THEN CASE WHEN l >= c AND l >= r THEN 'left' WHEN c >= r THEN 'center' ELSE 'right' END ELSE 'mixed' END AS alignment FROM v)"""
 SYM = f"""k AS (SELECT i FROM range(12) t(i)), occ AS (SELECT pid, a.i AS gx, b.i AS gy, least(1, sum(greatest(0, least((a.i + 1) * 50.0, x + w) - greatest(a.i * 50.0, x)) * greatest(0, least((b.i + 1) * 50.0, y + h) - greatest(b.i * 50.0, y)) / 2500)) AS o FROM el CROSS JOIN k a CROSS JOIN k b GROUP BY ALL),
-  sy AS (SELECT p.pid, {r('CASE WHEN sum(p.o + q.o) > 0 THEN greatest(0, 1 - sum(abs(p.o - q.o)) / sum(p.o + q.o)) ELSE 1 END', 2)} AS symmetry FROM occ p JOIN occ q ON p.pid = q.pid AND p.gy = q.gy AND q.gx = 11 - p.gx WHERE p.gx < 6 GROUP BY p.pid)"""
+  sy AS (SELECT p.pid, {r('CASE WHEN sum(p.o + q.o) > 0 THEN greatest(0, 1 - sum(abs(p.o - q.o)) / sum(p.o + q.o)) ELSE 1 END + 1e-9', 2)} AS symmetry FROM occ p JOIN occ q ON p.pid = q.pid AND p.gy = q.gy AND q.gx = 11 - p.gx WHERE p.gx < 6 GROUP BY p.pid)"""
 BASE = f"bl AS (SELECT pid, greatest(4, {whole('list_sort(list(size))[CAST(floor(count(*) / 3) AS INT) + 1] * 1.25 / 4')} * 4) AS baseline FROM fx_texts WHERE source = 'local' GROUP BY pid)"
 TOPS = f"hi AS (SELECT * FROM (SELECT pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY weight DESC, src, ord) AS INT) AS place, src, ord, label, {r('weight', 2)} AS weight FROM el) WHERE place <= 10)"
 
