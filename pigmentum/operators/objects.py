@@ -40,3 +40,17 @@ def kind(canvas: tuple[float, float]) -> Column:
         .when((a > 0.02) & (a < 0.35) & (c("fill") > 0.45) & (F.abs(cx - 0.5) < 0.3), "product")
         .otherwise("object")
     )
+
+
+def letter_blobs(blobs: DataFrame, width: float, height: float, key: str = "pid") -> DataFrame:
+    """Blobs (x, y, w, h, area) that can be letters: no frames around the page, nothing huge, no thin rings, no panels around three others."""
+    c = F.col
+    frame = (c("w") > 0.9 * width) & (c("h") > 0.9 * height)
+    huge = c("h") > 0.5 * height
+    ring_ = (c("area") < 0.12 * c("w") * c("h")) & (F.least("w", "h") > 0.05 * max(width, height))
+    some = blobs.where(~(frame | huge | ring_))
+    a, b = some.alias("a"), some.alias("b")
+    inner = (F.col("b.x") > F.col("a.x")) & (F.col("b.y") > F.col("a.y")) & (F.col("b.x") + F.col("b.w") < F.col("a.x") + F.col("a.w")) & (F.col("b.y") + F.col("b.h") < F.col("a.y") + F.col("a.h"))
+    big = F.least("a.w", "a.h") > 0.015 * max(width, height)
+    panels = a.where(big).join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & inner).groupBy(f"a.{key}", "a.ord").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return some.join(panels, [key, "ord"], "left_anti")

@@ -14,11 +14,17 @@ from .q_scalar import FAMILY_SQL, HSL_SQL, REDMEAN_SQL, lum_sql
 from .registry import query, r, whole
 
 CANVAS = (600.0, 600.0)
-LOCAL, EXTERNAL = F.col("source") == "local", F.col("source") == "external"
+def LOCAL():  # noqa: N802
+    return F.col("source") == "local"
+
+
+def EXTERNAL():  # noqa: N802
+    return F.col("source") == "external"
+
 
 
 def parts(texts, boxes):
-    return texts.where(LOCAL), boxes.where(EXTERNAL)
+    return texts.where(LOCAL()), boxes.where(EXTERNAL())
 
 
 def els(texts, boxes):
@@ -77,7 +83,7 @@ def agg13(t, b):
 
 @query("agg_14_baseline", "fx_texts", sql=f", {BASE} SELECT * FROM bl")
 def agg14(t):
-    return layout.baseline(t.where(LOCAL))
+    return layout.baseline(t.where(LOCAL()))
 
 
 def c100(x: str) -> str:
@@ -92,7 +98,7 @@ TYPO = f"""ty0 AS (SELECT pid, count(DISTINCT family) AS fam, count(DISTINCT wei
 
 @query("agg_15_typography_score", "fx_texts", sql=f", {TYPO} SELECT * FROM ty")
 def agg15(t):
-    return dna.typography(t.where(LOCAL))
+    return dna.typography(t.where(LOCAL()))
 
 
 TWINS = f"""pl0 AS (SELECT pid, list_reduce(list([struct_pack(ord := ord, r := r, g := g, b := b, cnt := CAST(cnt AS BIGINT))] ORDER BY cnt DESC, ord), lambda acc, x:
@@ -127,7 +133,7 @@ COLOUR = f"""{TWINS}, co0 AS (SELECT pid, avg(CASE WHEN 1.05 / ({lum_sql()} + 0.
 
 @query("agg_16_color_score", "fx_texts", "fx_palette", sql=f", {COLOUR} SELECT * FROM cl")
 def agg16(t, p):
-    return dna.colours(t.where(LOCAL), palette.build(p))
+    return dna.colours(t.where(LOCAL()), palette.build(p))
 
 
 LAYOUT = f"""{GRID}, {ALIGN}, {SYM}, {TOPS}, sp0 AS (SELECT pid, y - lag(y) OVER (PARTITION BY pid ORDER BY y, ord) AS gap FROM fx_texts WHERE source = 'local'),
@@ -150,7 +156,7 @@ def agg17(t, b):
 
 @query("agg_18_dna", "fx_texts", "fx_boxes", "fx_palette", sql=f"{LAYOUT}, {TYPO}, {COLOUR} SELECT pid, typography, color, layout, {c100('typography * 0.34 + color * 0.33 + layout * 0.33')} AS dna FROM ty JOIN cl USING (pid) JOIN la USING (pid)")
 def agg18(t, b, p):
-    j = dna.typography(t.where(LOCAL)).join(dna.colours(t.where(LOCAL), palette.build(p)), "pid").join(_layout(t, b), "pid")
+    j = dna.typography(t.where(LOCAL())).join(dna.colours(t.where(LOCAL()), palette.build(p)), "pid").join(_layout(t, b), "pid")
     return j.select("pid", "typography", "color", "layout", dna.overall(F.col("typography"), F.col("color"), F.col("layout")).alias("dna"))
 
 
@@ -219,7 +225,7 @@ def top04(p):
 def top05(t, b):
     from ..operators.scene import z_order
 
-    return z_order(t.where(LOCAL), b.where(EXTERNAL)).select("pid", "src", "ord", "z")
+    return z_order(t.where(LOCAL()), b.where(EXTERNAL())).select("pid", "src", "ord", "z")
 
 
 @query("top_06_recent_first", "fx_projects", sql="SELECT id, CAST(row_number() OVER (ORDER BY updated_at DESC NULLS LAST, id) AS INT) AS place FROM fx_projects ORDER BY place LIMIT 50")
@@ -241,7 +247,7 @@ def set02(b):
 
 @query("set_03_except_present", "fx_boxes", sql="SELECT pid, kind FROM fx_boxes WHERE source = 'external' EXCEPT SELECT pid, kind FROM fx_boxes WHERE source = 'local'")
 def set03(b):
-    return b.where(EXTERNAL).select("pid", "kind").distinct().join(b.where(LOCAL).select("pid", "kind").distinct(), ["pid", "kind"], "left_anti")
+    return b.where(EXTERNAL()).select("pid", "kind").distinct().join(b.where(LOCAL()).select("pid", "kind").distinct(), ["pid", "kind"], "left_anti")
 
 
 @query("agg_01_count_by_key", "fx_boxes", sql="SELECT kind, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, min(pid * 100 + ord)) AS INT) AS place FROM fx_boxes GROUP BY kind")

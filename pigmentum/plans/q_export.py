@@ -12,13 +12,15 @@ from ..operators import export, library, motion, scene, timeline
 from .q_design import HEX
 from .registry import query, r, whole
 
-RGB = tuple(F.col(c) for c in "rgb")
+def RGB():  # noqa: N802
+    return tuple(F.col(c) for c in "rgb")
+
 NUM = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS STRING) ELSE CAST({x} AS STRING) END"
 XML = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
 def filled(layers):
-    return layers.withColumn("fill", to_hex(*RGB))
+    return layers.withColumn("fill", to_hex(*RGB()))
 
 
 _FRAME = f"""'id="' || id || '" x="' || {NUM('x')} || '" y="' || {NUM('y')} || '" width="' || {NUM('w')} || '" height="' || {NUM('h')} || '"'"""
@@ -224,13 +226,15 @@ def src06(s):
     return s.where((F.col("i") % 2 == 0) & (F.col("r") + F.col("g") + F.col("b") >= 128)).select("vec_id", "i", "r", "g", "b")
 
 
-PICK = F.col("z") == F.col("pid") % 4
+def PICK():  # noqa: N802
+    return F.col("z") == F.col("pid") % 4
+
 _ORD = "CAST(row_number() OVER (PARTITION BY pid ORDER BY o, z) - 1 AS INT) AS z"
 
 
 @query("edt_01_update_layer", "fx_layers", sql="SELECT id, CASE WHEN z = pid % 4 THEN 'Renamed' ELSE name END AS name, CASE WHEN z = pid % 4 THEN 0.5 ELSE opacity END AS opacity FROM fx_layers")
 def edt01(layers):
-    return scene.patch(layers, PICK, name=F.lit("Renamed"), opacity=F.lit(0.5)).select("id", "name", "opacity")
+    return scene.patch(layers, PICK(), name=F.lit("Renamed"), opacity=F.lit(0.5)).select("id", "name", "opacity")
 
 
 def _reorder_sql(target: str) -> str:
@@ -239,17 +243,17 @@ def _reorder_sql(target: str) -> str:
 
 @query("edt_02_reorder_down", "fx_layers", sql=_reorder_sql("greatest(z - 1.5, fl + 0.5)"))
 def edt02(layers):
-    return scene.reorder(layers, PICK, "down").select("id", "z")
+    return scene.reorder(layers, PICK(), "down").select("id", "z")
 
 
 @query("edt_02_reorder_top", "fx_layers", sql=_reorder_sql("1e9"))
 def edt02b(layers):
-    return scene.reorder(layers, PICK, "top").select("id", "z")
+    return scene.reorder(layers, PICK(), "top").select("id", "z")
 
 
 @query("edt_03_remove", "fx_layers", sql=f"SELECT id, {_ORD} FROM (SELECT *, z AS o FROM fx_layers WHERE z <> pid % 4)")
 def edt03(layers):
-    return scene.remove(layers, PICK).select("id", "z")
+    return scene.remove(layers, PICK()).select("id", "z")
 
 
 _DUP = "SELECT pid, id, name, x, locked, z, CAST(z AS DOUBLE) AS o FROM fx_layers UNION ALL SELECT pid, id || '-copy', name || ' copy', x + 16, FALSE, z, z + 0.5 FROM fx_layers WHERE z = pid % 4"
@@ -257,7 +261,7 @@ _DUP = "SELECT pid, id, name, x, locked, z, CAST(z AS DOUBLE) AS o FROM fx_layer
 
 @query("edt_04_duplicate", "fx_layers", sql=f"SELECT id, name, x, locked, {_ORD} FROM ({_DUP})")
 def edt04(layers):
-    return scene.duplicate(layers, PICK).select("id", "name", "x", "locked", "z")
+    return scene.duplicate(layers, PICK()).select("id", "name", "x", "locked", "z")
 
 
 @query("edt_05_add_layer", "fx_layers", sql="SELECT id, z FROM fx_layers UNION ALL SELECT 'N' || CAST(pid AS STRING), CAST(count(*) AS INT) FROM fx_layers GROUP BY pid")
@@ -293,17 +297,17 @@ def edt09(p):
 @query("edt_10_resize_corner", "fx_layers", sql=f"""SELECT id, CASE WHEN p THEN {whole('x + w - nw')} ELSE x END AS x, CASE WHEN p THEN {whole('nw')} ELSE w END AS w, CASE WHEN p THEN {whole('nh')} ELSE h END AS h, CASE WHEN p AND type = 'text' THEN greatest(4, {whole('size * nh / h')}) ELSE size END AS size
   FROM (SELECT *, z = pid % 4 AND NOT locked AS p, greatest(8, w + 70.4) AS nw, greatest(8, h - 90.3) AS nh FROM fx_layers)""")
 def edt10(layers):
-    return scene.resize(layers, PICK, "sw", -70.4, -90.3).select("id", "x", "w", "h", "size")
+    return scene.resize(layers, PICK(), "sw", -70.4, -90.3).select("id", "x", "w", "h", "size")
 
 
 @query("edt_10_rotate_snap", "fx_layers", sql=f"SELECT id, CASE WHEN z = pid % 4 AND NOT locked THEN ({whole('(rotation * 5 - 40) / 15')} * 15 % 360 + 360) % 360 ELSE rotation END AS rotation FROM fx_layers")
 def edt10b(layers):
-    return scene.rotate(layers, PICK, F.col("rotation") * 5 - 40, snap=True).select("id", "rotation")
+    return scene.rotate(layers, PICK(), F.col("rotation") * 5 - 40, snap=True).select("id", "rotation")
 
 
 @query("edt_11_nudge", "fx_layers", sql=f"SELECT id, CASE WHEN z = pid % 4 AND NOT locked THEN {whole('x + 10')} ELSE x END AS x, CASE WHEN z = pid % 4 AND NOT locked THEN {whole('y - 1')} ELSE y END AS y FROM fx_layers")
 def edt11(layers):
-    return scene.move(layers, PICK, 10.0, -1.0).select("id", "x", "y")
+    return scene.move(layers, PICK(), 10.0, -1.0).select("id", "x", "y")
 
 
 @query("edt_12_new_text", "fx_texts", "fx_palette", sql=f"SELECT t.pid, {whole('600 * 0.3')} AS x, {whole('600 * 0.06')} AS size, arg_min(family, ord) AS family FROM fx_texts t GROUP BY t.pid")
@@ -314,7 +318,7 @@ def edt12(t, p):
 
 @query("edt_13_inspector", "fx_layers", sql="SELECT id, CASE WHEN z = pid % 4 THEN NOT locked ELSE locked END AS locked, CASE WHEN z = pid % 4 THEN (rotation + 345) % 360 ELSE rotation END AS rotation FROM fx_layers")
 def edt13(layers):
-    return scene.patch(layers, PICK, locked=~F.col("locked"), rotation=F.pmod(F.col("rotation") - 15, F.lit(360.0))).select("id", "locked", "rotation")
+    return scene.patch(layers, PICK(), locked=~F.col("locked"), rotation=F.pmod(F.col("rotation") - 15, F.lit(360.0))).select("id", "locked", "rotation")
 
 
 @query("win_09_motion_samples", "fx_timing", sql=f"SELECT vid, ord, {r('CASE WHEN t <= 0 THEN dx WHEN t >= 0.5 THEN 0 ELSE dx * (1 - t / 0.5) END')} AS dx, {r('CASE WHEN t <= 0 THEN scale WHEN t >= 0.5 THEN 1 ELSE scale + (1 - scale) * t / 0.5 END')} AS scale FROM (SELECT *, CAST(lid % 10 - 2 AS DOUBLE) / 10 AS t FROM fx_timing)")

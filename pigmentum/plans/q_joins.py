@@ -26,27 +26,39 @@ def line_sql(a: str, b: str) -> str:
     return f"(least({a}x + {a}w, {b}x + {b}w) - greatest({a}x, {b}x) > 0.7 * least({a}w, {b}w) AND least({a}y + {a}h, {b}y + {b}h) - greatest({a}y, {b}y) > 0.5 * least({a}h, {b}h))"
 
 
-A, B = box("a."), box("b.")
-LOCAL, EXTERNAL = F.col("source") == "local", F.col("source") == "external"
+def A():  # noqa: N802
+    return box("a.")
+
+
+def B():  # noqa: N802
+    return box("b.")
+
+def LOCAL():  # noqa: N802
+    return F.col("source") == "local"
+
+
+def EXTERNAL():  # noqa: N802
+    return F.col("source") == "external"
+
 SIDES = ", loc AS (SELECT * FROM fx_boxes WHERE source = 'local'), ext AS (SELECT * FROM fx_boxes WHERE source = 'external')"
 
 
 @query("join_01_iou", "fx_boxes", sql=f"SELECT a.pid, a.ord AS a, b.ord AS b, {r(iou_sql('a.', 'b.'))} AS iou FROM fx_boxes a JOIN fx_boxes b ON a.pid = b.pid AND a.ord < b.ord WHERE {inter_sql('a.', 'b.')} > 0")
 def join01(b):
     p = spatial.pairs(b, b, ["pid"], cell=150.0).where(F.col("a.ord") < F.col("b.ord"))
-    return p.where(geometry.overlap(A, B) > 0).select("a.pid", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), round_to(geometry.iou(A, B), 6).alias("iou"))
+    return p.where(geometry.overlap(A(), B()) > 0).select("a.pid", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), round_to(geometry.iou(A(), B()), 6).alias("iou"))
 
 
 @query("join_02_coverage_pad_scale", "fx_boxes", sql=f"""SELECT a.pid, a.ord AS a, b.ord AS b, {r(inter_sql('a.', 'b.') + ' / (a.w * a.h)')} AS coverage, {whole('greatest(0, a.x - 12) * 1.37')} AS px,
   {whole('(least(600, a.x + a.w + 12) - greatest(0, a.x - 12)) * 1.37')} AS pw FROM fx_boxes a JOIN fx_boxes b ON a.pid = b.pid AND b.ord = a.ord + 1""")
 def join02(b):
-    p = geometry.rounded(geometry.scaled(geometry.padded(A, 12, 600, 600), 1.37))
+    p = geometry.rounded(geometry.scaled(geometry.padded(A(), 12, 600, 600), 1.37))
     j = spatial.pairs(b, b, ["pid"]).where(F.col("b.ord") == F.col("a.ord") + 1)
-    return j.select("a.pid", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), round_to(geometry.coverage(A, B), 6).alias("coverage"), p[0].alias("px"), p[2].alias("pw"))
+    return j.select("a.pid", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), round_to(geometry.coverage(A(), B()), 6).alias("coverage"), p[0].alias("px"), p[2].alias("pw"))
 
 
 def _merge(b, least: float, fields: list[str], patch):
-    both = b.groupBy("pid").agg(*(F.array_sort(F.collect_list(F.when(side, F.struct("ord", "x", "y", "w", "h", *fields)))).alias(n) for side, n in ((LOCAL, "loc"), (EXTERNAL, "ext"))))
+    both = b.groupBy("pid").agg(*(F.array_sort(F.collect_list(F.when(side, F.struct("ord", "x", "y", "w", "h", *fields)))).alias(n) for side, n in ((LOCAL(), "loc"), (EXTERNAL(), "ext"))))
     merged = merge.merge_first(F.col("loc"), F.col("ext"), lambda k, x: merge.overlaps(k, x) > least, patch)
     return both.select("pid", F.posexplode(merged).alias("place", "e")).select("pid", "place", "e.*")
 
@@ -100,20 +112,20 @@ def join06(t):
 
 @query("join_07_same_line", "fx_boxes", sql=f"SELECT a.pid, a.ord AS a, b.ord AS b FROM fx_boxes a JOIN fx_boxes b ON a.pid = b.pid AND a.ord < b.ord AND {line_sql('a.', 'b.')}")
 def join07(b):
-    return spatial.pairs(b, b, ["pid"]).where((F.col("a.ord") < F.col("b.ord")) & geometry.same_line(A, B)).select("a.pid", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    return spatial.pairs(b, b, ["pid"]).where((F.col("a.ord") < F.col("b.ord")) & geometry.same_line(A(), B())).select("a.pid", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
 
 
 @query("join_08_text_antijoin", "fx_boxes", "fx_texts", sql=f"SELECT a.pid, a.ord, a.kind FROM fx_boxes a WHERE a.kind IN ('logo', 'object') AND NOT EXISTS (SELECT 1 FROM fx_texts b WHERE b.pid = a.pid AND b.source = 'external' AND {iou_sql('a.', 'b.')} > 0.1)")
 def join08(b, t):
-    return spatial.without(b.where(F.col("kind").isin("logo", "object")), t.where(EXTERNAL), ["pid"], geometry.iou(A, B) > 0.1).select("a.pid", "a.ord", "a.kind")
+    return spatial.without(b.where(F.col("kind").isin("logo", "object")), t.where(EXTERNAL()), ["pid"], geometry.iou(A(), B()) > 0.1).select("a.pid", "a.ord", "a.kind")
 
 
 @query("join_09_add_second_keyframe", "fx_texts", sql=f""", k1 AS (SELECT * FROM fx_texts WHERE source = 'local'), k2 AS (SELECT pid, ord, x * 1.1 AS x, y * 1.1 AS y, w * 1.1 AS w, h * 1.1 AS h, txt FROM fx_texts WHERE source = 'external')
   SELECT pid, ord, {r('x', 3)} AS x, txt, 1 AS keyframe FROM k1 UNION ALL SELECT pid, ord, {r('x', 3)} AS x, txt, 2 AS keyframe FROM k2 a WHERE NOT EXISTS (SELECT 1 FROM k1 b WHERE b.pid = a.pid AND b.txt = a.txt AND {iou_sql('a.', 'b.')} > 0.5)""")
 def join09(t):
-    k1 = t.where(LOCAL)
-    k2 = t.where(EXTERNAL).withColumns({c: F.col(c) * 1.1 for c in "xywh"})
-    new = spatial.without(k2, k1, ["pid", "txt"], geometry.iou(A, B) > 0.5)
+    k1 = t.where(LOCAL())
+    k2 = t.where(EXTERNAL()).withColumns({c: F.col(c) * 1.1 for c in "xywh"})
+    new = spatial.without(k2, k1, ["pid", "txt"], geometry.iou(A(), B()) > 0.5)
     show = lambda df, n: df.select("pid", "ord", round_to(F.col("x"), 3).alias("x"), "txt", F.lit(n).alias("keyframe"))
     return show(k1, 1).unionByName(show(new, 2))
 
@@ -134,38 +146,38 @@ def join11(t, frames):
 
 @query("join_12_sponsor_strip", "fx_boxes", sql="SELECT a.pid, a.ord, count(*) AS n FROM fx_boxes a JOIN fx_boxes b ON a.pid = b.pid AND abs(a.y + a.h / 2 - b.y - b.h / 2) < 24 AND abs(a.h - b.h) < 0.35 * a.h GROUP BY a.pid, a.ord HAVING count(*) >= 3")
 def join12(b):
-    near = (F.abs(A[1] + A[3] / 2 - B[1] - B[3] / 2) < 0.04 * 600) & (F.abs(A[3] - B[3]) < 0.35 * A[3])
+    near = (F.abs(A()[1] + A()[3] / 2 - B()[1] - B()[3] / 2) < 0.04 * 600) & (F.abs(A()[3] - B()[3]) < 0.35 * A()[3])
     return spatial.pairs(b, b, ["pid"]).where(near).groupBy("a.pid", "a.ord").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
 @query("join_13_panels", "fx_boxes", sql="SELECT a.pid, a.ord, count(*) AS n_inside FROM fx_boxes a JOIN fx_boxes b ON a.pid = b.pid AND b.x > a.x AND b.y > a.y AND b.x + b.w * 0.4 < a.x + a.w AND b.y + b.h * 0.4 < a.y + a.h GROUP BY a.pid, a.ord HAVING count(*) >= 2")
 def join13(b):
-    inner = (B[0], B[1], B[2] * 0.4, B[3] * 0.4)
-    return spatial.pairs(b, b, ["pid"]).where(geometry.contains(A, inner)).groupBy("a.pid", "a.ord").agg(F.count(F.lit(1)).alias("n_inside")).where("n_inside >= 2")
+    inner = (B()[0], B()[1], B()[2] * 0.4, B()[3] * 0.4)
+    return spatial.pairs(b, b, ["pid"]).where(geometry.contains(A(), inner)).groupBy("a.pid", "a.ord").agg(F.count(F.lit(1)).alias("n_inside")).where("n_inside >= 2")
 
 
 @query("join_14_text_share", "fx_boxes", "fx_texts", sql=f""", o AS (SELECT * FROM fx_boxes WHERE source = 'local'), n AS (SELECT i FROM range(16) t(i)),
   g AS (SELECT pid, ord, x + (i.i + 0.5) * w / 16 AS gx, y + (j.i + 0.5) * h / 16 AS gy FROM o CROSS JOIN n i CROSS JOIN n j)
   SELECT pid, ord, {r('avg(CASE WHEN EXISTS (SELECT 1 FROM fx_texts t WHERE t.pid = g.pid AND t.source = ' + "'external'" + ' AND gx BETWEEN t.x AND t.x + t.w AND gy BETWEEN t.y - 0.6 * t.h AND t.y + 1.6 * t.h) THEN 1.0 ELSE 0.0 END)')} AS share FROM g GROUP BY pid, ord""")
 def join14(b, t):
-    texts = merge.gathered(t.where(EXTERNAL), "pid", ["ord"], ["x", "y", "w", "h"], "texts")
+    texts = merge.gathered(t.where(EXTERNAL()), "pid", ["ord"], ["x", "y", "w", "h"], "texts")
     steps = F.array(*(F.lit(i + 0.5) for i in range(16)))
     inside = lambda gx, gy: F.exists(F.col("texts"), lambda q: gx.between(q["x"], q["x"] + q["w"]) & gy.between(q["y"] - 0.6 * q["h"], q["y"] + 1.6 * q["h"]))
     hits = F.aggregate(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.when(inside(F.col("x") + i * F.col("w") / 16, F.col("y") + j * F.col("h") / 16), 1).otherwise(0)))), F.lit(0), lambda s, v: s + v)
-    return b.where(LOCAL).join(texts, "pid", "left").select("pid", "ord", round_to(F.when(F.col("texts").isNull(), 0.0).otherwise(hits / 256), 6).alias("share"))
+    return b.where(LOCAL()).join(texts, "pid", "left").select("pid", "ord", round_to(F.when(F.col("texts").isNull(), 0.0).otherwise(hits / 256), 6).alias("share"))
 
 
 @query("join_15_has_text", "fx_boxes", "fx_texts", sql=f"SELECT a.pid, a.ord FROM fx_boxes a WHERE a.source = 'local' AND EXISTS (SELECT 1 FROM fx_texts b WHERE b.pid = a.pid AND b.source = 'external' AND {inter_sql('a.', 'b.')} / (b.w * b.h) > 0.6)")
 def join15(b, t):
-    return spatial.having(b.where(LOCAL), t.where(EXTERNAL), ["pid"], geometry.coverage(B, A) > 0.6).select("a.pid", "a.ord")
+    return spatial.having(b.where(LOCAL()), t.where(EXTERNAL()), ["pid"], geometry.coverage(B(), A()) > 0.6).select("a.pid", "a.ord")
 
 
 @query("join_16_ink_halo", "fx_boxes", "fx_texts", sql="""SELECT b.pid, b.ord, count(*) AS n FROM fx_boxes b JOIN fx_texts t ON t.pid = b.pid AND t.ord <> b.ord AND b.x + b.w / 2 BETWEEN t.x - greatest(4, 0.25 * t.h) AND t.x + t.w + greatest(4, 0.25 * t.h)
   AND b.y + b.h / 2 BETWEEN t.y - greatest(4, 0.25 * t.h) AND t.y + t.h + greatest(4, 0.25 * t.h) GROUP BY b.pid, b.ord""")
 def join16(b, t):
-    halo = F.greatest(F.lit(4.0), 0.25 * B[3])
-    px, py = A[0] + A[2] / 2, A[1] + A[3] / 2
-    near = px.between(B[0] - halo, B[0] + B[2] + halo) & py.between(B[1] - halo, B[1] + B[3] + halo) & (F.col("a.ord") != F.col("b.ord"))
+    halo = F.greatest(F.lit(4.0), 0.25 * B()[3])
+    px, py = A()[0] + A()[2] / 2, A()[1] + A()[3] / 2
+    near = px.between(B()[0] - halo, B()[0] + B()[2] + halo) & py.between(B()[1] - halo, B()[1] + B()[3] + halo) & (F.col("a.ord") != F.col("b.ord"))
     return spatial.pairs(b, t, ["pid"]).where(near).groupBy("a.pid", "a.ord").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -184,8 +196,8 @@ def join17(s):
    AND ({inter_sql('a.', 'b.')} / (b.w * b.h) >= 0.5 OR {inter_sql('a.', 'b.')} / (a.w * a.h) >= 0.5) WHERE a.source = 'local' GROUP BY a.pid, a.ord, a.txt)
   SELECT pid, ord, coalesce(pred, '') AS pred, n FROM p""")
 def join18(t):
-    a, b = t.where(LOCAL).alias("a"), t.where(EXTERNAL).alias("b")
-    hit = (geometry.coverage(B, A) >= 0.5) | (geometry.coverage(A, B) >= 0.5)
+    a, b = t.where(LOCAL()).alias("a"), t.where(EXTERNAL()).alias("b")
+    hit = (geometry.coverage(B(), A()) >= 0.5) | (geometry.coverage(A(), B()) >= 0.5)
     j = a.join(b, (F.col("a.pid") == F.col("b.pid")) & hit, "left")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("b.ord").isNotNull(), F.struct("b.x", "b.ord", "b.txt")))), lambda s: s["txt"]), " ")
     return j.groupBy("a.pid", "a.ord").agg(said.alias("pred"), F.count("b.ord").alias("n"))
@@ -193,7 +205,7 @@ def join18(t):
 
 @query("join_19_eval_object_match", "fx_boxes", sql=None)
 def join19(b):
-    g = b.groupBy("pid").agg(*(F.array_sort(F.collect_list(F.when(side, F.struct("ord", "x", "y", "w", "h")))).alias(n) for side, n in ((LOCAL, "want"), (EXTERNAL, "have"))))
+    g = b.groupBy("pid").agg(*(F.array_sort(F.collect_list(F.when(side, F.struct("ord", "x", "y", "w", "h")))).alias(n) for side, n in ((LOCAL(), "want"), (EXTERNAL(), "have"))))
     return g.select("pid", F.explode(merge.assign_best(F.col("want"), F.col("have"), merge.overlaps, 0.3)).alias("m")).select("pid", "m.ord", "m.other", round_to(F.col("m.score"), 6).alias("iou"))
 
 

@@ -14,7 +14,9 @@ from .q_joins import inter_sql
 from .q_scalar import REDMEAN_SQL
 from .registry import query, r
 
-RGB = tuple(F.col(c) for c in "rgb")
+def RGB():  # noqa: N802
+    return tuple(F.col(c) for c in "rgb")
+
 CL = "im AS (SELECT vec_id, list(v ORDER BY py * 8 + px) AS v FROM fx_pixels GROUP BY vec_id), ij AS (SELECT i, CAST(i % 8 AS INT) AS px, CAST(i // 8 AS INT) AS py FROM range(64) t(i))"
 AT = lambda dx, dy: f"v[CAST((py + ({dy})) * 8 + px + ({dx}) + 1 AS INT)]"
 
@@ -119,7 +121,7 @@ INK = f"""d AS (SELECT vec_id, i, r, g, b, {REDMEAN_SQL.format(a='s.', b='c.').r
 
 @query("agg_26_core_ink", "fx_samples", sql=f", {INK} SELECT vec_id, list_sort(list(r))[CAST(count(*) // 2 AS INT) + 1] AS r, list_sort(list(g))[CAST(count(*) // 2 AS INT) + 1] AS g, list_sort(list(b))[CAST(count(*) // 2 AS INT) + 1] AS b FROM co GROUP BY vec_id")
 def agg26(s):
-    d = s.withColumn("d", color.redmean(RGB, (F.lit(250),) * 3))
+    d = s.withColumn("d", color.redmean(RGB(), (F.lit(250),) * 3))
     far = F.sort_array(F.collect_list("d"))
     f = d.groupBy("vec_id").agg(far.alias("a")).select("vec_id", F.get("a", F.floor(F.size("a") * 0.97).cast("int")).alias("far"))
     core = d.join(f, "vec_id").where("far >= 30 AND d >= 0.8 * far")
@@ -138,7 +140,7 @@ def agg27(s):
   AND 128 - 0.168736 * r - 0.331264 * g + 0.5 * b BETWEEN 77 AND 127 AND 128 + 0.5 * r - 0.418688 * g - 0.081312 * b BETWEEN 133 AND 173 GROUP BY vec_id HAVING count(*) >= 1""")
 def agg28(s):
     x, y = F.col("i") % 5, F.floor(F.col("i") / 5).cast("int")
-    return s.where(color.is_skin(*RGB)).groupBy("vec_id").agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"), F.count(F.lit(1)).alias("n"))
+    return s.where(color.is_skin(*RGB())).groupBy("vec_id").agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"), F.count(F.lit(1)).alias("n"))
 
 
 @query("ras_12_ring_pixels", "fx_pixels", sql=f"SELECT vec_id, count(*) AS n, {r('avg(v) + 1e-9', 4)} AS v FROM fx_pixels WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6 AND NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5) GROUP BY vec_id")
@@ -278,7 +280,13 @@ def snk08(fx):
     return raster.per_row(video.frames(fx, ["f"], 16), one, "f bigint, valid boolean")
 
 
-A, B = box("a."), box("b.")
+def A():  # noqa: N802
+    return box("a.")
+
+
+def B():  # noqa: N802
+    return box("b.")
+
 
 
 @query("sc_16_object_kinds", "fx_boxes", sql="""SELECT pid, ord, CASE WHEN skin > 0.07 AND asp > 0.9 AND a > 0.03 THEN 'person' WHEN has_text AND asp < 0.5 AND fill > 0.75 AND a < 0.08 THEN CASE WHEN cy > 0.8 AND band THEN 'logo' ELSE 'object' END WHEN a < 0.06 AND compact AND flat THEN 'icon'
@@ -293,7 +301,7 @@ def sc16(b):
 
 @query("sc_17_candidate_regions", "fx_boxes", "fx_texts", sql=f"""SELECT a.pid, a.ord FROM fx_boxes a WHERE a.w * a.h / 360000 BETWEEN 0.004 AND 0.7 AND a.h / a.w BETWEEN 0.15 AND 6 AND a.conf > 0.15 AND coalesce((SELECT max({inter_sql('a.', 'b.')} / (a.w * a.h)) FROM fx_texts b WHERE b.pid = a.pid AND b.ord <> a.ord), 0) < 0.5""")
 def sc17(b, t):
-    cover = b.alias("a").join(t.alias("b"), (F.col("a.pid") == F.col("b.pid")) & (F.col("a.ord") != F.col("b.ord"))).groupBy("a.pid", "a.ord").agg(F.max(overlap(A, B) / (A[2] * A[3])).alias("text_share"))
+    cover = b.alias("a").join(t.alias("b"), (F.col("a.pid") == F.col("b.pid")) & (F.col("a.ord") != F.col("b.ord"))).groupBy("a.pid", "a.ord").agg(F.max(overlap(A(), B()) / (A()[2] * A()[3])).alias("text_share"))
     return objects.candidates(b.join(cover, ["pid", "ord"], "left").withColumn("text_share", F.coalesce("text_share", F.lit(0.0))), 360000.0).select("pid", "ord")
 
 

@@ -8,7 +8,9 @@ from ..functions import color, easing, geometry, numeric, text
 from ..functions.numeric import half_up, round_to
 from .registry import query, r, whole
 
-RGB = tuple(F.col(c) for c in "rgb")
+def RGB():  # noqa: N802
+    return tuple(F.col(c) for c in "rgb")
+
 HSL_SQL = """hsl AS (
   SELECT *, greatest(r, g, b) / 255.0 AS hi, least(r, g, b) / 255.0 AS lo FROM (SELECT *, CAST(r AS DOUBLE) AS rr, CAST(g AS DOUBLE) AS gg, CAST(b AS DOUBLE) AS bb FROM {src})),
 hsl2 AS (SELECT *, CAST(floor(100 * (hi + lo) / 2 + 0.5) AS INT) AS l,
@@ -35,20 +37,20 @@ def hex_sql(p: str = "") -> str:
 
 @query("sc_01_hex_roundtrip", "fx_palette", sql=f"SELECT pid, ord, {hex_sql()} AS hex, r AS r2, g AS g2, b AS b2, (r // 16) * 17 AS r3, (g // 16) * 17 AS g3, (b // 16) * 17 AS b3 FROM fx_palette")
 def sc01(p):
-    p = p.withColumn("hex", color.to_hex(*RGB)).withColumn("back", color.from_hex(F.col("hex")))
+    p = p.withColumn("hex", color.to_hex(*RGB())).withColumn("back", color.from_hex(F.col("hex")))
     short = color.from_hex(F.concat(F.lit("#"), *(F.lower(F.hex(F.floor(F.col(c) / 16))) for c in "rgb")))
     return p.withColumn("short", short).select("pid", "ord", "hex", F.col("back.r").alias("r2"), F.col("back.g").alias("g2"), F.col("back.b").alias("b2"), F.col("short.r").alias("r3"), F.col("short.g").alias("g3"), F.col("short.b").alias("b3"))
 
 
 @query("sc_02_rgb_to_hsl", "fx_palette", sql=f", {HSL_SQL.format(src='fx_palette')} SELECT pid, ord, h, s, l FROM hsl2")
 def sc02(p):
-    return p.select("pid", "ord", color.hsl(*RGB).alias("x")).select("pid", "ord", "x.h", "x.s", "x.l")
+    return p.select("pid", "ord", color.hsl(*RGB()).alias("x")).select("pid", "ord", "x.h", "x.s", "x.l")
 
 
 @query("sc_03_contrast", "fx_palette", sql=f"SELECT pid, ord, {r(lum_sql())} AS luminance, {r(f'(1.05) / ({lum_sql()} + 0.05)')} AS on_white, {r(f'({lum_sql()} + 0.05) / 0.05')} AS on_black FROM fx_palette")
 def sc03(p):
     white, black = (F.lit(255),) * 3, (F.lit(0),) * 3
-    return p.select("pid", "ord", round_to(color.luminance(*RGB), 6).alias("luminance"), round_to(color.contrast(RGB, white), 6).alias("on_white"), round_to(color.contrast(RGB, black), 6).alias("on_black"))
+    return p.select("pid", "ord", round_to(color.luminance(*RGB()), 6).alias("luminance"), round_to(color.contrast(RGB(), white), 6).alias("on_white"), round_to(color.contrast(RGB(), black), 6).alias("on_black"))
 
 
 REDMEAN_SQL = "sqrt((2 + ({a}r + {b}r) / 2.0 / 256) * ({a}r - {b}r) * ({a}r - {b}r) + 4 * ({a}g - {b}g) * ({a}g - {b}g) + (2 + (255 - ({a}r + {b}r) / 2.0) / 256) * ({a}b - {b}b) * ({a}b - {b}b))"
@@ -62,7 +64,7 @@ def sc04(p):
 
 
 def with_hsl(p):
-    return p.withColumn("hsl", color.hsl(*RGB)).select("*", "hsl.*")
+    return p.withColumn("hsl", color.hsl(*RGB())).select("*", "hsl.*")
 
 
 @query("sc_05_color_name", "fx_palette", sql=f", {HSL_SQL.format(src='fx_palette')} SELECT pid, ord, {NAME_SQL} AS name FROM hsl2")
@@ -78,13 +80,13 @@ def sc06(p):
 @query("sc_07_skin_test", "fx_samples", sql="""SELECT vec_id, i, r > 95 AND g > 40 AND b > 20 AND r > g AND r > b AND r - least(g, b) > 15 AND abs(r - g) > 15
   AND 128 - 0.168736 * r - 0.331264 * g + 0.5 * b BETWEEN 77 AND 127 AND 128 + 0.5 * r - 0.418688 * g - 0.081312 * b BETWEEN 133 AND 173 AS skin FROM fx_samples""")
 def sc07(s):
-    return s.select("vec_id", "i", color.is_skin(*RGB).alias("skin"))
+    return s.select("vec_id", "i", color.is_skin(*RGB()).alias("skin"))
 
 
 @query("sc_08_saturation_smoothstep", "fx_samples", sql=f"""SELECT vec_id, i, {r("CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE 100.0 * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END")} AS saturation,
   {r("least(1, greatest(0, (r - 40) / 120.0)) * least(1, greatest(0, (r - 40) / 120.0)) * (3 - 2 * least(1, greatest(0, (r - 40) / 120.0)))")} AS soft FROM fx_samples""")
 def sc08(s):
-    return s.select("vec_id", "i", round_to(color.saturation(*RGB), 6).alias("saturation"), round_to(numeric.smoothstep(F.lit(40.0), F.lit(160.0), F.col("r").cast("double")), 6).alias("soft"))
+    return s.select("vec_id", "i", round_to(color.saturation(*RGB()), 6).alias("saturation"), round_to(numeric.smoothstep(F.lit(40.0), F.lit(160.0), F.col("r").cast("double")), 6).alias("soft"))
 
 
 @query("sc_09_clamp_round_gcd", "fx_boxes", sql=f"SELECT pid, ord, greatest(100, least(200, w)) AS clamped, {r('h / 7', 2)} AS rounded, CAST(gcd(CAST(w AS BIGINT), CAST(h AS BIGINT)) AS BIGINT) AS gcd FROM fx_boxes")
@@ -186,11 +188,13 @@ def sc22(t):
     return t.select("vid", "ord", x.alias("x"), curves).select("vid", "ord", "curve", round_to(easing.ease_any(F.col("curve"), F.col("x")), 6).alias("y"))
 
 
-KEYS = F.array(
-    F.struct(F.col("t_in").alias("t"), F.col("dx").alias("dx"), F.col("dy").alias("dy"), F.col("scale").alias("scale"), F.col("o_first").alias("opacity")),
-    F.struct((F.col("t_in") + 0.5).alias("t"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("scale"), F.lit(1.0).alias("opacity")),
-    F.struct(F.col("t_out").alias("t"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("scale"), F.col("o_last").alias("opacity")),
-)
+def KEYS():  # noqa: N802
+    return F.array(
+        F.struct(F.col("t_in").alias("t"), F.col("dx").alias("dx"), F.col("dy").alias("dy"), F.col("scale").alias("scale"), F.col("o_first").alias("opacity")),
+        F.struct((F.col("t_in") + 0.5).alias("t"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("scale"), F.lit(1.0).alias("opacity")),
+        F.struct(F.col("t_out").alias("t"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("scale"), F.col("o_last").alias("opacity")),
+    )
+
 ENTRANCE_SQL = """CASE WHEN o_first >= 0.05 THEN NULL WHEN abs(scale - 1) >= 0.06 AND sqrt(dx * dx + dy * dy) <= 0.25 * 40 THEN 'scale'
   WHEN abs(dy) >= 12 AND abs(dy) >= abs(dx) THEN CASE WHEN dy > 0 THEN 'slide-up' ELSE 'slide-down' END WHEN abs(dx) >= 12 THEN CASE WHEN dx > 0 THEN 'slide-left' ELSE 'slide-right' END
   WHEN abs(scale - 1) >= 0.06 THEN 'scale' ELSE 'fade' END"""
@@ -201,27 +205,27 @@ ENTRANCE_SQL = """CASE WHEN o_first >= 0.05 THEN NULL WHEN abs(scale - 1) >= 0.0
 def sc23(t):
     from ..operators.motion import state_at
 
-    s = state_at(F.slice(KEYS, 1, 2), F.lit(2.5))
+    s = state_at(F.slice(KEYS(), 1, 2), F.lit(2.5))
     shown = F.col("t").between(F.col("t_in"), F.col("t_out"))
     return t.withColumn("s", s).withColumn("t", F.lit(2.5)).select("vid", "ord", "t", F.when(shown, round_to(F.col("s.opacity"), 6)).otherwise(0.0).alias("opacity"), round_to(F.col("s.dx"), 6).alias("shift"))
 
 
 @query("sc_24_entrance", "fx_timing", sql=f"SELECT vid, ord, {ENTRANCE_SQL} AS entrance FROM fx_timing")
 def sc24(t):
-    return t.select("vid", "ord", easing.entrance(KEYS, F.lit(40.0)).alias("entrance"))
+    return t.select("vid", "ord", easing.entrance(KEYS(), F.lit(40.0)).alias("entrance"))
 
 
 @query("sc_25_motion_words", "fx_timing", sql=f"""SELECT vid, ord, nullif(concat_ws(' · ', CASE {ENTRANCE_SQL} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in easing.ENTRANCE_WORDS.items())} END,
   CASE WHEN o_last < 0.05 THEN 'fades out' END), '') AS motion FROM fx_timing""")
 def sc25(t):
-    return t.select("vid", "ord", easing.describe(KEYS, F.lit(40.0)).alias("motion"))
+    return t.select("vid", "ord", easing.describe(KEYS(), F.lit(40.0)).alias("motion"))
 
 
 @query("sc_26_retime", "fx_timing", sql=f"""SELECT vid, ord, {r('t_in + 0.25', 3)} AS new_in, {r('t_out', 3)} AS new_out, {r('t_in + 0.25', 3)} AS k1, {r("t_in + 0.5 + CASE WHEN t_in + 0.5 < (t_in + t_out) / 2 THEN 0.25 ELSE 0 END", 3)} AS k2, {r('t_out', 3)} AS k3 FROM fx_timing""")
 def sc26(t):
     from ..operators.motion import retime
 
-    x = retime(F.col("t_in"), F.col("t_out"), KEYS, "in", 0.25)
+    x = retime(F.col("t_in"), F.col("t_out"), KEYS(), "in", 0.25)
     return t.select("vid", "ord", x.alias("x")).select("vid", "ord", F.col("x.t_in").alias("new_in"), F.col("x.t_out").alias("new_out"), *(round_to(F.col("x.keys")[i]["t"], 3).alias(f"k{i + 1}") for i in range(3)))
 
 

@@ -24,3 +24,15 @@ def region_text(words: DataFrame, least: float, key: str = "pid") -> DataFrame:
     good = words.where((F.col("conf") > least) & (F.regexp_count("text", F.lit(r"[\p{L}\p{N}]")) >= 2))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda s: s["text"]), " ")
     return good.groupBy(key).agg(F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("x1"), F.avg("conf").alias("conf"), said.alias("text"))
+
+
+def statuses(results: DataFrame, limit_ms: int = 60_000) -> DataFrame:
+    """Provider rows (provider, enabled, duration_ms, error) with their status: skipped, error (also for time-outs) or ok."""
+    late = F.col("duration_ms") > limit_ms
+    return results.withColumn("status", F.when(~F.col("enabled"), "skipped").when(F.col("error").isNotNull() | late, "error").otherwise("ok"))
+
+
+def health(results: DataFrame) -> DataFrame:
+    """One row: how many providers are enabled, how many answered, and whether the engine can do without them."""
+    s = statuses(results)
+    return s.agg(F.count_if("enabled").alias("enabled"), F.count_if(F.col("status") == "ok").alias("ok"), F.lit(True).alias("local_engine"))
