@@ -14,11 +14,11 @@ from __future__ import annotations
 import numpy as np
 
 #: Hidden units, words a class, words in the vocabulary, steps of a window, documents side by side.
-HIDDEN, SIDE, VOCAB, STEPS, LANES = 16, 64, 4096, 16, 512
-#: Windows are longer in scoring: no gradients are kept, and the output layer's many small products grow fewer.
-SCORE_STEPS = 64
+HIDDEN, SIDE, VOCAB, STEPS, LANES = 16, 64, 4096, 32, 512
 UNK, END = 0, 1
-RATE, CLIP, TRAIN_LANES = 0.05, 1.0, 64
+RATE, CLIP, TRAIN_LANES = 0.1, 1.0, 128
+#: Logits within this bound can go to exp() without taking off their maximum.
+SAFE = 60
 _F = np.float32
 
 
@@ -32,8 +32,9 @@ def start(counts: np.ndarray, seed: int = 7, hidden: int = HIDDEN, side: int = S
     p = {k: (rng.standard_normal(s) * (0.3 if k in "xu" else 0.1)).astype(_F) for k, s in own.items()}
     c = counts.reshape(-1, side).astype(np.float64)
     with np.errstate(divide="ignore"):
-        p["cb"] = np.maximum(np.log(c.sum(axis=1)), -1e4).astype(_F)
-        p["wb"] = np.maximum(np.log(c), -1e4).astype(_F)  # numbers without a word are never predicted
+        of_class = np.maximum(np.log(c.sum(axis=1)), -1e4)
+        p["cb"] = (of_class - np.log(max(c.sum(), 1))).astype(_F)
+        p["wb"] = (np.maximum(np.log(c), -1e4) - of_class[:, None]).astype(_F)  # numbers without a word are never predicted
     return p
 
 
@@ -79,56 +80,90 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _forward(p: dict, before: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States (time, lane, hidden) after reading `before`; a document's first state starts from zero."""
-    hidden, steps = h.shape[1], len(before)
+    """States (time, hidden, lane) after reading `before`; a document's first state starts from zero.
+
+    Lanes lie along the last axis, so each gate's numbers are one stretch of memory.
+    """
+    hidden, steps, ut = len(h), len(before), np.ascontiguousarray(p["u"].T)
     out, saved = np.empty((steps, *h.shape), _F), []
-    x_all = p["x"][before]
+    x_all, starts = np.ascontiguousarray(p["x"][before].transpose(0, 2, 1)), first.any(axis=1)
     for t in range(steps):
-        if first[t].any():
-            h = np.where(first[t][:, None], _F(0), h)
-        g, x = h @ p["u"], x_all[t]
-        s = np.tanh((x[:, : 2 * hidden] + g[:, : 2 * hidden]) * _F(0.5)) * _F(0.5) + _F(0.5)
-        z, r = s[:, :hidden], s[:, hidden:]
-        n = np.tanh(x[:, 2 * hidden :] + r * g[:, 2 * hidden :])
-        new = n + z * (h - n)
+        if starts[t]:
+            h = np.where(first[t], _F(0), h)
+        g, x = ut @ h, x_all[t]
+        s = x[: 2 * hidden] + g[: 2 * hidden]
+        s *= _F(0.5)
+        np.tanh(s, out=s)
+        s *= _F(0.5)
+        s += _F(0.5)
+        z, r = s[:hidden], s[hidden:]
+        n = r * g[2 * hidden :]
+        n += x[2 * hidden :]
+        np.tanh(n, out=n)
+        new = np.subtract(h, n, out=out[t])
+        new *= z
+        new += n
         if keep:
-            saved.append((h, z, r, n, g[:, 2 * hidden :]))
-        out[t] = h = new
+            saved.append((h, z, r, n, g[2 * hidden :]))
+        h = new
     return out, h, saved
 
 
-def _by_class(cls: np.ndarray):
-    order = np.argsort(cls, kind="stable")
-    edges = np.flatnonzero(np.diff(cls[order], prepend=-1))
-    return zip(cls[order[edges]].tolist(), np.split(order, edges[1:]), strict=True) if len(order) else ()
+def _rows(x: np.ndarray) -> np.ndarray:
+    """(time, numbers, lane) as one row of numbers per time and lane."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
+
+
+def _safe(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sum of exp(logits) stays a float for every state; states lie within -1 and 1."""
+    reach = np.abs(w).sum(axis=-2)
+    return bool((b + reach).max() < SAFE and ((b - reach).max(axis=-1) > -SAFE).all())
+
+
+def _exp(o: np.ndarray, safe: bool, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logits at `own`, and the rows' sums of exp; the logits are overwritten by exp of them."""
+    if not safe:
+        o -= o.max(axis=1, keepdims=True)
+    picked = o[at, own]
+    np.exp(o, out=o)
+    return picked, o @ np.ones(o.shape[1], _F)
+
+
+def _edges(cls: np.ndarray, kinds: int) -> list[tuple[int, int, int]]:
+    """(class, start, end) of every class in the sorted numbers."""
+    at = np.searchsorted(cls, np.arange(kinds + 1)).tolist()
+    return [(k, s, e) for k, (s, e) in enumerate(zip(at, at[1:], strict=False)) if s < e]
 
 
-def log_likelihoods(p: dict, docs: list[np.ndarray], lanes: int = LANES, steps: int = SCORE_STEPS) -> np.ndarray:
+def log_likelihoods(p: dict, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
     """Natural log-likelihood of each document (an array of word numbers that ends with END)."""
     total = np.zeros(len(docs))
     if not docs:
         return total
     words, first, doc, size = lanes_of(docs, lanes)
-    side = p["wb"].shape[1]
+    kinds, side = p["wb"].shape
     before = np.vstack([np.full((1, words.shape[1]), END, np.int32), words[:-1]])
     before[first] = END
-    h = np.zeros((words.shape[1], p["u"].shape[0]), _F)
+    h, numbers = np.zeros((p["u"].shape[0], words.shape[1]), _F), np.arange(words.shape[1] * steps)
+    safe_c, safe_w = _safe(p["cw"], p["cb"]), _safe(p["ww"], p["wb"])
     for at in range(0, len(words), steps):
         live = int((size > at).sum())
-        h = h[:live]
+        h = h[:, :live]
         span = slice(at, min(at + steps, len(words)))
         states, h, _ = _forward(p, before[span, :live], first[span, :live], h)
-        real = doc[span, :live] >= 0
-        hs, w, d = states[real], words[span, :live][real], doc[span, :live][real]
+        real = np.flatnonzero(doc[span, :live].ravel() >= 0)
+        real = real[np.argsort((words[span, :live].ravel()[real] // side).astype(np.int16), kind="stable")]
+        hs, w, d = _rows(states)[real], words[span, :live].ravel()[real], doc[span, :live].ravel()[real]
         cls, own = w // side, w % side
-        c = hs @ p["cw"] + p["cb"]
-        c -= c.max(axis=1, keepdims=True)
-        got = (c[np.arange(len(w)), cls] - np.log(np.exp(c).sum(axis=1))).astype(np.float64)
-        for k, rows in _by_class(cls):
-            o = hs[rows] @ p["ww"][k] + p["wb"][k]
-            o -= o.max(axis=1, keepdims=True)
-            got[rows] += o[np.arange(len(rows)), own[rows]] - np.log(np.exp(o).sum(axis=1))
-        total += np.bincount(d, weights=got, minlength=len(docs))
+        c = hs @ p["cw"]
+        c += p["cb"]
+        picked, sums = _exp(c, safe_c, numbers[: len(w)], cls)
+        for k, s, e in _edges(cls, kinds):
+            o = hs[s:e] @ p["ww"][k]
+            o += p["wb"][k]
+            more, times = _exp(o, safe_w, numbers[: e - s], own[s:e])
+            picked[s:e] += more - np.log(times)
+        total += np.bincount(d, weights=picked - np.log(sums), minlength=len(docs))
     return total
 
 
@@ -137,11 +172,11 @@ def train(p: dict, docs: list[np.ndarray], lanes: int = TRAIN_LANES, steps: int
     if not docs:
         return 0
     words, first, doc, size = lanes_of(docs, lanes)
-    hidden, side = p["u"].shape[0], p["wb"].shape[1]
+    hidden, (kinds, side) = p["u"].shape[0], p["wb"].shape
     before = np.vstack([np.full((1, words.shape[1]), END, np.int32), words[:-1]])
     before[first] = END
     seen = {k: np.full(v.shape, 1e-3, _F) for k, v in p.items()}
-    h = np.zeros((words.shape[1], hidden), _F)
+    h, numbers = np.zeros((hidden, words.shape[1]), _F), np.arange(words.shape[1] * steps)
 
     def step(k: str, grad: np.ndarray, rows=slice(None)) -> None:
         seen[k][rows] += grad * grad
@@ -151,53 +186,71 @@ def train(p: dict, docs: list[np.ndarray], lanes: int = TRAIN_LANES, steps: int
         live = int((size > at).sum())
         span = slice(at, min(at + steps, len(words)))
         prev, new = before[span, :live], first[span, :live]
-        states, h, saved = _forward(p, prev, new, h[:live], keep=True)
-        real = doc[span, :live] >= 0
-        hs, w = states[real], words[span, :live][real]
-        if not len(w):
+        states, h, saved = _forward(p, prev, new, h[:, :live], keep=True)
+        real = np.flatnonzero(doc[span, :live].ravel() >= 0)
+        if not len(real):
             continue
-        cls, own, unit = w // side, w % side, _F(1 / len(w))
-        c = hs @ p["cw"] + p["cb"]
-        c = np.exp(c - c.max(axis=1, keepdims=True))
-        c /= c.sum(axis=1, keepdims=True)
-        c[np.arange(len(w)), cls] -= 1
+        real = real[np.argsort((words[span, :live].ravel()[real] // side).astype(np.int16), kind="stable")]
+        hs, w = _rows(states)[real], words[span, :live].ravel()[real]
+        cls, own, unit, safe_w = w // side, w % side, _F(1 / len(w)), _safe(p["ww"], p["wb"])
+        c = hs @ p["cw"]
+        c += p["cb"]
+        _, sums = _exp(c, _safe(p["cw"], p["cb"]), numbers[: len(w)], cls)
+        c *= (unit / sums)[:, None]
+        c[numbers[: len(w)], cls] -= unit
         dh = c @ p["cw"].T
-        outputs = []
-        for k, rows in _by_class(cls):
-            part = hs[rows]
-            o = part @ p["ww"][k] + p["wb"][k]
-            o = np.exp(o - o.max(axis=1, keepdims=True))
-            o /= o.sum(axis=1, keepdims=True)
-            o[np.arange(len(rows)), own[rows]] -= 1
-            dh[rows] += o @ p["ww"][k].T
-            outputs.append((k, part.T @ o * unit, o.sum(axis=0) * unit))
-        grad_cw, grad_cb = hs.T @ c * unit, c.sum(axis=0) * unit
-        d_states = np.zeros_like(states)
-        d_states[real] = dh * unit
-        carry, grad_u = np.zeros((live, hidden), _F), np.zeros_like(p["u"])
-        dx = np.empty((len(states), live, 3 * hidden), _F)
+        grad_ww, grad_wb = np.zeros_like(p["ww"]), np.zeros_like(p["wb"])
+        for k, s, e in _edges(cls, kinds):
+            part = hs[s:e]
+            o = part @ p["ww"][k]
+            o += p["wb"][k]
+            _, sums = _exp(o, safe_w, numbers[: e - s], own[s:e])
+            o *= (unit / sums)[:, None]
+            o[numbers[: e - s], own[s:e]] -= unit
+            dh[s:e] += o @ p["ww"][k].T
+            grad_ww[k], grad_wb[k] = part.T @ o, o.sum(axis=0)
+        grad_cw, grad_cb = hs.T @ c, c.sum(axis=0)
+        d_states = np.zeros((len(states) * live, hidden), _F)
+        d_states[real] = dh
+        d_states = np.ascontiguousarray(d_states.reshape(-1, live, hidden).transpose(0, 2, 1))
+        carry = np.zeros((hidden, live), _F)
+        dx = np.empty((len(states), 3 * hidden, live), _F)  # by what is read; dg: by the state before
+        dg = np.empty_like(dx)
         for t in range(len(states) - 1, -1, -1):
             h0, z, r, n, gn = saved[t]
-            d = d_states[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            grad_u += h0.T @ dg
-            carry = d * z + dg @ p["u"].T
-            carry[new[t]] = 0
+            d = d_states[t]
+            d += carry
+            dz, dr, dn = dx[t, :hidden], dx[t, hidden : 2 * hidden], dx[t, 2 * hidden :]
+            rest = 1 - z
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= d
+            np.subtract(h0, n, out=dz)
+            dz *= z
+            dz *= rest
+            dz *= d
+            np.multiply(dn, gn, out=dr)
+            dr *= r
+            dr *= 1 - r
+            dg[t, : 2 * hidden] = dx[t, : 2 * hidden]
+            np.multiply(dn, r, out=dg[t, 2 * hidden :])
+            d *= z
+            carry = p["u"] @ dg[t]
+            carry += d
+            if new[t].any():
+                carry[:, new[t]] = 0
+        grad_u = _rows(np.array([x[0] for x in saved])).T @ _rows(dg)
         norm = np.sqrt(float((grad_u * grad_u).sum()))
         if norm > CLIP:
             grad_u *= _F(CLIP / norm)
         step("u", grad_u)
         step("cw", grad_cw)
         step("cb", grad_cb)
-        for k, gw, gb in outputs:
-            step("ww", gw, k)
-            step("wb", gb, k)
+        step("ww", grad_ww)
+        step("wb", grad_wb)
         flat = prev.ravel()
         order = np.argsort(flat, kind="stable")
         edges = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        step("x", np.add.reduceat(dx.reshape(-1, 3 * hidden)[order], edges, axis=0), flat[order[edges]])
+        step("x", np.add.reduceat(_rows(dx)[order], edges, axis=0), flat[order[edges]])
     return int(sum(map(len, docs)))

@@ -4,9 +4,9 @@ Everything the models know comes from the training documents (crc32 of the id, m
 
 * counts of every token, summed per partition, then by a shuffle, into a checkpointed table;
 * the model's vocabulary, classes and output biases: the most frequent tokens of that table;
-* the recurrent weights: in each of ROUNDS rounds every partition trains from the same weights on
-  its own share of training documents (one of SHARES, by crc32, another one each round), and the
-  weights are averaged by words seen, in two shuffled steps. What is trained on grows with the input.
+* the recurrent weights: the training documents are dealt into ROUNDS rounds by crc32, so each is
+  trained on once. In a round every partition trains from the same weights on its own documents of
+  that round, and the weights are averaged by words seen, in two shuffled steps.
 
 A token outside the model's vocabulary is scored as the unknown word times its smoothed share of
 all such tokens, so the score is the log-probability of the whole text over an open vocabulary.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from .common import bucket, cut_lineage, map_batches, texts_of
 END = " "
 HELD_OUT, HELD_OUT_MOD = 0, 10
 HEAD, HEAD_CHARS = 400_000, 64
-ROUNDS, SHARES = 2, 8
+ROUNDS = 4
 #: Parameters are averaged in so many blocks, first among partitions of the same salt.
 BLOCKS, SALT = 8, 64
 #: Tokens of the documents that run side by side.
@@ -110,6 +111,8 @@ class Words:
         rest = total - int(sum(counts[:known]))
         inside[gru.UNK] = rest + 1
         self.inside = inside
+        #: word -> number in the model; a small table, for training
+        self.own = {names[i].encode(): int(self.of[i]) for i in range(known)}
         #: log10 of what a count plus 0.1 is divided by: among all tokens, and among unknown ones
         self.log_all = math.log10(total + 0.1 * (kinds + 1))
         self.log_rest = math.log10(rest + 0.1 * (kinds - known + 1))
@@ -118,11 +121,18 @@ class Words:
         """The words and their numbers in the head (one past its end: not there), without the end token."""
         words = tokens(text)
         get, none = self.number.get, len(self.count)
-        return words, np.fromiter((get(w, none) for w in words), np.int64, len(words))
+        return words, np.fromiter(map(get, words, repeat(none)), np.int64, len(words))
 
     def model_ids(self, head: np.ndarray) -> np.ndarray:
         return np.append(self.of[head], np.int32(gru.END))
 
+    def lesson(self, text: str) -> np.ndarray:
+        """The text's numbers in the model, with the end."""
+        words = tokens(text)
+        out = np.full(len(words) + 1, gru.END, np.int32)
+        out[:-1] = np.fromiter(map(self.own.get, words, repeat(gru.UNK)), np.int32, len(words))
+        return out
+
 
 def _mean(pdf: pd.DataFrame) -> np.ndarray:
     total, weight = 0.0, pdf["n"].to_numpy(np.float64)
@@ -131,8 +141,8 @@ def _mean(pdf: pd.DataFrame) -> np.ndarray:
     return (total / weight.sum()).astype(np.float32)
 
 
-def train(docs: DataFrame, words, rounds: int = ROUNDS, shares: int = SHARES) -> np.ndarray:
-    """The recurrent model's weights. `docs` has text and `deal` (0 to shares - 1); `words` is a broadcast Words."""
+def train(docs: DataFrame, words, rounds: int = ROUNDS) -> np.ndarray:
+    """The recurrent model's weights. `docs` has text and `deal` (its round, from 0); `words` is a broadcast Words."""
     sc = docs.sparkSession.sparkContext
     flat = gru.pack(gru.start(words.value.inside))
     for r in range(rounds):
@@ -142,7 +152,7 @@ def train(docs: DataFrame, words, rounds: int = ROUNDS, shares: int = SHARES) ->
             w, p, n, held, size = words.value, gru.unpack(given.value), 0, [], 0
             for b in batches:
                 for text in texts_of(b, 0):
-                    held.append(w.model_ids(w.read(text)[1]))
+                    held.append(w.lesson(text))
                     size += len(held[-1])
                     if size > CHUNK_TOKENS:
                         n += gru.train(p, held)
@@ -161,7 +171,7 @@ def train(docs: DataFrame, words, rounds: int = ROUNDS, shares: int = SHARES) ->
             pdf = pdf.sort_values("part")
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "vec": [_mean(pdf).tobytes()]})
 
-        sent = map_batches(docs.where(F.col("deal") == r % shares), ["text"], run, "block int, salt int, part int, n long, vec binary")
+        sent = map_batches(docs.where(F.col("deal") == r), ["text"], run, "block int, salt int, part int, n long, vec binary")
         got = sent.groupBy("block", "salt").applyInPandas(some, "block int, part int, n long, vec binary").groupBy("block").applyInPandas(whole, "block int, vec binary").collect()
         if got:
             flat = np.concatenate([np.frombuffer(x.vec, np.float32) for x in sorted(got, key=lambda x: x.block)])
@@ -177,7 +187,7 @@ def score(docs: DataFrame) -> DataFrame:
     count is zero. An empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
-    key = bucket(F.col("doc_id"), HELD_OUT_MOD * SHARES)
+    key = bucket(F.col("doc_id"), HELD_OUT_MOD * ROUNDS)
     own = docs.select("doc_id", "text").withColumn("held_out", key % HELD_OUT_MOD == HELD_OUT).withColumn("deal", F.floor(key / HELD_OUT_MOD).cast("int"))
     learn = own.where(~F.col("held_out"))
     counts = cut_lineage(count_tokens(learn))
