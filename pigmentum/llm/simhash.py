@@ -29,11 +29,11 @@ SHINGLE, BITS, SEED = 4, 4, 42
 BLOCK = 2048
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """A bit is set if more than half the shingles' hashes have it; signed, as Spark's long."""
+def hashes(text: str, size: int) -> np.ndarray:
+    """The hashes of a text's shingles of so many words, in their order; a shorter text is one shingle."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     norm = b" ".join(words)
     h, hash64 = np.empty(max(1, len(words) - size + 1), np.uint64), xxhash.xxh64_intdigest
     if len(words) <= size:
@@ -42,6 +42,12 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[: len(h) - 1] + 1]).tolist()
         h[:] = [hash64(norm[s:e], SEED) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=True)]
+    return h
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """A bit is set if more than half the shingles' hashes have it; signed, as Spark's long."""
+    h = hashes(text, size)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -159,12 +165,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, grou
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs per component, all columns as they are: the one with the smallest doc_id.
+    """One row of docs per component, all columns as they are: the one with the smallest doc_id."""
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id that `named` has for it.
 
     Rows that repeat that doc_id are one document: one of them stays. Rows without a doc_id can't
     be named as copies and stay.
     """
-    found = near_duplicates(docs, **options).where("doc_id is not null and doc_id = component_id")
+    found = named.where("doc_id is not null and doc_id = component_id")
     first = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     id_name, n_name = "_kept_doc_id", "_kept_n"
     first = cut_lineage(first.select(F.col("doc_id").alias(id_name), F.col("n").alias(n_name)))
