@@ -539,3 +539,45 @@ def detect_cuts(frames: np.ndarray, times: np.ndarray) -> list[tuple[float, str,
             cuts.append((t, "fade", length))
     cuts.sort()
     return [c for k, c in enumerate(cuts) if k == 0 or c[0] - cuts[k - 1][0] > 0.3]
+
+
+def match_nearest(want: np.ndarray, have: np.ndarray, most: float) -> list[tuple[int, int | None]]:
+    """(ord, other) for each row (ord, t) of `want`, in their order: the nearest unused row of `have` at most `most` away, the lowest ord on ties, or None.
+
+    Each distinct time of `have` is a queue; empty ones are skipped by links that shorten as they are followed.
+    """
+    times, at = np.unique(have[:, 1], return_inverse=True)
+    queues: list[list[int]] = [[] for _ in times]
+    for i in np.argsort(-have[:, 0], kind="stable").tolist():
+        queues[at[i]].append(int(have[i, 0]))  # the lowest ord last
+    n, ts = len(times), times.tolist()
+    down, up = list(range(n + 1)), list(range(n + 1))  # shifted by one in `down`, where zero is none; n is none in `up`
+
+    def live(link: list[int], i: int) -> int:
+        end = i
+        while link[end] != end:
+            end = link[end]
+        while link[i] != end:
+            link[i], i = end, link[i]
+        return end
+
+    out: list[tuple[int, int | None]] = []
+    for o, t in want.tolist():
+        k = int(np.searchsorted(times, t))
+        best: tuple[float, int, int] | None = None
+        for link, i, step, none, shift in ((down, k, -1, 0, 1), (up, k, 1, n, 0)):
+            i = live(link, i)
+            while i != none:
+                j = i - shift
+                d = abs(t - ts[j])
+                if d > most or (best and d > best[0]):
+                    break
+                best = min(best or (d, queues[j][-1], j), (d, queues[j][-1], j))
+                i = live(link, i + step)
+        if best:
+            j = best[2]
+            queues[j].pop()
+            if not queues[j]:
+                down[j + 1], up[j] = j, j + 1
+        out.append((int(o), best and best[1]))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -220,10 +221,22 @@ def join20(t):
 
 @query("join_21_cut_match", "fx_timing", sql=None)
 def join21(t):
-    few = t.where("ord < 30")
-    g = few.groupBy("vid").agg(*(F.array_sort(F.collect_list(F.when(F.col("ord") % 2 == k, F.struct("ord", F.col("t_in").alias("t"))))).alias(n) for k, n in ((0, "want"), (1, "have"))))
-    near = lambda w, o: F.when(F.abs(w["t"] - o["t"]) <= 0.3, -F.abs(w["t"] - o["t"])).otherwise(F.lit(-1e9))
-    return g.select("vid", F.explode(merge.assign_best(F.col("want"), F.col("have"), near, -0.3)).alias("m")).select("vid", "m.ord", "m.other")
+    """Videos are cut where no time follows within 0.3 s: nothing matches across."""
+    import pandas as pd
+
+    from ..operators import kernels
+
+    gap = F.col("t_in") - F.lag("t_in").over(Window.partitionBy("vid").orderBy("t_in"))
+    times = t.select("vid", "t_in").distinct().withColumn("cut", F.when(gap > 0.3, 1).otherwise(0))
+    part = F.sum("cut").over(Window.partitionBy("vid").orderBy("t_in"))
+    rows = t.select("vid", "ord", "t_in").join(times.select("vid", "t_in", part.alias("part")), ["vid", "t_in"])
+
+    def one(pdf):
+        x = pdf.sort_values("ord")[["ord", "t_in"]].to_numpy()
+        got = kernels.match_nearest(x[x[:, 0] % 2 == 0], x[x[:, 0] % 2 == 1], 0.3)
+        return pd.DataFrame({"vid": pdf["vid"].iloc[0], "ord": pd.Series([o for o, _ in got], dtype="int32"), "other": pd.Series([m for _, m in got], dtype="Int32")})
+
+    return rows.groupBy("vid", "part").applyInPandas(one, "vid bigint, ord int, other int")
 
 
 @query("join_22_tree_closure", "supplier", sql="""WITH RECURSIVE t AS (SELECT s_suppkey AS root, s_suppkey AS id, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT t.root, CAST(s.s_suppkey AS BIGINT), t.depth + 1 FROM supplier s JOIN t ON CAST(floor(s.s_suppkey / 2) AS BIGINT) = t.id AND s.s_suppkey > 3)
