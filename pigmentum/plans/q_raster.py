@@ -235,7 +235,9 @@ def iter06(t):
         tw = kernels.fit_tween(s, (row.t_in, row.t_in + 0.01), (row.t_in + 0.49, row.t_in + 0.5), True)
         return [(row.vid, row.ord, tw["easing"], round(tw["dx"]), round(tw["dy"]))]
 
-    return raster.per_row(t.where("ord <= 3").select("vid", "ord", "t_in", "dx", "dy"), one, "vid bigint, ord int, easing string, dx int, dy int")
+    # a fit is some milliseconds of work on a row of a few bytes, so rows are dealt out by number
+    rows = t.select("vid", "ord", "t_in", "dx", "dy").repartition(4 * t.sparkSession.sparkContext.defaultParallelism, "vid", "ord")
+    return raster.per_row(rows, one, "vid bigint, ord int, easing string, dx int, dy int")
 
 
 @query("iter_07_fit_motion", "fx_timing", sql="SELECT vid, ord, 2 AS keys FROM fx_timing WHERE ord <= 3")

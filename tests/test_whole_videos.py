@@ -33,3 +33,10 @@ def test_cut_match(spark, long_videos):
                 want.append((v, o, other))
     got = sorted((r.vid, r.ord, r.other) for r in QUERIES["join_21_cut_match"](spark, d).collect())
     assert got == sorted(want) and any(o > 30 and p for _, o, p in got) and any(p is None for _, _, p in got)
+
+
+def test_fit_tween(spark, long_videos):
+    d, rows = long_videos
+    got = QUERIES["iter_06_fit_tween"](spark, d).select("vid", "ord", "easing").collect()
+    assert sorted((r.vid, r.ord) for r in got) == [(v, o) for v, o, _ in layers(rows)]
+    assert {r.easing for r in got if r.ord > 3} == {"ease-out"}
