@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,22 +10,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes handed to a Python worker at once; long texts make the second one matter.
+#: Rows and bytes that an operator's code sees at once; long texts make the second one matter.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 LOWER = bytes(range(256)).lower()
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that a batch of long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded rows and bytes, none empty; the session's Arrow settings stay as they are."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(BATCH_ROWS, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > BATCH_BYTES:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
 
 
-def map_batches(df: DataFrame, cols: list, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over the named columns only, so that the scan reads nothing else."""
-    bound_batches(df.sparkSession)
-    return df.select(*cols).mapInArrow(fn, schema)
+def map_batches(df: DataFrame, cols: list | None, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over the named columns only (None: all), so that the scan reads nothing else."""
+
+    def run(batches):
+        return fn(small_batches(batches))
+
+    return (df if cols is None else df.select(*cols)).mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, i: int) -> list[str]:
@@ -38,10 +48,15 @@ def bucket(col: Column, mod: int) -> Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's shared folder, or a folder of our own where none is set."""
+    """checkpoint() in the cluster's shared folder; a folder of our own only in a local session where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.match(r"local(\[[^,\]]*(,\d+)?\])?$", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

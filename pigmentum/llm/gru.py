@@ -11,12 +11,16 @@ whole document; only gradients stop at window edges.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
-#: Hidden units, words a class, words in the vocabulary, steps of a window, documents side by side.
+#: Hidden units, words a class, words in the vocabulary (numbers fit 16 bits), steps of a window, documents side by side.
 HIDDEN, SIDE, VOCAB, STEPS, LANES = 16, 64, 4096, 32, 512
 UNK, END = 0, 1
-RATE, CLIP, TRAIN_LANES = 0.1, 1.0, 128
+RATE, CLIP, TRAIN_LANES = 0.1, 1.0, 192
+#: In training, longer documents are cut into pieces of so many words, so that lanes end together.
+PIECE = 512
 #: Logits within this bound can go to exp() without taking off their maximum.
 SAFE = 60
 _F = np.float32
@@ -50,33 +54,45 @@ def unpack(flat: np.ndarray, vocab: int = VOCAB, hidden: int = HIDDEN, side: int
     return out
 
 
-def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Lanes:
     """Documents laid one after another in about equally long lanes, the longest lane first.
 
-    Returns words (time, lane), first (whether a document begins there), doc (its number, -1 past
-    the lane's end) and the lanes' lengths, which fall.
+    Everything is kept lane after lane in flat arrays, a few bytes a word whatever the lengths are;
+    a window's (time, lane) arrays are cut out of them.
     """
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    lanes = min(lanes, len(docs))
-    size, rows = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
-    import heapq
-
-    heap = [(0, i) for i in range(lanes)]
-    for d in order:
-        n, i = heapq.heappop(heap)
-        rows[i].append(d)
-        size[i] = n + len(docs[d])
-        heapq.heappush(heap, (int(size[i]), i))
-    rank = np.argsort(-size, kind="stable")
-    size = size[rank]
-    words, first, doc = np.zeros((size[0], lanes), np.int32), np.zeros((size[0], lanes), bool), np.full((size[0], lanes), -1, np.int32)
-    for lane, i in enumerate(rank):
-        at = 0
-        for d in rows[i]:
-            n = len(docs[d])
-            words[at : at + n, lane], doc[at : at + n, lane], first[at, lane] = docs[d], d, True
-            at += n
-    return words, first, doc, size
+
+    def __init__(self, docs: list[np.ndarray], lanes: int):
+        lanes = min(lanes, len(docs))
+        size, rows = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
+        heap = [(0, i) for i in range(lanes)]
+        for d in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            n, i = heap[0]
+            rows[i].append(d)
+            size[i] = n + len(docs[d])
+            heapq.heapreplace(heap, (int(size[i]), i))
+        rank = np.argsort(-size, kind="stable")
+        order = [d for i in rank for d in rows[i]]
+        lengths = np.array([len(docs[d]) for d in order], np.int64)
+        self.size = size[rank]
+        self.start = np.cumsum(self.size) - self.size
+        self.words = np.concatenate([docs[d] for d in order]).astype(np.int32, copy=False)
+        self.doc = np.repeat(np.array(order, np.int32), lengths)
+        self.first = np.zeros(len(self.words), bool)
+        self.first[np.cumsum(lengths) - lengths] = True
+
+    def windows(self, steps: int):
+        """(before, words, first, doc, real) of every window over the lanes that reach into it.
+
+        before: the word read at a place, END at a document's beginning; real: whether the lane
+        has the place (elsewhere the other arrays hold any words).
+        """
+        for at in range(0, int(self.size[0]), steps):
+            live = int(np.searchsorted(-self.size, -at))
+            t = np.arange(at, min(at + steps, int(self.size[0])))[:, None]
+            real = t < self.size[:live]
+            place = np.where(real, self.start[:live] + t, self.start[:live])
+            first = self.first[place]
+            yield np.where(first, np.int32(END), self.words[place - 1]), self.words[place], first, self.doc[place], real
 
 
 def _forward(p: dict, before: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -140,20 +156,15 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], lanes: int = LANES, steps:
     total = np.zeros(len(docs))
     if not docs:
         return total
-    words, first, doc, size = lanes_of(docs, lanes)
+    laid = Lanes(docs, lanes)
     kinds, side = p["wb"].shape
-    before = np.vstack([np.full((1, words.shape[1]), END, np.int32), words[:-1]])
-    before[first] = END
-    h, numbers = np.zeros((p["u"].shape[0], words.shape[1]), _F), np.arange(words.shape[1] * steps)
+    h, numbers = np.zeros((p["u"].shape[0], len(laid.size)), _F), np.arange(len(laid.size) * steps)
     safe_c, safe_w = _safe(p["cw"], p["cb"]), _safe(p["ww"], p["wb"])
-    for at in range(0, len(words), steps):
-        live = int((size > at).sum())
-        h = h[:, :live]
-        span = slice(at, min(at + steps, len(words)))
-        states, h, _ = _forward(p, before[span, :live], first[span, :live], h)
-        real = np.flatnonzero(doc[span, :live].ravel() >= 0)
-        real = real[np.argsort((words[span, :live].ravel()[real] // side).astype(np.int16), kind="stable")]
-        hs, w, d = _rows(states)[real], words[span, :live].ravel()[real], doc[span, :live].ravel()[real]
+    for before, words, first, doc, there in laid.windows(steps):
+        states, h, _ = _forward(p, before, first, h[:, : words.shape[1]])
+        real = np.flatnonzero(there.ravel())
+        real = real[np.argsort((words.ravel()[real] // side).astype(np.int16), kind="stable")]
+        hs, w, d = _rows(states)[real], words.ravel()[real], doc.ravel()[real]
         cls, own = w // side, w % side
         c = hs @ p["cw"]
         c += p["cb"]
@@ -168,30 +179,28 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], lanes: int = LANES, steps:
 
 
 def train(p: dict, docs: list[np.ndarray], lanes: int = TRAIN_LANES, steps: int = STEPS, rate: float = RATE) -> int:
-    """One pass of truncated backpropagation with Adagrad steps, in place; returns the words it saw."""
+    """One pass of truncated backpropagation with Adagrad steps, in place; returns the words it saw.
+
+    Every word is learnt from; in a document of more than PIECE words the state starts anew after
+    each piece. (Scoring carries it through the whole document.)
+    """
     if not docs:
         return 0
-    words, first, doc, size = lanes_of(docs, lanes)
+    laid = Lanes([d[i : i + PIECE] for d in docs for i in range(0, len(d), PIECE)], lanes)
     hidden, (kinds, side) = p["u"].shape[0], p["wb"].shape
-    before = np.vstack([np.full((1, words.shape[1]), END, np.int32), words[:-1]])
-    before[first] = END
     seen = {k: np.full(v.shape, 1e-3, _F) for k, v in p.items()}
-    h, numbers = np.zeros((hidden, words.shape[1]), _F), np.arange(words.shape[1] * steps)
+    h, numbers = np.zeros((hidden, len(laid.size)), _F), np.arange(len(laid.size) * steps)
 
     def step(k: str, grad: np.ndarray, rows=slice(None)) -> None:
         seen[k][rows] += grad * grad
         p[k][rows] -= _F(rate) * grad / np.sqrt(seen[k][rows])
 
-    for at in range(0, len(words), steps):
-        live = int((size > at).sum())
-        span = slice(at, min(at + steps, len(words)))
-        prev, new = before[span, :live], first[span, :live]
+    for prev, words, new, _, there in laid.windows(steps):
+        live = words.shape[1]
         states, h, saved = _forward(p, prev, new, h[:, :live], keep=True)
-        real = np.flatnonzero(doc[span, :live].ravel() >= 0)
-        if not len(real):
-            continue
-        real = real[np.argsort((words[span, :live].ravel()[real] // side).astype(np.int16), kind="stable")]
-        hs, w = _rows(states)[real], words[span, :live].ravel()[real]
+        real = np.flatnonzero(there.ravel())
+        real = real[np.argsort((words.ravel()[real] // side).astype(np.int16), kind="stable")]
+        hs, w = _rows(states)[real], words.ravel()[real]
         cls, own, unit, safe_w = w // side, w % side, _F(1 / len(w)), _safe(p["ww"], p["wb"])
         c = hs @ p["cw"]
         c += p["cb"]

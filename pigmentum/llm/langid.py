@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage, map_batches
+from .common import cut_lineage, map_batches
 
 PROFILE = 400
 #: Languages a profile table may have; beyond it the lang column isn't a language code.
@@ -165,5 +165,4 @@ def filter_known(docs: DataFrame, model: Classifier, least: float = 0.0) -> Data
             out = [model.predict(x) for x in b.column(i).to_pylist()]
             yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in out], pa.bool_()))
 
-    bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, None, run, schema)

@@ -4,15 +4,19 @@ Everything the models know comes from the training documents (crc32 of the id, m
 
 * counts of every token, summed per partition, then by a shuffle, into a checkpointed table;
 * the model's vocabulary, classes and output biases: the most frequent tokens of that table;
-* the recurrent weights: the training documents are dealt into ROUNDS rounds by crc32, so each is
-  trained on once. In a round every partition trains from the same weights on its own documents of
-  that round, and the weights are averaged by words seen, in two shuffled steps.
+* the recurrent weights. A second pass over the texts turns each document into the numbers of its
+  words, two bytes a word, in a checkpointed table that training and scoring read instead. The
+  training documents are dealt into ROUNDS rounds by crc32, so each is trained on once, and within a
+  round into shards by a hash of the row. In a round every shard trains from the same weights on its
+  own documents in their order, and the weights are averaged by words seen, in two shuffled steps.
+  The number of shards follows from the number of training tokens, so weights don't depend on how
+  the table is partitioned.
 
 A token outside the model's vocabulary is scored as the unknown word times its smoothed share of
 all such tokens, so the score is the log-probability of the whole text over an open vocabulary.
 
-Scoring is one pass. The HEAD most frequent tokens' counts (bounded in number and length) are
-broadcast; documents send only their other tokens to be joined with the table of counts.
+The HEAD most frequent tokens' counts (bounded in number and length) are broadcast; documents send
+only their other tokens to be joined with the table of counts.
 """
 
 from __future__ import annotations
@@ -36,10 +40,14 @@ END = " "
 HELD_OUT, HELD_OUT_MOD = 0, 10
 HEAD, HEAD_CHARS = 400_000, 64
 ROUNDS = 4
-#: Parameters are averaged in so many blocks, first among partitions of the same salt.
+#: Training tokens of a shard, and the number of a round's shards from which it grows as a square root only.
+SHARD_TOKENS, SHARDS = 300_000, 256
+#: Parameters are averaged in so many blocks, first among shards of the same salt.
 BLOCKS, SALT = 8, 64
 #: Tokens of the documents that run side by side.
 CHUNK_TOKENS = 3_000_000
+#: How the model's numbers of words are stored.
+ID = np.dtype("<i2")
 
 
 def tokens(text: str) -> list[bytes]:
@@ -111,8 +119,6 @@ class Words:
         rest = total - int(sum(counts[:known]))
         inside[gru.UNK] = rest + 1
         self.inside = inside
-        #: word -> number in the model; a small table, for training
-        self.own = {names[i].encode(): int(self.of[i]) for i in range(known)}
         #: log10 of what a count plus 0.1 is divided by: among all tokens, and among unknown ones
         self.log_all = math.log10(total + 0.1 * (kinds + 1))
         self.log_rest = math.log10(rest + 0.1 * (kinds - known + 1))
@@ -126,13 +132,6 @@ class Words:
     def model_ids(self, head: np.ndarray) -> np.ndarray:
         return np.append(self.of[head], np.int32(gru.END))
 
-    def lesson(self, text: str) -> np.ndarray:
-        """The text's numbers in the model, with the end."""
-        words = tokens(text)
-        out = np.full(len(words) + 1, gru.END, np.int32)
-        out[:-1] = np.fromiter(map(self.own.get, words, repeat(gru.UNK)), np.int32, len(words))
-        return out
-
 
 def _mean(pdf: pd.DataFrame) -> np.ndarray:
     total, weight = 0.0, pdf["n"].to_numpy(np.float64)
@@ -141,18 +140,24 @@ def _mean(pdf: pd.DataFrame) -> np.ndarray:
     return (total / weight.sum()).astype(np.float32)
 
 
-def train(docs: DataFrame, words, rounds: int = ROUNDS) -> np.ndarray:
-    """The recurrent model's weights. `docs` has text and `deal` (its round, from 0); `words` is a broadcast Words."""
-    sc = docs.sparkSession.sparkContext
-    flat = gru.pack(gru.start(words.value.inside))
+def shards(tokens: int, rounds: int = ROUNDS) -> int:
+    """A round's shards for so many training tokens."""
+    x = tokens / rounds / SHARD_TOKENS
+    return max(1, math.ceil(min(x, math.sqrt(SHARDS * x))))
+
+
+def train(lessons: DataFrame, words, rounds: int = ROUNDS) -> np.ndarray:
+    """The recurrent model's weights. `lessons` has doc_id, ids and `deal` (its round, from 0); `words` is a broadcast Words."""
+    sc = lessons.sparkSession.sparkContext
+    flat, n_shards = gru.pack(gru.start(words.value.inside)), shards(words.value.total, rounds)
     for r in range(rounds):
         given = sc.broadcast(flat)
 
         def run(batches, given=given):
-            w, p, n, held, size = words.value, gru.unpack(given.value), 0, [], 0
+            p, n, held, size = gru.unpack(given.value), 0, [], 0
             for b in batches:
-                for text in texts_of(b, 0):
-                    held.append(w.lesson(text))
+                for x in b.column(0):
+                    held.append(np.frombuffer(x.as_buffer(), ID))
                     size += len(held[-1])
                     if size > CHUNK_TOKENS:
                         n += gru.train(p, held)
@@ -171,79 +176,95 @@ def train(docs: DataFrame, words, rounds: int = ROUNDS) -> np.ndarray:
             pdf = pdf.sort_values("part")
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "vec": [_mean(pdf).tobytes()]})
 
-        sent = map_batches(docs.where(F.col("deal") == r), ["text"], run, "block int, salt int, part int, n long, vec binary")
+        shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(n_shards)).cast("int")
+        dealt = lessons.where(F.col("deal") == r).select("doc_id", "ids").repartitionById(n_shards, shard).sortWithinPartitions("doc_id", "ids")
+        sent = map_batches(dealt, ["ids"], run, "block int, salt int, part int, n long, vec binary")
         got = sent.groupBy("block", "salt").applyInPandas(some, "block int, part int, n long, vec binary").groupBy("block").applyInPandas(whole, "block int, vec binary").collect()
         if got:
             flat = np.concatenate([np.frombuffer(x.vec, np.float32) for x in sorted(got, key=lambda x: x.block)])
     return flat
 
 
+def numbered(docs: DataFrame, words) -> DataFrame:
+    """The documents (doc_id, text, held_out, deal) as numbers of words, in one pass over the texts.
+
+    A row with `ids` per document, also with n_tokens, and n_known, base (its base score) and rest
+    (the shares of its unknown words) as far as the head knows; and a row (row, token, tf) for
+    every other token of a document.
+    """
+
+    def run(batches):
+        w, part, at = words.value, TaskContext.get().partitionId(), 0
+        log_count = np.log10(w.count + 0.1)
+        end = w.number.get(END.encode())
+        log_end = float(log_count[end]) if end is not None else math.log10(0.1)
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        names = ["row", "doc_id", "held_out", "deal", "n_tokens", "n_known", "base", "rest", "ids", "token", "tf"]
+        for b in batches:
+            rows, more = [], []
+            for doc, text, out, deal in zip(b.column(0).to_pylist(), texts_of(b, 1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                row, at = (part << 40) | at, at + 1
+                all_words, head = w.read(text)
+                ids = w.model_ids(head)
+                known = head[head < len(log_count)]
+                logs = log_count[known]
+                unknown = logs[w.of[known] == gru.UNK]
+                rest = float(unknown.sum()) - int((ids == gru.UNK).sum()) * w.log_rest
+                rows.append((row, doc, out, deal, len(ids), len(known) + (end is not None), float(logs.sum()) + log_end - len(ids) * w.log_all, rest, ids.astype(ID).tobytes()))
+                if len(known) < len(head):
+                    more += [(row, t.decode(), n) for t, n in Counter(all_words[i] for i in np.flatnonzero(head == len(log_count)).tolist()).items()]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64())], names)
+            for i in range(0, len(more), 50_000):
+                r, t, n = zip(*more[i : i + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), *(pa.nulls(len(r), k) for k in kinds[1:]), pa.array(t, pa.string()), pa.array(n, pa.int64())], names)
+
+    return map_batches(docs, ["doc_id", "text", "held_out", "deal"], run, "row long, doc_id long, held_out boolean, deal int, n_tokens long, n_known long, base double, rest double, ids binary, token string, tf long")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     base_score: the smoothed unigram log10 probability; score: the recurrent model's. A null or
     empty text is its end token alone; a null doc_id counts as the empty id, so it is held out.
     Repeated rows are learnt from and scored each on its own. Without training documents every
-    count is zero. An empty table gives no rows; other columns aren't read.
+    count is zero. An empty table gives no rows; other columns aren't read. How the table is
+    partitioned changes a score by rounding only (the model's numbers are 32-bit floats).
     """
     spark = docs.sparkSession
     key = bucket(F.col("doc_id"), HELD_OUT_MOD * ROUNDS)
     own = docs.select("doc_id", "text").withColumn("held_out", key % HELD_OUT_MOD == HELD_OUT).withColumn("deal", F.floor(key / HELD_OUT_MOD).cast("int"))
-    learn = own.where(~F.col("held_out"))
-    counts = cut_lineage(count_tokens(learn))
+    counts = cut_lineage(count_tokens(own.where(~F.col("held_out"))))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words = spark.sparkContext.broadcast(Words(*head_of(counts), total, kinds))
-    weights = spark.sparkContext.broadcast(train(learn, words))
+    parts = cut_lineage(numbered(own, words))
+    texts = parts.where("token is null")
+    weights = spark.sparkContext.broadcast(train(texts.where(~F.col("held_out")), words))
 
     def run(batches):
-        w, p, part, at = words.value, gru.unpack(weights.value), TaskContext.get().partitionId(), 0
-        log_count = np.log10(w.count + 0.1)
-        end = w.number.get(END.encode())
-        held: list = []
-
-        def flush():
-            nonlocal held, at
-            likely = gru.log_likelihoods(p, [x[2] for x in held]) / math.log(10)
-            rows, rest = [], []
-            for (doc, out, ids, head, tail), ll in zip(held, likely.tolist(), strict=True):
-                row = (part << 40) | at
-                at += 1
-                known = head[head < len(log_count)]
-                logs = log_count[known]
-                unknown = logs[w.of[known] == gru.UNK]
-                # of tokens in the head; the others' share comes with the join
-                n, base = len(ids), float(logs.sum()) + (float(log_count[end]) if end is not None else math.log10(0.1)) - len(ids) * w.log_all
-                n_unknown = int((ids == gru.UNK).sum())
-                rows.append((row, doc, out, n, len(known) + (end is not None), base, ll + float(unknown.sum()) - n_unknown * w.log_rest))
-                rest += [(row, t.decode(), n) for t, n in tail.items()]
-            held = []
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "token", "tf"]
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64())], names)
-            for i in range(0, len(rest), 50_000):
-                r, t, n = zip(*rest[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), *(pa.nulls(len(r), k) for k in kinds[1:]), pa.array(t, pa.string()), pa.array(n, pa.int64())], names)
+        p = gru.unpack(weights.value)
+        kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
 
-        size = 0
+        def flush(held):
+            b = pa.Table.from_batches(held)
+            likely = gru.log_likelihoods(p, [np.frombuffer(x.as_buffer(), ID) for x in b.column("ids")]) / math.log(10)
+            score = pa.array(likely + b.column("rest").to_numpy(), pa.float64())
+            return b.select(kept).append_column("score", score).to_batches()
+
+        held, size = [], 0
         for b in batches:
-            for doc, out, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts_of(b, 1), strict=True):
-                all_words, head = w.read(text)
-                tail = Counter(all_words[i] for i in np.flatnonzero(head == len(log_count)).tolist())
-                held.append((doc, out, w.model_ids(head), head.astype(np.int32), tail))
-                size += len(head) + 50
-                if size > CHUNK_TOKENS:
-                    yield from flush()
-                    size = 0
+            held.append(b)
+            size += b.column(b.schema.get_field_index("ids")).nbytes // 2
+            if size > CHUNK_TOKENS:
+                yield from flush(held)
+                held, size = [], 0
         if held:
-            yield from flush()
+            yield from flush(held)
 
-    parts = map_batches(own, ["doc_id", "text", "held_out"], run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, token string, tf long")
-    parts = cut_lineage(parts)
+    whole = map_batches(texts, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rest", "ids"], run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     c = F.coalesce(F.col("c"), F.lit(0))
     tail = parts.where("token is not null").select("row", "token", "tf").join(counts, "token", "left")
     tail = tail.select("row", F.when(c > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10(c + 0.1)).alias("base"))
-    whole = parts.where("token is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     none = {x: F.lit(None) for x in ("doc_id", "held_out", "n_tokens")}
     both = whole.unionByName(tail.withColumns(none).withColumn("score", F.col("base")))
     out = both.groupBy("row").agg(*(F.max(x).alias(x) for x in none), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))

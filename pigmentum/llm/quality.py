@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, map_batches, texts_of
+from .common import map_batches, texts_of
 
 _SPACES, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -147,5 +147,4 @@ def filter_kept(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([accepts(measure(x)) for x in texts_of(b, i)], pa.bool_()))
 
-    bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, None, run, schema)
