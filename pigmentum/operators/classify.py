@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
-from ..functions.text import LEFT, RIGHT
+from ..functions.text import EDGE, LEFT, RIGHT
 
 # Wording that counts for a design type.
 KEYWORDS = {
@@ -33,7 +33,7 @@ def evidence(texts: DataFrame, objects: DataFrame, facts: DataFrame, key: str =
 
 def scores(x: DataFrame) -> dict[str, Column]:
     hits = lambda pattern: F.regexp_count("all", F.lit(pattern))
-    words = lambda name: hits(f"{LEFT}(?:{KEYWORDS[name]}){RIGHT}")
+    words = lambda name: hits(f"{EDGE}(?:{KEYWORDS[name]}){EDGE}")
     c, aspect, edges = F.col, F.col("aspect"), F.col("edge_density")
     if_ = lambda cond, v: F.when(cond, float(v)).otherwise(0.0)
     tall = aspect < 0.85

@@ -52,13 +52,26 @@ def dashboard(projects: DataFrame, objects: DataFrame, texts: DataFrame, hues: D
     return out.unionAll(hue.select(*row("hue", F.col("family"), F.col("n"), F.col("hex"))))
 
 
-def browse(projects: DataFrame, text: str = "", or_type: str = "", starred: bool = False, sort: str = "recent", n: int = 100) -> DataFrame:
+def browse(projects: DataFrame, text: str = "", or_type: str = "", starred: bool = False, sort: str = "recent") -> DataFrame:
     """The library page: starred ones or all, a text in the name or a type, sorted by recent, name or dna; `place` counts from 1."""
     out = projects.where("starred") if starred else projects
     if text or or_type:
         out = out.where(F.lower("name").contains(text.lower()) | F.lower("design_type").contains((or_type or text).lower()))
-    order = {"recent": [F.desc_nulls_last("updated_at"), F.col("id")], "name": [F.col("name"), F.col("id")], "dna": [F.desc("dna"), F.col("id")]}[sort]
-    return out.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    lead, order = {"recent": ("updated_at", F.desc_nulls_last("updated_at")), "name": ("name", F.asc("name")), "dna": ("dna", F.desc("dna"))}[sort]
+    return placed(out, order, lead, F.col("id"))
+
+
+def placed(rows: DataFrame, order: Column, lead: str, *rest: Column) -> DataFrame:
+    """The rows with their `place` (from 1) in the order of the column `lead`, then `rest`.
+
+    A place is the number of rows with an earlier lead value, plus one among those of the same. Only
+    the counts per lead value (dates, scores, names) are ordered in one task, not the rows.
+    """
+    counts = rows.groupBy(lead).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(lead).alias("_lead"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(lead).orderBy(*rest))
+    return rows.withColumn("_own", own).join(counts, F.col(lead).eqNullSafe(F.col("_lead"))).withColumn("place", (F.col("_before") + F.col("_own")).cast("int")).drop("_lead", "_before", "_own")
 
 
 def redact(rows: DataFrame, column: str) -> DataFrame:

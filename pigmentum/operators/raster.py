@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import kernels
 
-#: Images in an Arrow batch.
-BATCH = "16"
+#: Images worked on at once.
+BATCH = 16
 
 
 def grey_image(v, w: int, h: int) -> np.ndarray:
@@ -28,13 +28,13 @@ def image(row) -> np.ndarray:
 
 
 def per_row(table: DataFrame, fn: Callable[[object], list[tuple]], schema: str) -> DataFrame:
-    """mapInPandas of a function from one row to result rows; batches stay small because rows are images."""
-    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    """mapInPandas of a function from one row to result rows, a few rows at a time because rows are images."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([r for row in pdf.itertuples(index=False) for r in fn(row)], columns=names)
+            for at in range(0, len(pdf), BATCH):
+                yield pd.DataFrame([r for row in pdf.iloc[at : at + BATCH].itertuples(index=False) for r in fn(row)], columns=names)
 
     return table.mapInPandas(run, schema)
 

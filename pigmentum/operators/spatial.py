@@ -54,3 +54,20 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t: str,
     both = both.withColumn("_after", F.first(point, True).over(by.rowsBetween(0, Window.unboundedFollowing)))
     later = F.col("_before").isNull() | (F.col("_after.t") - F.col("_t") < F.col("_t") - F.col("_before.t"))
     return both.where("_q = 1").select(*keys, *cols, F.coalesce(F.when(later, F.col("_after.i")), F.col("_before.i")).alias(name))
+
+
+def best_overlap(rows: DataFrame, others: DataFrame, key: str, start: str, end: str, order: str, value: str, cell: float = 1.0) -> DataFrame:
+    """rows with the `value` of the other interval of the same key that overlaps longest (ties: least `order`), and `overlap`.
+
+    Rows without any overlap go. Equal intervals are compared once, whatever their number, and
+    intervals meet in the cells of time they share, so one key's rows are dealt over its time; a
+    pair counts in the cell where its overlap begins.
+    """
+    cells = lambda df: df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))))
+    a = cells(rows.select(key, start, end).distinct()).alias("a")
+    b = cells(others.groupBy(key, start, end).agg(F.min(F.struct(order, value)).alias("_b"))).alias("b")
+    begin = F.greatest(f"a.{start}", f"b.{start}")
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._cell") == F.col("b._cell")) & (F.floor(begin / cell) == F.col("a._cell")))
+    met = met.select(f"a.{key}", f"a.{start}", f"a.{end}", F.col(f"b._b.{order}").alias("_order"), F.col(f"b._b.{value}").alias(value), (F.least(f"a.{end}", f"b.{end}") - begin).alias("overlap")).where("overlap > 0")
+    best = met.groupBy(key, start, end).agg(F.max_by(value, F.struct("overlap", -F.col("_order"))).alias(value), F.max("overlap").alias("overlap"))
+    return rows.join(best, [key, start, end])

@@ -117,19 +117,20 @@ def split_words(words: DataFrame, keys: list[str], gap: float = 1.2) -> DataFram
     return x.groupBy(*keys, "part").agg(said.alias("text"), F.avg("conf").alias("conf"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
-def cues(items: Column, near: float = 0.15) -> Column:
-    """Caption cues from items struct(start, end, y, text) in order: each joins the first cue whose first member is within `near` at both ends.
+def cues(items: DataFrame, key: str, order: str, near: float = 0.15) -> DataFrame:
+    """(key, start, end, lines array<struct(y, n, text)>): caption cues from rows (start, end, y, text) in order.
 
-    array<struct(start, end, lines array<struct(y, n, text)>)>, sorted by start and end, lines by y.
+    A row joins the first cue whose first member is within `near` at both ends, else it begins one.
+    Which cue that is depends on its start and end only, so the fold runs over a video's distinct
+    spans; its lines, by y and then in their order, are gathered per cue.
     """
-    start = F.array().cast("array<struct<start:double,end:double,lines:array<struct<y:double,n:int,text:string>>>>")
-
-    def step(acc, x):
-        at = F.array_position(F.transform(acc, lambda c: (F.abs(c["start"] - x["start"]) < near) & (F.abs(c["end"] - x["end"]) < near)), True)
-        line = lambda n: F.struct(x["y"].cast("double").alias("y"), n.cast("int").alias("n"), x["text"].alias("text"))
-        grown = F.transform(acc, lambda c, i: F.when(i + 1 == at, F.struct(c["start"].alias("start"), c["end"].alias("end"), F.concat(c["lines"], F.array(line(F.size(c["lines"])))).alias("lines"))).otherwise(c))
-        new = F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end"), F.array(line(F.lit(0))).alias("lines"))
-        return F.when(at > 0, grown).otherwise(F.concat(acc, F.array(new)))
-
-    done = F.aggregate(items, start, step)
-    return F.array_sort(F.transform(done, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array_sort(c["lines"]).alias("lines"))))
+    close = lambda c, x: (F.abs(c["start"] - x["start"]) < near) & (F.abs(c["end"] - x["end"]) < near)
+    spans = items.groupBy(key, "start", "end").agg(F.min(order).alias("_first"))
+    held = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_first", "start", "end"))).alias("_spans"))
+    span = F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    begun = F.aggregate(span, F.array().cast("array<struct<start:double,end:double>>"), lambda acc, x: F.when(F.exists(acc, lambda c: close(c, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    of = held.select(key, span.alias("_spans"), begun.alias("_begun")).select(key, F.explode(F.transform("_spans", lambda x: F.struct(x.alias("own"), F.get(F.filter("_begun", lambda c: close(c, x)), 0).alias("cue")))).alias("_s"))
+    of = of.select(key, F.col("_s.own.start").alias("start"), F.col("_s.own.end").alias("end"), F.col("_s.cue").alias("_cue"))
+    numbered = items.join(of, [key, "start", "end"]).withColumn("_n", (F.row_number().over(Window.partitionBy(key, "_cue").orderBy(order)) - 1).cast("int"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("_n").alias("n"), "text")))
+    return numbered.groupBy(key, "_cue").agg(lines.alias("lines")).select(key, F.col("_cue.start").alias("start"), F.col("_cue.end").alias("end"), "lines")

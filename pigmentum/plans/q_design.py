@@ -228,10 +228,11 @@ def top05(t, b):
     return z_order(t.where(LOCAL()), b.where(EXTERNAL())).select("pid", "src", "ord", "z")
 
 
-@query("top_06_recent_first", "fx_projects", sql="SELECT id, CAST(row_number() OVER (ORDER BY updated_at DESC NULLS LAST, id) AS INT) AS place FROM fx_projects ORDER BY place LIMIT 50")
+@query("top_06_recent_first", "fx_projects", sql="SELECT id, CAST(row_number() OVER (ORDER BY updated_at DESC NULLS LAST, id) AS INT) AS place FROM fx_projects")
 def top06(p):
-    newest = p.orderBy(F.desc_nulls_last("updated_at"), "id").limit(50)
-    return newest.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("updated_at"), "id")).alias("place"))
+    from ..operators.library import placed
+
+    return placed(p, F.desc_nulls_last("updated_at"), "updated_at", F.col("id")).select("id", "place")
 
 
 @query("set_01_elements_union", "fx_texts", "fx_boxes", sql=f"{EL} SELECT pid, src, ord, label, {r('weight')} AS weight FROM el")

@@ -167,9 +167,9 @@ def src01(q):
     return q.select("event_id", gate(mime, (F.col("event_id") * 7919) % 300000000).alias("outcome"))
 
 
-@query("src_09_library_scan", "fx_projects", sql="SELECT id, name, dna FROM fx_projects WHERE id BETWEEN 100 AND 120")
+@query("src_09_library_scan", "fx_projects", sql="SELECT id, name, dna FROM fx_projects")
 def src09(p):
-    return p.where("id BETWEEN 100 AND 120").select("id", "name", "dna")
+    return p.select("id", "name", "dna")
 
 
 @query("src_10_owner_list", "fx_projects", sql="SELECT id, name, design_type, dna, starred FROM fx_projects WHERE owner = 7")
@@ -281,11 +281,11 @@ def edt07(t, b):
     return scene.build(t.where("source = 'local'"), b.where("source = 'external'"), b.select("pid").distinct()).select("pid", "z", "type", "ord")
 
 
-@query("edt_08_crossfade", "fx_timing", sql=f""", s AS (SELECT vid, ord, t_in * 10 AS b FROM fx_timing WHERE ord <= 5) SELECT vid, ord, t, {r("CASE WHEN t < b - 0.3 THEN 0 WHEN t > b + 0.3 THEN 1 ELSE (t - (b - 0.3)) / 0.6 END")} AS alpha FROM (SELECT *, b + (ord - 3) * 0.15 AS t FROM s)""")
+@query("edt_08_crossfade", "fx_timing", sql=f""", s AS (SELECT vid, ord, t_in * 10 AS b FROM fx_timing) SELECT vid, ord, t, {r("CASE WHEN t < b - 0.3 THEN 0 WHEN t > b + 0.3 THEN 1 ELSE (t - (b - 0.3)) / 0.6 END")} AS alpha FROM (SELECT *, b + ((ord - 1) % 5 - 2) * 0.15 AS t FROM s)""")
 def edt08(t):
     from ..operators.animation import crossfade
 
-    s = t.where("ord <= 5").select("vid", "ord", (F.col("t_in") * 10).alias("b")).withColumn("t", F.col("b") + (F.col("ord") - 3) * 0.15)
+    s = t.select("vid", "ord", (F.col("t_in") * 10).alias("b")).withColumn("t", F.col("b") + ((F.col("ord") - 1) % 5 - 2) * 0.15)
     return s.select("vid", "ord", "t", round_to(crossfade(F.col("t"), F.col("b"), F.lit(0.6)), 6).alias("alpha"))
 
 

@@ -210,13 +210,13 @@ def join19(b):
     return g.select("pid", F.explode(merge.assign_best(F.col("want"), F.col("have"), merge.overlaps, 0.3)).alias("m")).select("pid", "m.ord", "m.other", round_to(F.col("m.score"), 6).alias("iou"))
 
 
-@query("join_20_scene_overlap", "fx_timing", sql=f""", a AS (SELECT * FROM fx_timing WHERE ord % 2 = 0), b AS (SELECT * FROM fx_timing WHERE ord % 2 = 1 AND ord < 40)
-  SELECT vid, lid, arg_max(other, (ov, -oord)) AS other, {r('max(ov)')} AS overlap FROM (SELECT a.vid, a.lid, b.lid AS other, b.ord AS oord, least(a.t_out, b.t_out) - greatest(a.t_in, b.t_in) AS ov FROM a JOIN b ON a.vid = b.vid AND a.ord < 40) WHERE ov > 0 GROUP BY vid, lid""")
+@query("join_20_scene_overlap", "fx_timing", sql=f""", a AS (SELECT * FROM fx_timing WHERE ord % 2 = 0), b AS (SELECT * FROM fx_timing WHERE ord % 2 = 1)
+  SELECT vid, lid, arg_max(other, (ov, -oord)) AS other, {r('max(ov)')} AS overlap FROM (SELECT a.vid, a.lid, b.lid AS other, b.ord AS oord, least(a.t_out, b.t_out) - greatest(a.t_in, b.t_in) AS ov FROM a JOIN b ON a.vid = b.vid) WHERE ov > 0 GROUP BY vid, lid""")
 def join20(t):
-    a, b = t.where("ord % 2 = 0 AND ord < 40").alias("a"), t.where("ord % 2 = 1 AND ord < 40").alias("b")
-    ov = F.least("a.t_out", "b.t_out") - F.greatest("a.t_in", "b.t_in")
-    j = a.join(b, F.col("a.vid") == F.col("b.vid")).select("a.vid", "a.lid", F.col("b.lid").alias("other"), F.col("b.ord").alias("oord"), ov.alias("ov")).where("ov > 0")
-    return j.groupBy("vid", "lid").agg(F.max_by("other", F.struct("ov", -F.col("oord"))).alias("other"), round_to(F.max("ov"), 6).alias("overlap"))
+    from ..operators.spatial import best_overlap
+
+    a, b = t.where("ord % 2 = 0").select("vid", "lid", "t_in", "t_out"), t.where("ord % 2 = 1").select("vid", "t_in", "t_out", "ord", F.col("lid").alias("other"))
+    return best_overlap(a, b, "vid", "t_in", "t_out", "ord", "other").select("vid", "lid", "other", round_to(F.col("overlap"), 6).alias("overlap"))
 
 
 @query("join_21_cut_match", "fx_timing", sql=None)

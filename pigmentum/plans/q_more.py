@@ -41,10 +41,10 @@ def src16(q):
     return providers.health(q.select((F.col("event_id") % 4 != 0).alias("enabled"), F.lit(10).alias("duration_ms"), F.when(F.col("event_id") % 7 == 0, "HTTP 500").alias("error")))
 
 
-@query("udf_01_sql_functions", "fx_palette", "fx_boxes", sql=f"SELECT u.pid, u.ord, {r(iou_sql('u.', 'v.'))} AS iou, (SELECT {r('avg(' + REDMEAN_SQL.format(a='p.', b='q.') + ')', 3)} FROM fx_palette p JOIN fx_palette q ON p.pid = q.pid AND q.ord = p.ord + 1 WHERE p.pid = u.pid) AS apart FROM fx_boxes u JOIN fx_boxes v ON u.pid = v.pid AND v.ord = u.ord + 1 WHERE u.pid < 40")
+@query("udf_01_sql_functions", "fx_palette", "fx_boxes", sql=f"SELECT u.pid, u.ord, {r(iou_sql('u.', 'v.'))} AS iou, (SELECT {r('avg(' + REDMEAN_SQL.format(a='p.', b='q.') + ')', 3)} FROM fx_palette p JOIN fx_palette q ON p.pid = q.pid AND q.ord = p.ord + 1 WHERE p.pid = u.pid) AS apart FROM fx_boxes u JOIN fx_boxes v ON u.pid = v.pid AND v.ord = u.ord + 1")
 def udf01(p, b):
     spark = p.sparkSession
     register.register(spark, "pg_")
     apart = spark.sql("SELECT p.pid, avg(pg_color_distance(p.r, p.g, p.b, q.r, q.g, q.b)) AS d FROM {p} p JOIN {p} q ON p.pid = q.pid AND q.ord = p.ord + 1 GROUP BY p.pid", p=p)
-    iou = spark.sql("SELECT b.pid, b.ord, pg_box_iou(b.x, b.y, b.w, b.h, c.x, c.y, c.w, c.h) AS iou FROM {b} b JOIN {b} c ON b.pid = c.pid AND c.ord = b.ord + 1 WHERE b.pid < 40", b=b)
+    iou = spark.sql("SELECT b.pid, b.ord, pg_box_iou(b.x, b.y, b.w, b.h, c.x, c.y, c.w, c.h) AS iou FROM {b} b JOIN {b} c ON b.pid = c.pid AND c.ord = b.ord + 1", b=b)
     return iou.join(apart, "pid", "left").select("pid", "ord", round_to(F.col("iou"), 6).alias("iou"), round_to(F.col("d"), 3).alias("apart"))

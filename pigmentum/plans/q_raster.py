@@ -225,7 +225,7 @@ def iter05(fx):
     return x.select("scene", "f", "t", "v").groupBy("scene").applyInPandas(one, "scene bigint, t double, dx double, opacity double, rest boolean")
 
 
-@query("iter_06_fit_tween", "fx_timing", sql=None)
+@query("iter_06_fit_tween", "fx_timing", sql="SELECT vid, ord, 'ease-out' AS easing, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy FROM fx_timing")
 def iter06(t):
     """A known slide is sampled and fitted back."""
 
@@ -240,14 +240,19 @@ def iter06(t):
     return raster.per_row(rows, one, "vid bigint, ord int, easing string, dx int, dy int")
 
 
-@query("iter_07_fit_motion", "fx_timing", sql="SELECT vid, ord, 2 AS keys FROM fx_timing WHERE ord <= 3")
+@query("iter_07_fit_motion", "fx_timing", sql="""SELECT vid, ord, 0 AS n, CAST(0.05 AS DOUBLE) AS t, CASE WHEN abs(dx) < 1.5 THEN 0 ELSE dx END AS dx, CASE WHEN abs(dy) < 1.5 THEN 0 ELSE dy END AS dy, CAST(0 AS DOUBLE) AS opacity, 'linear' AS easing FROM fx_timing
+  UNION ALL SELECT vid, ord, 1, 0.19, 0, 0, 1, 'linear' FROM fx_timing""")
 def iter07(t):
+    """A slide and fade over five frames must come back as its two keys."""
+
     def one(row):
         o = np.array([0, 0, 0.2, 0.5, 0.8, 1, 1, 1, 1, 1])
         s = np.stack([np.arange(10) / 25, (1 - o) * row.dx, (1 - o) * row.dy, np.ones(10), o, o == 1], 1)
-        return [(row.vid, row.ord, len(kernels.fit_motion(s, 5.0, 1.0, 40.0)))]
+        keys = kernels.fit_motion(s, 5.0, 1.0, 40.0)
+        return [(row.vid, row.ord, i, round(k["t"], 6), k["dx"], k["dy"], k["opacity"], k["easing"]) for i, k in enumerate(keys)]
 
-    return raster.per_row(t.where("ord <= 3").select("vid", "ord", "dx", "dy"), one, "vid bigint, ord int, keys int")
+    rows = t.select("vid", "ord", "dx", "dy").repartition(4 * t.sparkSession.sparkContext.defaultParallelism, "vid", "ord")
+    return raster.per_row(rows, one, "vid bigint, ord int, n int, t double, dx double, dy double, opacity double, easing string")
 
 
 @query("win_04_crossfades", "fx_frames", sql=None)

@@ -26,11 +26,10 @@ def phrases(spark: SparkSession) -> DataFrame:
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     v = lambda n: fixtures.view(spark, d, n)
     boxes, layers = v("fx_boxes"), v("fx_layers")
-    few = F.col("pid") < 200
-    pal = palette.build(v("fx_palette").where(few)).withColumn("ord", F.col("place"))
-    back = boxes.where(few & (F.col("ord") == 1)).select("pid", "ord", F.element_at(F.array(*map(F.lit, ("texture", "blur", "overlay", "lighting"))), (F.col("pk") % 4 + 1).cast("int")).alias("kind"), "label", "conf")
+    pal = palette.build(v("fx_palette")).withColumn("ord", F.col("place"))
+    back = boxes.where("ord = 1").select("pid", "ord", F.element_at(F.array(*map(F.lit, ("texture", "blur", "overlay", "lighting"))), (F.col("pk") % 4 + 1).cast("int")).alias("kind"), "label", "conf")
     grad = pal.where("place = 1").select("pid", "ord", F.concat(F.lit("linear-gradient(90deg, "), "hex", F.lit(" 0%)")).alias("css"), F.lit("Background").alias("region"))
-    return {"texts": v("fx_texts").where(few), "objects": boxes.where(few), "palette": pal, "backgrounds": back, "gradients": grad, "layers": layers.where(few)}
+    return {"texts": v("fx_texts"), "objects": boxes, "palette": pal, "backgrounds": back, "gradients": grad, "layers": layers}
 
 
 def _w(p: str) -> str:
@@ -52,20 +51,20 @@ INTENTS = f"""ph AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{_q(p)}')" for i,
     {_ROLES} WHEN {_SIZE} <> '' THEN ['Text larger than ' || {_SIZE} || 'px', 'size', {_SIZE}, ''] WHEN {_w(search.TEXT_WORDS)} THEN ['All text layers', 'layer', 'text', ''] WHEN {_w('layers?')} THEN ['All layers', 'layer', '', '']
     {_OBJECTS} ELSE ['Matches for “' || trim(query) || '”', 'any', q, ''] END AS z FROM pc),
   it AS (SELECT qid, query, z[1] AS intent, z[2] AS target, z[3] AS arg, z[4] AS sub FROM pr)"""
-PALETTE = f"{TWINS}, sw AS (SELECT pid, place AS ord, {HEX} AS hex, {FAMILY_SQL} AS family, {NAME_SQL} AS cname, role, weight FROM pl WHERE pid < 200)"
+PALETTE = f"{TWINS}, sw AS (SELECT pid, place AS ord, {HEX} AS hex, {FAMILY_SQL} AS family, {NAME_SQL} AS cname, role, weight FROM pl)"
 _PCT = lambda x: f"CAST({whole(f'{x} * 100')} AS STRING) || '%'"
 HITS = {
     "color": f"SELECT qid, pid, 'color' AS type, 0 AS branch, ord, cname || ' ' || hex AS title, role || ' · ' || {_PCT('weight')} AS subtitle FROM sw JOIN it ON target = 'color' AND (arg = '' OR arg = family OR (arg = 'gold' AND family IN ('yellow', 'brown')))",
     "gradient": "SELECT qid, pid, 'color', 0, ord, 'linear-gradient(90deg, ' || hex || ' 0%)', 'Background' FROM sw JOIN it ON target = 'gradient' WHERE ord = 1",
-    "background": f"SELECT qid, pid, 'background', 0, ord, label, bk || ' · ' || {_PCT('conf')} FROM (SELECT *, CASE pk % 4 WHEN 0 THEN 'texture' WHEN 1 THEN 'blur' WHEN 2 THEN 'overlay' ELSE 'lighting' END AS bk FROM bx WHERE ord = 1) JOIN it ON target = 'background' AND (arg = '' OR arg = bk)",
-    "role": "SELECT qid, pid, 'text', 0, ord, txt, family || ' ' || CAST(weight AS STRING) || ' · ' || CAST(CAST(size AS BIGINT) AS STRING) || 'px' FROM tx JOIN it ON target = 'role' AND arg = role",
-    "size": "SELECT qid, pid, 'text', 0, ord, txt, CAST(CAST(size AS BIGINT) AS STRING) || 'px ' || family FROM tx JOIN it ON target = 'size' AND size > TRY_CAST(arg AS DOUBLE)",
-    "layer": "SELECT qid, pid, 'layer', 0, CASE WHEN arg = '' THEN -z ELSE z END, name, type || ' layer' FROM ly JOIN it ON target = 'layer' AND (arg = '' OR (arg = 'text' AND type = 'text'))",
-    "object": f"SELECT qid, pid, 'object', 0, ord, label, kind || ' · ' || {_PCT('conf')} FROM bx JOIN it ON target = 'object' AND (arg = '*' OR arg = kind) AND (sub = '' OR regexp_matches(lower(label), sub))",
-    "any": """SELECT qid, pid, 'text', 0, ord, txt, role FROM tx JOIN it ON target = 'any' AND contains(lower(txt), arg) UNION ALL SELECT qid, pid, 'object', 1, ord, label, kind FROM bx JOIN it ON target = 'any' AND (contains(lower(label), arg) OR contains(kind, arg))
+    "background": f"SELECT qid, pid, 'background', 0, ord, label, bk || ' · ' || {_PCT('conf')} FROM (SELECT *, CASE pk % 4 WHEN 0 THEN 'texture' WHEN 1 THEN 'blur' WHEN 2 THEN 'overlay' ELSE 'lighting' END AS bk FROM fx_boxes WHERE ord = 1) JOIN it ON target = 'background' AND (arg = '' OR arg = bk)",
+    "role": "SELECT qid, pid, 'text', 0, ord, txt, family || ' ' || CAST(weight AS STRING) || ' · ' || CAST(CAST(size AS BIGINT) AS STRING) || 'px' FROM fx_texts JOIN it ON target = 'role' AND arg = role",
+    "size": "SELECT qid, pid, 'text', 0, ord, txt, CAST(CAST(size AS BIGINT) AS STRING) || 'px ' || family FROM fx_texts JOIN it ON target = 'size' AND size > TRY_CAST(arg AS DOUBLE)",
+    "layer": "SELECT qid, pid, 'layer', 0, CASE WHEN arg = '' THEN -z ELSE z END, name, type || ' layer' FROM fx_layers JOIN it ON target = 'layer' AND (arg = '' OR (arg = 'text' AND type = 'text'))",
+    "object": f"SELECT qid, pid, 'object', 0, ord, label, kind || ' · ' || {_PCT('conf')} FROM fx_boxes JOIN it ON target = 'object' AND (arg = '*' OR arg = kind) AND (sub = '' OR regexp_matches(lower(label), sub))",
+    "any": """SELECT qid, pid, 'text', 0, ord, txt, role FROM fx_texts JOIN it ON target = 'any' AND contains(lower(txt), arg) UNION ALL SELECT qid, pid, 'object', 1, ord, label, kind FROM fx_boxes JOIN it ON target = 'any' AND (contains(lower(label), arg) OR contains(kind, arg))
       UNION ALL SELECT qid, pid, 'color', 2, ord, cname || ' ' || hex, role FROM sw JOIN it ON target = 'any' AND (contains(lower(hex), arg) OR contains(lower(cname), arg))""",
 }
-BASE = f"{fixtures.duckdb_with('fx_boxes', 'fx_texts', 'fx_layers', 'fx_palette')}, bx AS (SELECT * FROM fx_boxes WHERE pid < 200), tx AS (SELECT * FROM fx_texts WHERE pid < 200), ly AS (SELECT * FROM fx_layers WHERE pid < 200), {PALETTE}, {INTENTS}"
+BASE = f"{fixtures.duckdb_with('fx_boxes', 'fx_texts', 'fx_layers', 'fx_palette')}, {PALETTE}, {INTENTS}"
 
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
@@ -103,11 +102,11 @@ def qry10(p):
     return b.select("pid", "place", F.concat_ws(" ", color.name(F.col("h"), F.col("s"), F.col("l")), "hex").alias("title"), F.concat_ws(" · ", "role", search.percent(F.col("weight"))).alias("subtitle"))
 
 
-@query("qry_11_library_filter", "fx_projects", sql="SELECT id, name, CAST(row_number() OVER (ORDER BY dna DESC, id) AS INT) AS place FROM fx_projects WHERE starred AND (contains(lower(name), '00') OR contains(lower(design_type), 'event')) ORDER BY place LIMIT 100")
+@query("qry_11_library_filter", "fx_projects", sql="SELECT id, name, CAST(row_number() OVER (ORDER BY dna DESC, id) AS INT) AS place FROM fx_projects WHERE starred AND (contains(lower(name), '00') OR contains(lower(design_type), 'event'))")
 def qry11(p):
     from ..operators.library import browse
 
-    return browse(p, text="00", or_type="event", starred=True, sort="dna", n=100).select("id", "name", "place")
+    return browse(p, text="00", or_type="event", starred=True, sort="dna").select("id", "name", "place")
 
 
 @query("qry_12_palette_project_search", "fx_projects", sql="SELECT id, name FROM fx_projects WHERE contains(lower(name), '1') ORDER BY updated_at DESC NULLS LAST, id LIMIT 6")

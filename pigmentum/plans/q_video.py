@@ -67,26 +67,28 @@ def win08(fx):
     return x.groupBy("scene").agg(F.max_by("f", F.struct("n", -F.col("f"))).alias("keyframe"), F.max("n").alias("n"), (F.max("n") < 256 * 0.002).alias("empty"))
 
 
-FEW = "(SELECT vid, t_in * 3 AS time, CASE WHEN lid % 2 = 0 THEN 0.6 ELSE 0.9 END AS length, CAST(lid % 97 AS DOUBLE) / 97 AS share, ord FROM fx_timing WHERE ord <= 24)"
+FADES = "(SELECT vid, t_in * 3 AS time, CASE WHEN lid % 2 = 0 THEN 0.6 ELSE 0.9 END AS length, CAST(lid % 97 AS DOUBLE) / 97 AS share, ord FROM fx_timing)"
 
 
-@query("win_05_fade_suppression", "fx_timing", sql=f""", c AS {FEW}, g AS (SELECT vid, list_reduce(list([struct_pack(time := time, length := length)] ORDER BY share DESC, ord), lambda acc, x:
+@query("win_05_fade_suppression", "fx_timing", sql=f""", c AS {FADES}, g AS (SELECT vid, list_reduce(list([struct_pack(time := time, length := length)] ORDER BY share DESC, ord), lambda acc, x:
    CASE WHEN len(list_filter(acc, lambda k: abs(k.time - x[1].time) < greatest(0.5, (k.length + x[1].length) / 2))) > 0 THEN acc ELSE list_concat(acc, x) END) AS m FROM c GROUP BY vid),
   s AS (SELECT vid, unnest(m) AS k FROM g), o AS (SELECT vid, k.time AS time, k.time - lag(k.time) OVER (PARTITION BY vid ORDER BY k.time, k.length) AS gap FROM s) SELECT vid, {r('time', 3)} AS time FROM o WHERE gap IS NULL OR gap > 0.3""")
 def win05(t):
-    few = t.where("ord <= 24").select("vid", "ord", (F.col("t_in") * 3).alias("time"), F.when(F.col("lid") % 2 == 0, 0.6).otherwise(0.9).alias("length"), (-(F.col("lid") % 97).cast("double") / 97).alias("neg"))
-    g = few.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("neg", "ord", "time", "length"))).alias("items"))
+    found = t.select("vid", "ord", (F.col("t_in") * 3).alias("time"), F.when(F.col("lid") % 2 == 0, 0.6).otherwise(0.9).alias("length"), (-(F.col("lid") % 97).cast("double") / 97).alias("neg"))
+    # of equal fades only the best can stay
+    best = found.groupBy("vid", "time", "length").agg(F.min(F.struct("neg", "ord")).alias("o"))
+    g = best.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("o", "time", "length"))).alias("items"))
     fades = F.transform("items", lambda s: F.struct(s["time"].alias("time"), s["length"].alias("length")))
     kept = video.suppress(fades, F.array().cast("array<struct<time:double,length:double>>"))
     times = F.transform(kept, lambda s: s["time"])
     return g.withColumn("times", times).select("vid", F.explode(video.spaced(F.col("times"))).alias("time")).select("vid", round_to(F.col("time"), 3).alias("time"))
 
 
-@query("win_06_fold_short_scenes", "fx_timing", sql=f""", c AS (SELECT vid, list_sort(list(DISTINCT t_in * 4)) AS ts FROM fx_timing WHERE ord <= 24 GROUP BY vid),
+@query("win_06_fold_short_scenes", "fx_timing", sql=f""", c AS (SELECT vid, list_sort(list(DISTINCT t_in * 4)) AS ts FROM fx_timing GROUP BY vid),
   g AS (SELECT vid, list_reduce(list_prepend([CAST(21.0 AS DOUBLE)], list_transform(list_reverse(ts), lambda x: [x])), lambda acc, x: CASE WHEN x[1] - coalesce(list_max(list_filter(ts, lambda q: q < x[1])), 0) < 0.7 OR acc[len(acc)] - x[1] < 0.7 THEN acc ELSE list_concat(acc, x) END) AS m FROM c),
   u AS (SELECT vid, unnest(m[2:]) AS time FROM g) SELECT vid, {r('time', 3)} AS time FROM u""")
 def win06(t):
-    g = t.where("ord <= 24").groupBy("vid").agg(F.array_sort(F.collect_set(F.col("t_in") * 4)).alias("ts"))
+    g = t.groupBy("vid").agg(F.array_sort(F.collect_set(F.col("t_in") * 4)).alias("ts"))
     return g.select("vid", F.explode(video.fold_short(F.col("ts"), F.lit(21.0))).alias("time")).select("vid", round_to(F.col("time"), 3).alias("time"))
 
 
@@ -117,7 +119,7 @@ def win12(t):
     return d.select("vid", F.explode(ticks(F.col("d"), step)).alias("tick"), step.alias("step"), (round_to(F.col("d") / 0.05, 0) * 0.05).alias("snapped"))
 
 
-CUES = """, it AS (SELECT vid, ord, greatest(0, t_in) AS s, least(5, t_out) AS e, y, upper(txt) AS txt FROM fx_timing WHERE ord <= 16 AND least(5, t_out) - greatest(0, t_in) >= 0.1),
+CUES = """, it AS (SELECT vid, ord, greatest(0, t_in) AS s, least(5, t_out) AS e, y, upper(txt) AS txt FROM fx_timing WHERE least(5, t_out) - greatest(0, t_in) >= 0.1),
   cu AS (SELECT vid, list_reduce(list([struct_pack(s := CAST(s AS DOUBLE), e := CAST(e AS DOUBLE), lines := [struct_pack(y := y, n := 0, txt := txt)])] ORDER BY ord), lambda acc, x:
     CASE WHEN list_position(list_transform(acc, lambda q: abs(q.s - x[1].s) < 0.15 AND abs(q.e - x[1].e) < 0.15), true) > 0 THEN list_transform(acc, lambda k, i: CASE WHEN i = list_position(list_transform(acc, lambda q: abs(q.s - x[1].s) < 0.15 AND abs(q.e - x[1].e) < 0.15), true)
       THEN struct_pack(s := k.s, e := k.e, lines := list_concat(k.lines, [struct_pack(y := x[1].lines[1].y, n := len(k.lines), txt := x[1].lines[1].txt)])) ELSE k END) ELSE list_concat(acc, x) END) AS m FROM it GROUP BY vid),
@@ -125,15 +127,14 @@ CUES = """, it AS (SELECT vid, ord, greatest(0, t_in) AS s, least(5, t_out) AS e
 
 
 def _cues(t):
-    it = t.where("ord <= 16").select("vid", "ord", F.greatest(F.lit(0.0), "t_in").alias("start"), F.least(F.lit(5.0), "t_out").alias("end"), "y", F.upper("txt").alias("text")).where("end - start >= 0.1")
-    g = it.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "y", "text"))).alias("items"))
-    return g.select("vid", video.cues(F.col("items")).alias("cues"))
+    it = t.select("vid", "ord", F.greatest(F.lit(0.0), "t_in").alias("start"), F.least(F.lit(5.0), "t_out").alias("end"), "y", F.upper("txt").alias("text")).where("end - start >= 0.1")
+    return video.cues(it, "vid", "ord")
 
 
 @query("agg_34_caption_cues", "fx_timing", sql=f"{CUES} SELECT vid, CAST(n - 1 AS INT) AS n, s, e, lines FROM cs")
 def agg34(t):
-    c = _cues(t).select("vid", F.posexplode("cues").alias("n", "c"))
-    return c.select("vid", "n", F.col("c.start").alias("s"), F.col("c.end").alias("e"), F.array_join(F.transform("c.lines", lambda x: x["text"]), "/").alias("lines"))
+    c = _cues(t).withColumn("n", (F.row_number().over(Window.partitionBy("vid").orderBy("start", "end", "lines")) - 1))
+    return c.select("vid", "n", F.col("start").alias("s"), F.col("end").alias("e"), F.array_join(F.transform("lines", lambda x: x["text"]), "/").alias("lines"))
 
 
 def _stamp(x: str, sep: str) -> str:
@@ -146,7 +147,8 @@ def _stamp(x: str, sep: str) -> str:
 def snk15(t):
     from ..operators.export import srt, vtt
 
-    return _cues(t).select("vid", srt(F.col("cues")).alias("srt"), vtt(F.col("cues")).alias("vtt"))
+    files = _cues(t).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "lines"))).alias("cues"))
+    return files.select("vid", srt(F.col("cues")).alias("srt"), vtt(F.col("cues")).alias("vtt"))
 
 
 @query("agg_35_frame_quality", "fx_frames", sql=f"SELECT a.f, {r('avg(abs(a.v - b.v)) + 1e-9', 4)} AS mad, {r('10 * log10(255.0 * 255 / avg((a.v - b.v) * (a.v - b.v)))', 4)} AS psnr FROM fx_frames a JOIN fx_frames b ON b.f = a.f + 1 AND a.px = b.px AND a.py = b.py GROUP BY a.f")

@@ -256,3 +256,13 @@ def test_stream_dedupe_and_autosave(spark, tmp_path):
     saves = stream_frames.autosaves(stream, "video", delay="0 seconds").writeStream.format("memory").queryName("saves").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     saves.awaitTermination()
     assert [r.edits for r in spark.table("saves").collect()][:1] == [5]
+
+
+def test_abbreviated_versus_needs_a_word_after_it(spark):
+    """An edge after "v." means that a word goes on there."""
+    from pigmentum.operators import classify
+
+    rows = [(1, "team v. other"), (2, "team v.other"), (3, "vs fc"), (4, "cup-final"), (5, "cups")]
+    facts = spark.createDataFrame(rows, "pid int, all string").selectExpr("*", "1.0D aspect", "0.0D edge_density", "50.0D colorfulness", "1 lines", "0 scores", "0 statistics", "0 dates", "0 objects", "0 persons", "0 logos", "0 products")
+    got = {r.pid: r.s for r in facts.select("pid", classify.scores(facts)["Sports Poster"].alias("s")).collect()}
+    assert got == {1: 0.0, 2: 2.2, 3: 4.4, 4: 4.4, 5: 0.0}
