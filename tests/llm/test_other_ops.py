@@ -106,7 +106,7 @@ def test_sql_of_top_k(spark):
 
 def test_pipeline_on_a_small_table(spark, tmp_path):
     import corpus_pipeline
-    from pigmentum.llm import bpe, quality, simhash
+    from pigmentum.llm import bpe, quality
 
     docs = spark.read.parquet(f"{D}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 4
@@ -117,21 +117,16 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     rows = [r for r in docs.collect() if quality.accepts(quality.measure(r.text or ""))]
-    first = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        f = simhash.fingerprint(r.text) % (1 << 64)
-        first.setdefault(f, r.doc_id)
-    fps = list(first)
-    group = {f: f for f in fps}
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if (a ^ b).bit_count() <= 4 and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b], key=lambda g: (first[g], g))
-                    changed = True
-    want = sorted({min(first[f] for f in fps if group[f] == g) for g in set(group.values())})
+    # near-duplicates: Jaccard similarity of 0.8 or more over five-word shingles, directly or not
+    shingles = {r.doc_id: (lambda w: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))(r.text.lower().split()) for r in rows}
+    group = {i: i for i in shingles}
+    for i in sorted(shingles):
+        for j in shingles:
+            a, b = shingles[i], shingles[j]
+            if j < i and 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    want = sorted(set(group.values()))
     assert sorted(r.doc_id for r in now.collect()) == want
     plan = corpus_pipeline.run(spark, D).collect()
     lengths = Counter()

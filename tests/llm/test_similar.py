@@ -1,13 +1,14 @@
-"""Near-duplicates of the pipeline against brute force over planted copies.
-
-test_other_ops.py::test_pipeline_on_a_small_table expects links of four bits of 64. On its table
-document 177 has a copy of similarity 0.83 that is nine bits away, so it goes here and stays there.
-"""
+"""Near-duplicates of the pipeline against brute force over planted copies, and the grids of op9."""
 
+import itertools
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from pigmentum.llm import similar
+from pigmentum.llm import simhash, similar
+from pigmentum.llm.components import components
 
 
 def shingles(text):
@@ -89,3 +90,64 @@ def test_odd_rows(spark):
     got = corpus_pipeline.near_dedup(spark, table, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a b"), (0, "a b"), (1, ""), (4, "a b"), (7, "one two three"), (8, "x y z")]
     assert corpus_pipeline.near_dedup(spark, table.limit(0), "").count() == 0
+
+
+def test_repeated_ids_are_judged_row_by_row(spark):
+    """A doc_id that stands for several texts names none of them: each row is judged by its own text."""
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"{k}{rng.randrange(300)}" for _ in range(80)) for k in "abc")
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (5, b, 4), (5, c, 5), (6, c, 6), (6, c, 6), (9, "x", 7), (9, "x", 8), (9, "x", 8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumnRenamed("row", "_gone_id").repartition(3)
+    for keep in (simhash.keep_one, similar.keep_one):
+        got = keep(table)
+        assert got.columns == table.columns
+        kept = sorted(map(tuple, got.collect()))
+        # b's first id is 5, so 7 goes there; c's is 5 as well; of the rows with x one stays
+        assert [r[:2] for r in kept] == sorted([(3, a), (5, b), (5, c), (9, "x")])
+
+
+@pytest.mark.parametrize("groups", [6, 7, 9])
+def test_finer_grids_lose_nothing(spark, groups, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(groups)
+    fps = {rng.getrandbits(64) for _ in range(60)} | {0, (1 << 64) - 1}
+    for f in list(fps):
+        for _ in range(rng.choice([0, 1, 40])):
+            g = f
+            for b in rng.sample(range(64), rng.randint(1, 4)):
+                g ^= 1 << b
+            fps.add(g)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    table = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = {r.node: r.root for r in components(simhash.links(table, 4, groups)).collect()}
+    left, want = set(fps), {}
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            x = todo.pop()
+            group.append(signed(x))
+            near = {y for y in left if (x ^ y).bit_count() <= 4}
+            left -= near
+            todo += near
+        want |= dict.fromkeys(group, min(group))
+    assert {n: got.get(n, n) for n in want} == want
+
+
+def test_comparisons_level_off():
+    """With the number of groups that follows from the number of fingerprints, one meets about as many others at any size."""
+    met = {}
+    for n in (250_000, 1_000_000, 4_000_000):
+        g = simhash.groups_for(n)
+        load = 0.0
+        rng = np.random.default_rng(g)
+        sample = rng.integers(0, 1 << 64, 200_000, np.uint64)
+        half = np.uint64(0x5555555555555555)
+        odd, even = (sample >> np.uint64(1)) & half, sample & half
+        emb = ((odd & even) << np.uint64(1)) | (odd ^ even)
+        for chosen in itertools.combinations(range(g), g - 4):
+            mask = sum(3 << (2 * i) for c in chosen for i in range(c * 32 // g, (c + 1) * 32 // g))
+            _, size = np.unique(emb & np.uint64(mask), return_counts=True)
+            load += float((size.astype(float) * (size - 1)).sum()) / len(sample) * n / len(sample)
+        met[n] = load
+        assert len(list(itertools.combinations(range(g), 4))) <= 210
+    assert max(met.values()) < 900, met
