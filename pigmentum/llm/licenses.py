@@ -16,32 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
+from .license_texts import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-_O, _E = "<<beginOptional>>", "<<endOptional>>"
-_WARRANTY = f"""this software is provided {_O}by the copyright holders and contributors{_E} "as is" """
-
-#: label -> template.
-TEMPLATES = {
-    "mit-notice": f"{_O}this <<var;name=what;words=1-4>> is{_E} <<var;name=verb;words=1-1>> under {_O}the terms of{_E} the mit license",
-    "mit-text": f"""permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "software"), to deal in the software without restriction, including without limitation the rights
-        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to
-        whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission
-        notice {_O}(including the next paragraph){_E} shall be included in all copies or substantial portions of the software.""",
-    "apache-2.0": f"licensed under the apache license {_O},{_E} version 2.0 {_O}(the license); you may not use this file except in compliance with the license{_E}",
-    "gpl-2.0": f"under the {_O}terms of the{_E} gnu general public license {_O}as published by the free software foundation; either{_E} version 2 {_O}of the license{_E}",
-    "gpl-3.0": f"under the {_O}terms of the{_E} gnu general public license {_O}as published by the free software foundation; either{_E} version 3 {_O}of the license{_E}",
-    "bsd": f"""redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met <<var;name=list;words=0-160>> {_WARRANTY}""",
-    "isc": f"""permission to use, copy, modify, and {_O}or{_E} distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies""",
-    "cc-by-nc-4.0": f"licensed under {_O}a{_E} {_O}creative commons{_E} cc by nc 4.0",
-    "all-rights-reserved": f"{_O}copyright <<var;name=holder;words=0-8>>{_E} all rights reserved",
-}
-
 #: Everything but the words' bytes becomes a space; A-Z become a-z.
 _TABLE = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 
@@ -130,10 +109,11 @@ class Scanner:
         """(first word, label) of every place of every phrase; norm: the words between single spaces."""
         for phrase, label in self.phrases.items():
             what = b" " + b" ".join(phrase) + b" "
-            at = norm.find(what)
+            at, before, n = norm.find(what), 0, 0
             while at >= 0:
-                yield norm.count(b" ", 0, at), label
-                at = norm.find(what, at + 1)
+                n += norm.count(b" ", before, at)
+                yield n, label
+                before, at = at, norm.find(what, at + 1)
 
     def found(self, words: list[bytes], norm: bytes) -> Iterator[tuple[int, int, str]]:
         """(first word, end, label) of every place where a template's automaton accepts."""
@@ -178,8 +158,9 @@ def scanner() -> Scanner:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """A row per document: base phrase places, labels, score, and spans (first word, end, label).
 
-    A null text counts as empty: no words, no labels, score 0. A text is searched whole, whatever
-    its length. Repeated rows repeat; an empty table gives no rows; other columns aren't read.
+    A null text counts as empty: no words, no labels, score 0. A text is searched whole, in time
+    linear in its length. Repeated rows repeat, a null doc_id stays null; an empty table gives no
+    rows; other columns aren't read.
     """
 
     def run(batches):
