@@ -86,6 +86,13 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
             at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             return k[at], np.add.reduceat(np.concatenate([x[1] for x in parts[lang]])[order], at)
 
+        def rows():
+            for lang in parts:
+                keys, counts = flush(lang)
+                for at in range(0, len(keys), 50_000):
+                    k = keys[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(counts[at : at + 50_000].astype(np.int64))], ["lang", "gram", "n"])
+
         for b in batches:
             for lang, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                 got = _counted(_grams(_codes(text)))
@@ -95,11 +102,10 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
                 if held > 3_000_000:
                     parts = {x: [flush(x)] for x in parts}
                     held = sum(len(x[0][0]) for x in parts.values())
-        for lang in parts:
-            keys, counts = flush(lang)
-            for at in range(0, len(keys), 50_000):
-                k = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(counts[at : at + 50_000].astype(np.int64))], ["lang", "gram", "n"])
+                    if held > 1_500_000:  # as many different ones: they go on, to be summed by the shuffle
+                        yield from rows()
+                        parts, held = {}, 0
+        yield from rows()
 
     rows = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = map_batches(rows, ["text", "lang"], run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

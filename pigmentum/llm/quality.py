@@ -86,12 +86,12 @@ def measure(text: str, lengths: tuple[int, ...] = tuple(LIMITS)) -> dict:
             elif line and not line.isspace():
                 known.add(line)
         out["line_share"] = dup / max(1, chars)
-    if len(words) < 6:
+    wanted = sorted({*lengths, 8})
+    if len(words) <= wanted[0]:
         return out
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
     if len(seen) == len(words):
         return out
-    wanted = sorted({*lengths, 8})
     hashes = _windows(ids, [n for n in wanted if n <= len(words)] or [1])
     size = None
     for n in wanted:

@@ -9,22 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from .bpe import _PIECE, _UNSTABLE, CACHE_PIECES, ByteBpe, load
+from .bpe import CACHE_PIECES, ByteBpe, load
 from .common import map_batches, texts_of
 
 
 def whole_tokens(bpe: ByteBpe) -> set[str]:
     """Vocabulary strings that are one pre-token and that the library encodes alone as one token."""
-    pre, out = regex.compile(bpe.pattern), set()
+    out = set()
     for i, raw in enumerate(bpe.bytes_of):
         try:
             s = raw.decode()
         except UnicodeDecodeError:
             continue
-        if s and s not in bpe.special and not _UNSTABLE.search(s) and pre.fullmatch(s) and bpe._merge(s) == np.uint32(i).tobytes():
+        if s and s not in bpe.special and (pieces := bpe.pre_tokens(s)) and len(pieces) == 1 and bpe._merge(s) == np.uint32(i).tobytes():
             out.add(s)
     return out
 
@@ -48,9 +47,7 @@ class TokenCounter(dict):
         return n
 
     def _plain(self, text: str) -> int:
-        if _UNSTABLE.search(text):
-            return len(self.bpe.hf.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.__getitem__, _PIECE.findall(text)))
+        return sum(map(self.__getitem__, self.bpe.pre_tokens(text)))
 
     def count(self, text: str) -> int:
         special = self.bpe._special
@@ -71,7 +68,8 @@ def counter(path: str | None = None) -> TokenCounter:
 def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row, without a shuffle.
 
-    A null text counts as empty: no bytes, no tokens. Repeated rows repeat; other columns aren't read.
+    A null text counts as empty: no bytes, no tokens. Repeated rows repeat, a null doc_id stays
+    null; an empty table gives no rows; other columns aren't read.
     """
 
     def run(batches):

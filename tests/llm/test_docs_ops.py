@@ -151,6 +151,47 @@ def test_bpe_trees_agree_with_the_library():
     assert bpe.load().decode(bpe.load().encode(long)) == long
 
 
+#: Letters, numbers, spaces, marks and signs far from Latin, also some that Unicode got lately.
+WORLD = ["你好", "世界", "。", "Привет", "мир", ", ", "مرحبا", "٣٤", "🙂", "👩‍🔬", "\u3000", "\u2028", "\u0085", "\u00a0", "é", "e\u0301", "ไทย", "한국어", "½", "Ⅷ", "\U0001e4d0", "\U00011f04", "\u0c5d", "\ua7c0", "\u200b", "ß", " ", "  ", "\n", "'s", "don't", "ab", "12", "!?", "<|endoftext|>", "\ufeff", "\ufffd"]
+
+
+def test_bpe_in_other_scripts_goes_by_trees(monkeypatch):
+    """Every text is cut, joined and merged here; the library is only asked for characters' classes."""
+    rng, small = random.Random(5), bpe.ByteBpe(bpe.default_path(), 9)
+    hf, count = small.hf, token_counts.TokenCounter(small)
+
+    class OnlyClasses:
+        pre_tokenizer = hf.pre_tokenizer
+
+    small.__dict__["hf"] = OnlyClasses()
+    for k in range(3000):
+        text = "".join(rng.choices(WORLD if k % 3 else WORLD[:8], k=rng.randint(0, 40)))
+        want = hf.encode(text, add_special_tokens=False).ids
+        got = small.encode(text)
+        assert got.tolist() == want, text
+        assert small.decode(got) == hf.decode(want, skip_special_tokens=False)
+        assert count.count(text) == len(want), text
+
+
+def test_bpe_over_a_megabyte_equals_the_library():
+    rng, own = random.Random(6), bpe.load()
+    for parts in (["абв", "где", "ёжз ", "и, "], ["abc", "d'e", "fg ", "st"], ["你", "好", "世", "界", "。"]):
+        text = "".join(rng.choices(parts, k=bpe.PARALLEL_BYTES // 5))
+        text += text[: max(0, bpe.PARALLEL_BYTES - len(text.encode()))] + "end"
+        assert len(text.encode()) > bpe.PARALLEL_BYTES
+        assert own.encode(text).tolist() == own.hf.encode(text, add_special_tokens=False).ids
+
+
+def test_empty_tables(docs):
+    none = docs.limit(0)
+    for df in (licenses.scan(none), bpe.encode_decode(none), quality.judge(none), token_counts.count_tokens(none), quality.filter_kept(none)):
+        assert df.count() == 0
+
+
+def test_quality_with_short_windows():
+    assert quality.measure("a b a b a", (2, 8))["share"][2] == 1.0
+
+
 def test_token_counts(docs, rows):
     tok = bpe.load().hf
     got = token_counts.count_tokens(docs, limit=100).collect()
