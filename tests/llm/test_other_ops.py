@@ -97,6 +97,41 @@ def test_mtree_skips_work():
     assert tree.computed < 0.5 * 10 * 6000
 
 
+def test_repeated_ids_are_queries_of_their_own(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])] + [(i % 150, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(600)] + [(100, [0.5, 0.5])] * 3
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.execute(queries.SQL["op8_top_k"]).fetchall()
+    got = sorted(tuple(r) for r in queries.op8_top_k(spark, str(tmp_path)).collect())
+    assert got == sorted(want) and len(got) == 10 * sum(i % 100 == 0 for i, _ in rows)
+
+
+def test_cells_are_skipped_by_their_bounds():
+    """On clustered vectors most cells are ruled out by a tenth product found at home, and never one that holds a higher product."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 4000, (20, 16)).round()
+    cell = np.repeat(np.arange(20), 200)
+    x = (centres[cell] + rng.normal(0, 50, (4000, 16))).round()
+    radius = np.array([np.sqrt(((x[cell == c] - centres[c]) ** 2).sum(axis=1)).max() for c in range(20)])
+    q, products = x[::100], x[::100] @ x.T
+    least = np.array([np.sort(p[cell == cell[i * 100]])[-10] for i, p in enumerate(products)])
+    open_ = mtree.reachable(q, least, centres, radius)
+    assert open_.mean() < 0.5
+    for i, p in enumerate(products):
+        assert open_[i][np.unique(cell[p >= least[i]])].all()
+
+
+def test_top_k_on_clusters(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 4, (8, 16))
+    rows = list(enumerate((centres[np.repeat(np.arange(8), 250)] + rng.normal(0, 0.05, (2000, 16))).tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.top_k(mtree.whole_vectors(table), F.col("vec_id") % 100 == 0, 10, block=250)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 10)
+
+
 def test_sql_of_top_k(spark):
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{D}/embeddings.parquet'")
