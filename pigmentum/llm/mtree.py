@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_batches
 
-PAGE, FANOUT = 96, 24
+PAGE, FANOUT = 192, 16
 #: Vectors of a block, queries that one building of its tree serves, and pivots of cells at most.
 BLOCK, QUERIES, CELLS = 4096, 16384, 256
 #: Up to this size of components and length of vectors, doubles hold every product and sum exactly.
@@ -38,12 +38,14 @@ _MOST, _LEAST = (1 << 63) - 1, -1 << 63
 
 
 class Node:
-    """A page (rows of the block) or an inner node (children); `far`: entries' distances to the own pivot."""
+    """A page (its rows' places) or an inner node (children); `far`: entries' distances to the own pivot."""
 
-    __slots__ = ("children", "far", "pivot", "radius", "rows")
+    __slots__ = ("children", "far", "pivot", "pivots", "radii", "radius", "rows")
 
     def __init__(self, pivot, rows, far, children=None):
         self.pivot, self.rows, self.far, self.children, self.radius = pivot, rows, far, children, float(far.max(initial=0))
+        if children is not None:
+            self.pivots, self.radii = np.array([c.pivot for c in children]), np.array([c.radius for c in children])
 
 
 class MTree:
@@ -54,6 +56,7 @@ class MTree:
         self.extra = np.sqrt(np.maximum(self.most - self.norm, 0))
         self.computed = self.skipped = 0
         self.root = self._build(np.arange(len(vectors)), 0) if len(vectors) else None
+        self._lay_out()
 
     def _distances(self, rows: np.ndarray, pivot: int) -> np.ndarray:
         d2 = self.norm[rows] + self.extra[rows] ** 2 + self.norm[pivot] + self.extra[pivot] ** 2 - 2 * (self.x[rows] @ self.x[pivot] + self.extra[rows] * self.extra[pivot])
@@ -63,11 +66,12 @@ class MTree:
         far = self._distances(rows, pivot)
         if len(rows) <= self.page:
             return Node(pivot, rows, far)
-        # pivots spread over the rows by distance; each row goes to its nearest
+        # pivots spread over the rows by distance, no more than the pages need; each row goes to its nearest
+        most = min(self.fanout, max(2, math.ceil(1.5 * len(rows) / self.page)))
         picks = [rows[int(far.argmax())]]
         near = self._distances(rows, picks[0])
         table = [near]
-        while len(picks) < self.fanout and near.max() > 0:
+        while len(picks) < most and near.max() > 0:
             picks.append(rows[int(near.argmax())])
             table.append(self._distances(rows, picks[-1]))
             near = np.minimum(near, table[-1])
@@ -81,6 +85,20 @@ class MTree:
         node.radius = float(far.max())
         return node
 
+    def _lay_out(self) -> None:
+        """Keeps each page's vectors side by side: `at` has a row's number in the given order, pages hold (start, end)."""
+        pages, todo = [], [self.root] if self.root else []
+        while todo:
+            node = todo.pop()
+            if node.children is None:
+                pages.append(node)
+            else:
+                todo += node.children
+        self.at = np.concatenate([np.empty(0, np.int64), *(p.rows for p in pages)]).astype(np.int64)
+        self.by_page, start = self.x[self.at], 0
+        for p in pages:
+            p.rows, start = (start, start + len(p.rows)), start + len(p.rows)
+
     def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int, floor: float = -math.inf, keys: np.ndarray | None = None, product=None) -> list[tuple[int, int]]:
         """The k highest (product, smaller id first) of at least `floor`, among rows whose key (default: id) isn't `own`.
 
@@ -94,10 +112,9 @@ class MTree:
         reach = qq + self.most
         # doubles round distances; products may be that much higher than a bound says
         slack = 1e-9 * (reach + 1)
-        to = lambda pivot: math.sqrt(max(reach - 2 * float(self.x[pivot] @ q), 0.0))
         upper = lambda d: (reach - d * d) / 2 + slack  # noqa: E731  the highest product at that distance
         kth = floor
-        d = to(self.root.pivot)
+        d = math.sqrt(max(reach - 2 * float(self.x[self.root.pivot] @ q), 0.0))
         queue = [(max(d - self.root.radius, 0.0), 0, d, self.root)]
         count = 0
         while queue:
@@ -105,27 +122,35 @@ class MTree:
             if upper(least) < kth:
                 break
             if node.children is not None:
-                for child, far in zip(node.children, node.far.tolist(), strict=True):
-                    if upper(max(abs(d - far) - child.radius, 0.0)) < kth:
-                        self.skipped += 1
-                        continue  # ruled out by the stored distance
-                    self.computed += 1
-                    dc = to(child.pivot)
-                    low = max(dc - child.radius, 0.0, least)
-                    if upper(low) >= kth:
+                # the stored distances rule entries out before theirs are computed
+                near = np.flatnonzero(upper(np.maximum(np.abs(d - node.far) - node.radii, 0)) >= kth)
+                self.computed += len(near)
+                self.skipped += len(node.children) - len(near)
+                away = np.sqrt(np.maximum(reach - 2 * (self.x[node.pivots[near]] @ q), 0))
+                low = np.maximum(away - node.radii[near], least)
+                for i, dc, lo in zip(near.tolist(), away.tolist(), low.tolist(), strict=True):
+                    if upper(max(lo, 0.0)) >= kth:
                         count += 1
-                        heapq.heappush(queue, (low, count, dc, child))
+                        heapq.heappush(queue, (max(lo, 0.0), count, dc, node.children[i]))
                 continue
-            rows = node.rows
+            start, end = node.rows
             if kth > -math.inf:
                 gap = d - node.far
-                rows = rows[(reach - gap * gap) / 2 + slack >= kth]
+                near = np.flatnonzero((reach - gap * gap) / 2 + slack >= kth)
+                if 2 * len(near) > end - start:
+                    scores, rows = self.by_page[start:end] @ q, self.at[start:end]
+                else:
+                    scores, rows = self.by_page[start + near] @ q, self.at[start + near]
+            else:
+                scores, rows = self.by_page[start:end] @ q, self.at[start:end]
             self.computed += len(rows)
-            scores = self.x[rows] @ q
             good = (scores >= (kth if product is None else kth - slack)) & (keys[rows] != own)
             if good.any():
-                rows = rows[good]
-                whole = (-scores[good]).tolist() if product is None else [-product(r) for r in rows.tolist()]
+                rows, scores = rows[good], scores[good]
+                if product is None and len(rows) > k:  # ties of the k-th stay
+                    most = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+                    rows, scores = rows[most], scores[most]
+                whole = (-scores).tolist() if product is None else [-product(r) for r in rows.tolist()]
                 best = heapq.nsmallest(k, [*best, *zip(whole, ids[rows].tolist(), strict=True)])
                 if len(best) == k and best[-1][0] < -_LEAST:  # products clipped from below are equal, whatever their size
                     kth = max(floor, float(-best[-1][0]))
