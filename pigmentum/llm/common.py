@@ -11,13 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that an operator's code sees at once; long texts make the second one matter.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 LOWER = bytes(range(256)).lower()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow limits to this subpackage's, which are always the same; smaller ones stay.
+
+    What Spark sends a worker at once is held several times, in the JVM and in the worker. The limits
+    apply when a plan runs, so they can't be put back before.
+    """
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        n, unit = re.match(r"(-?\d+)\s*([kmg]?)", spark.conf.get(name).lower()).groups()
+        if int(n) <= 0 or int(n) * units.get(unit, 1) > most:
+            spark.conf.set(name, str(most))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded rows and bytes, none empty; the session's Arrow settings stay as they are."""
+    """The same rows in batches of bounded rows and bytes, none empty."""
     for b in batches:
         at = 0
         while at < b.num_rows:
@@ -34,6 +48,7 @@ def map_batches(df: DataFrame, cols: list | None, fn: Callable[[Iterator[pa.Reco
     def run(batches):
         return fn(small_batches(batches))
 
+    bound_batches(df.sparkSession)
     return (df if cols is None else df.select(*cols)).mapInArrow(run, schema)
 
 
