@@ -151,3 +151,23 @@ def test_comparisons_level_off():
         met[n] = load
         assert len(list(itertools.combinations(range(g), 4))) <= 210
     assert max(met.values()) < 900, met
+
+
+def test_sketches_rule_out_no_alike_pair():
+    """Pairs of 0.8 and more pass in all sizes; of small sets, most pairs of 0.7 and less don't."""
+    rng = np.random.default_rng(3)
+    passed = 0
+    for n in (1, 4, 30, 150, 511, 512, 640, 1100, 5000, 40_000):
+        for wanted in (0.8, 0.83, 0.95, 0.7, 0.5):
+            for _ in range(20):
+                both = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+                extra = int(n * (1 - wanted) / wanted)
+                left = int(rng.integers(0, extra + 1))
+                more = rng.integers(0, 1 << 63, extra, np.uint64) * np.uint64(2) + np.uint64(1)
+                a, b = (np.unique(np.concatenate([both, x])) for x in (more[:left], more[left:]))
+                sizes = np.array([len(a)]), np.array([len(b)])
+                sketches = tuple(np.frombuffer(similar.sketch_of(x), np.uint64)[None] for x in (a, b))
+                may = bool(similar.may_be_alike(sizes, sketches)[0])
+                assert may or not similar.alike(a, b)
+                passed += may and 30 <= n < 400 and wanted <= 0.7
+    assert passed <= 8
