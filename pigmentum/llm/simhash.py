@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, free_name, map_batches, texts_of
+from .common import BROADCAST_ROWS, cut_lineage, free_name, map_batches, texts_of
 from .components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -36,8 +36,6 @@ BLOCK = 2048
 LOAD, MOST_GROUPS = 400, 10
 #: In cells of up to so many members all pairs are looked at together, with those of other cells.
 SMALL = 32
-#: Rows of keys that are broadcast at most; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def hashes(text: str, size: int) -> np.ndarray:
