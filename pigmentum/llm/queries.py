@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, langid, licenses, lm, mtree, packing, quality, simhash, token_counts, urls
+from . import bpe, codes, langid, licenses, lm, mtree, packing, quality, simhash, token_counts, urls, windows
 from .common import bucket, docs, map_batches
 
 
@@ -68,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs(spark, sf_dir))
 
 
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack(docs(spark, sf_dir))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator's codes, with the codebooks' digest in every row."""
     coded, books = codes.compress(codes.vectors(docs(spark, sf_dir, "embeddings")))
@@ -76,7 +80,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_lm_scores, op3_bpe_roundtrip, op4_language_id, op5_url_filter, op6_quality_rules, op7_token_counts, op8_top_k, op9_simhash, op10_packing, op13_vector_codes)
+    f.__name__: f for f in (op1_license_scan, op2_lm_scores, op3_bpe_roundtrip, op4_language_id, op5_url_filter, op6_quality_rules, op7_token_counts, op8_top_k, op9_simhash, op10_packing, op12_window_packing, op13_vector_codes)
 }
 
 #: The other operators have no SQL; tests hold them against brute force, round trips or held-out data.
