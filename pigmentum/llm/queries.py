@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, langid, licenses, lm, mtree, packing, quality, simhash, token_counts, urls, windows
+from . import bpe, codes, langid, licenses, lm, mtree, packing, quality, repair, simhash, token_counts, urls, windows
 from .common import bucket, docs, map_batches
 
 
@@ -68,6 +68,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the repaired conversations, with those that the damage left without rows."""
+    table = docs(spark, sf_dir, "conversations")
+    found = repair.summaries(repair.parse(repair.damage(table))).withColumnRenamed("conv_id", "of")
+    ids = table.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256")
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), nothing)
+
+
 def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack(docs(spark, sf_dir))
 
@@ -80,7 +90,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_lm_scores, op3_bpe_roundtrip, op4_language_id, op5_url_filter, op6_quality_rules, op7_token_counts, op8_top_k, op9_simhash, op10_packing, op12_window_packing, op13_vector_codes)
+    f.__name__: f for f in (op1_license_scan, op2_lm_scores, op3_bpe_roundtrip, op4_language_id, op5_url_filter, op6_quality_rules, op7_token_counts, op8_top_k, op9_simhash, op10_packing, op11_conversation_repair, op12_window_packing, op13_vector_codes)
 }
 
 #: The other operators have no SQL; tests hold them against brute force, round trips or held-out data.
