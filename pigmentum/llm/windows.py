@@ -50,7 +50,7 @@ class Blocks:
         self.cols: list[tuple[list[slice], np.ndarray]] = []
         half = capacity // 2
         if half:
-            up, down = slice(1, half + 1), slice(capacity - 1, capacity - half - 1 if capacity > half + 1 else None, -1)
+            up, down = slice(1, half + 1), slice(capacity - 1, capacity - half - 1, -1)
             norm = np.full(half, 2.0)
             if capacity % 2 == 0:
                 norm[-1] = 4
