@@ -15,8 +15,8 @@ Everything the models know comes from the training documents (crc32 of the id, m
 A token outside the model's vocabulary is scored as the unknown word times its smoothed share of
 all such tokens, so the score is the log-probability of the whole text over an open vocabulary.
 
-The HEAD most frequent tokens' counts (bounded in number and length) are broadcast; documents send
-only their other tokens to be joined with the table of counts.
+The end token's count and the HEAD most frequent words' (bounded in number and length) are broadcast;
+documents send only their other words to be joined with the table of counts.
 """
 
 from __future__ import annotations
@@ -79,12 +79,12 @@ def count_tokens(train: DataFrame) -> DataFrame:
 
 
 def head_of(counts: DataFrame, most: int = HEAD) -> tuple[list[str], list[int]]:
-    """Names and counts of the commonest tokens, most frequent first: all from some count on, `most` at most.
+    """Names and counts of the commonest words, most frequent first: all from some count on, `most` at most.
 
     The count is read off a histogram of counts in steps of a twelfth of their size, so no task
     ever sorts the table. Tokens that just miss it are joined like all others, so nothing is lost.
     """
-    short = counts.where(F.length("token") <= HEAD_CHARS)
+    short = counts.where((F.col("token") != END) & (F.length("token") <= HEAD_CHARS))
     step = F.floor(F.log2("c") * 8).cast("int")
     held, least = 0, None
     for r in sorted(short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), reverse=True):
@@ -99,29 +99,21 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[list[str], list[int]]:
 
 
 class Words:
-    """The head of the table of counts, and how its first tokens are numbered for the recurrent model."""
+    """The end token's count and the head of the table of counts, and how its first words are numbered for the recurrent model."""
 
-    def __init__(self, names: list[str], counts: list[int], total: int, kinds: int):
-        self.total, self.kinds = total, kinds
+    def __init__(self, names: list[str], counts: list[int], ends: int, total: int, kinds: int):
+        self.total, self.kinds, self.ends = total, kinds, ends
         self.count = np.array(counts, np.float64)
         self.number = {x.encode(): i for i, x in enumerate(names)}
         known = min(len(names), gru.VOCAB - 2)
-        inside = np.zeros(gru.VOCAB)
-        inside[gru.UNK], inside[gru.END] = 1, 1
         self.of = np.full(len(names) + 1, gru.UNK, np.int32)  # number in the head -> in the model; the last: not in the head
-        at = 2
-        for i in range(known):
-            if names[i] == END:
-                self.of[i], inside[gru.END] = gru.END, counts[i] + 1
-            else:
-                self.of[i], inside[at] = at, counts[i]
-                at += 1
-        rest = total - int(sum(counts[:known]))
-        inside[gru.UNK] = rest + 1
-        self.inside = inside
+        self.of[:known] = np.arange(2, known + 2)
+        rest = total - ends - int(sum(counts[:known]))
+        self.inside = np.zeros(gru.VOCAB)
+        self.inside[gru.UNK], self.inside[gru.END], self.inside[2 : known + 2] = rest + 1, ends + 1, counts[:known]
         #: log10 of what a count plus 0.1 is divided by: among all tokens, and among unknown ones
         self.log_all = math.log10(total + 0.1 * (kinds + 1))
-        self.log_rest = math.log10(rest + 0.1 * (kinds - known + 1))
+        self.log_rest = math.log10(rest + 0.1 * (kinds - (ends > 0) - known + 1))
 
     def read(self, text: str) -> tuple[list[bytes], np.ndarray]:
         """The words and their numbers in the head (one past its end: not there), without the end token."""
@@ -196,8 +188,7 @@ def numbered(docs: DataFrame, words) -> DataFrame:
     def run(batches):
         w, part, at = words.value, TaskContext.get().partitionId(), 0
         log_count = np.log10(w.count + 0.1)
-        end = w.number.get(END.encode())
-        log_end = float(log_count[end]) if end is not None else math.log10(0.1)
+        log_end = math.log10(w.ends + 0.1)
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         names = ["row", "doc_id", "held_out", "deal", "n_tokens", "n_known", "base", "rest", "ids", "token", "tf"]
         for b in batches:
@@ -210,7 +201,7 @@ def numbered(docs: DataFrame, words) -> DataFrame:
                 logs = log_count[known]
                 unknown = logs[w.of[known] == gru.UNK]
                 rest = float(unknown.sum()) - int((ids == gru.UNK).sum()) * w.log_rest
-                rows.append((row, doc, out, deal, len(ids), len(known) + (end is not None), float(logs.sum()) + log_end - len(ids) * w.log_all, rest, ids.astype(ID).tobytes()))
+                rows.append((row, doc, out, deal, len(ids), len(known) + (w.ends > 0), float(logs.sum()) + log_end - len(ids) * w.log_all, rest, ids.astype(ID).tobytes()))
                 if len(known) < len(head):
                     more += [(row, t.decode(), n) for t, n in Counter(all_words[i] for i in np.flatnonzero(head == len(log_count)).tolist()).items()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -222,21 +213,23 @@ def numbered(docs: DataFrame, words) -> DataFrame:
     return map_batches(docs, ["doc_id", "text", "held_out", "deal"], run, "row long, doc_id long, held_out boolean, deal int, n_tokens long, n_known long, base double, rest double, ids binary, token string, tf long")
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     base_score: the smoothed unigram log10 probability; score: the recurrent model's. A null or
     empty text is its end token alone; a null doc_id counts as the empty id, so it is held out.
     Repeated rows are learnt from and scored each on its own. Without training documents every
     count is zero. An empty table gives no rows; other columns aren't read. How the table is
-    partitioned changes a score by rounding only (the model's numbers are 32-bit floats).
+    partitioned changes a score by rounding only (the model's numbers are 32-bit floats). The size
+    of the head changes where a word's count is looked up, and no base score.
     """
     spark = docs.sparkSession
     key = bucket(F.col("doc_id"), HELD_OUT_MOD * ROUNDS)
     own = docs.select("doc_id", "text").withColumn("held_out", key % HELD_OUT_MOD == HELD_OUT).withColumn("deal", F.floor(key / HELD_OUT_MOD).cast("int"))
     counts = cut_lineage(count_tokens(own.where(~F.col("held_out"))))
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    words = spark.sparkContext.broadcast(Words(*head_of(counts), total, kinds))
+    ends = F.sum(F.when(F.col("token") == END, F.col("c")))
+    ends, total, kinds = counts.agg(F.coalesce(ends, F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    words = spark.sparkContext.broadcast(Words(*head_of(counts, head), ends, total, kinds))
     parts = cut_lineage(numbered(own, words))
     texts = parts.where("token is null")
     weights = spark.sparkContext.broadcast(train(texts.where(~F.col("held_out")), words))

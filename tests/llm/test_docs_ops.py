@@ -255,7 +255,6 @@ def test_language_id(spark):
 
 
 def test_lm_base_scores_and_probabilities(docs, rows):
-    got = lm.score(docs).collect()
     toks = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [" end"]
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     c = Counter(t for i, text, *_ in rows if not out(i) for t in toks(text))
@@ -264,12 +263,26 @@ def test_lm_base_scores_and_probabilities(docs, rows):
     for i, text, *_ in rows:
         own = toks(text)
         want.append((i, out(i), len(own), sum(c[t] > 0 for t in own), total, round(sum(math.log10((c[t] + 0.1) / (total + 0.1 * (kinds + 1))) for t in own), 6)))
-    same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], want)
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    for head in (lm.HEAD, 3, 0):  # also where most tokens, or all, are beyond the head
+        got = lm.score(docs, head).collect()
+        same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], want)
+        assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     empty = lm.score(docs.limit(0))
     assert empty.count() == 0 and "train_tokens" in empty.columns
 
 
+def test_end_token_of_rare_documents(spark):
+    """One training document of very many words: its end token is rarer than most words, and counts all the same."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0)
+    n = 5000
+    table = spark.createDataFrame([(ids[0], " ".join(f"w{i} w{i}" for i in range(n))), (held, "zz")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(table, 100).collect()}[held]
+    below = 2 * n + 1 + 0.1 * (n + 2)
+    assert got.n_known == 1
+    assert math.isclose(got.base_score, math.log10(0.1 / below) + math.log10(1.1 / below), rel_tol=1e-9)
+
+
 def test_gru_sums_to_one_carries_state_and_learns():
     rng = np.random.default_rng(0)
     counts = np.zeros(gru.VOCAB)
