@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def row_hash(docs: DataFrame) -> Column:
     """Tells apart rows that repeat a doc_id, by all columns that Spark can hash."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    return F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
 
 
 def embedding(fp: Column, width: int = 2) -> Column:

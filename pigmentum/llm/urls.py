@@ -44,7 +44,7 @@ def path(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits (the first of equally long ones), or null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for text, verdict in sorted(rules, key=lambda r: len(r[0])):
+    for text, verdict in sorted(reversed(rules), key=lambda r: len(r[0])):
         name, _, start = text.partition("/")
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{start}")
         out = F.when(fits, F.struct(F.lit(text).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
