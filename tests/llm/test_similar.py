@@ -65,6 +65,26 @@ def test_planted_copies(spark):
     assert sorted(r.doc_id for r in got) == brute(rows)
 
 
+def test_recall_by_similarity_and_few_chance_meetings():
+    """Keys meet for nearly all pairs from 0.8 on, whatever the size, and seldom for texts that only share a passage."""
+    rng = random.Random(11)
+    for n in (150, 700, 2500):
+        for low, high, least in ((0.8, 0.85, 0.97), (0.85, 0.9, 0.99), (0.9, 0.95, 1.0)):
+            met = pairs = 0
+            for _ in range(60):
+                words = [f"w{rng.randrange(9000)}" for _ in range(n)]
+                for k in rng.sample(range(1, n // 20 + 2), min(4, n // 20)):
+                    a, b = " ".join(words), " ".join(edited(rng, words, k))
+                    if low <= jaccard(shingles(a), shingles(b)) < high:
+                        pairs += 1
+                        met += bool(np.isin(*(similar.keys_of(similar.shingles(x)) for x in (a, b))).any())
+            assert met >= least * pairs, (n, low, met, pairs)
+    passage = [f"p{i}" for i in range(100)]
+    keys = [set(similar.keys_of(similar.shingles(" ".join([*passage, *(f"o{rng.randrange(10**9)}" for _ in range(60))]))).tolist()) for _ in range(200)]
+    met = sum(bool(keys[i] & keys[j]) for i in range(200) for j in range(i))
+    assert met < 0.3 * 200 * 199 / 2
+
+
 def test_chains_and_large_groups(spark, monkeypatch):
     """Each text is like its neighbours only, so a comparison with one member of a key doesn't suffice."""
     monkeypatch.setattr(similar, "HUB", 8)
