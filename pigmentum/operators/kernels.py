@@ -500,11 +500,21 @@ def track_layer(frames: np.ndarray, times: np.ndarray, plate: np.ndarray, box: t
     return np.array([out[k] for k in sorted(out)], float)
 
 
-def detect_cuts(frames: np.ndarray, times: np.ndarray) -> list[tuple[float, str, float]]:
-    """(time, cut or fade, length) of a whole video: single large steps, then blends over 0.6 to 1.2 s that fit no cut."""
+#: Half lengths of crossfades, and how far around a frame hard cuts rule them out at most.
+HALVES, REACH = (0.3, 0.45, 0.6), 0.7
+#: Frames beyond REACH whose steps decide about the hard cuts there.
+AROUND = 4
+#: Candidates farther apart have no influence on each other.
+APART = 1.2
+
+
+def cut_candidates(frames: np.ndarray, times: np.ndarray, lo: int, hi: int, first: float, last: float) -> list[tuple[float, str, float, float]]:
+    """(time, cut or fade, length, share) that frames lo to hi - 1 of a stretch of a video give.
+
+    A cut is given by the frame after it, a fade by its middle. The stretch holds AROUND frames
+    beyond REACH seconds on either side, as far as the video, from `first` to `last`, has any.
+    """
     n = len(frames)
-    if n < 3:
-        return []
     edge = np.zeros(frames.shape, bool)
     edge[:, 1:-1, 1:-1] = np.abs(frames[:, 1:-1, 2:] - frames[:, 1:-1, :-2]) + np.abs(frames[:, 2:, 1:-1] - frames[:, :-2, 1:-1]) > 18
 
@@ -518,13 +528,14 @@ def detect_cuts(frames: np.ndarray, times: np.ndarray) -> list[tuple[float, str,
     step = np.concatenate([[0], np.abs(np.diff(frames, axis=0)).mean(axis=(1, 2))])
     s = np.pad(step, 2)
     around = np.max([s[:-4], s[1:-3], s[3:-1], s[4:]], axis=0)
-    cuts = [((times[i - 1] + times[i]) / 2, "cut", 0.0) for i in np.flatnonzero((step >= 2.5) & (step >= 3 * around)).tolist() if i and kept(i - 1, i) < 0.45]
+    hard = [i for i in np.flatnonzero((step >= 2.5) & (step >= 3 * around)).tolist() if i and kept(i - 1, i) < 0.45]
+    cuts = [(times[i - 1] + times[i]) / 2 for i in hard]
+    found = [(float(c), "cut", 0.0, 0.0) for c, i in zip(cuts, hard, strict=True) if lo <= i < hi]
     nearest = lambda t: int(np.argmin(np.abs(times - t)))
-    fades = []
-    for i in range(1, n - 1):
-        for half in (0.3, 0.45, 0.6):
-            t = times[i]
-            if t - half < times[0] or t + half > times[-1] or any(abs(c[0] - t) < half + 0.1 for c in cuts):
+    for i in range(max(lo, 1), min(hi, n - 1)):
+        t = times[i]
+        for half in HALVES:
+            if t - half < first or t + half > last or any(abs(c - t) < half + 0.1 for c in cuts):
                 continue
             a, b = nearest(t - half), nearest(t + half)
             d = np.abs(frames[a] - frames[b])
@@ -533,14 +544,27 @@ def detect_cuts(frames: np.ndarray, times: np.ndarray) -> list[tuple[float, str,
                 continue
             share = float((np.abs(frames[i] - (frames[a] + frames[b]) / 2) < np.maximum(4, 0.25 * d))[moved].mean())
             if share >= 0.6 and kept(a, b) <= 0.7 and kept(b, a) <= 0.85:
-                fades.append((share - 0.1 * (half - 0.3), t, 2 * half))
-    for _, t, length in sorted(fades, key=lambda f: -f[0]):
+                found.append((float(t), "fade", 2 * half, share - 0.1 * (half - 0.3)))
+    return found
+
+
+def choose_cuts(found: list[tuple[float, str, float, float]]) -> list[tuple[float, str, float]]:
+    """Of a group's candidates all cuts and the fades of the highest shares that keep their distance, in order of time, spaced."""
+    cuts = [c[:3] for c in found if c[1] == "cut"]
+    for t, kind, length, _ in sorted((c for c in found if c[1] == "fade"), key=lambda c: (-c[3], c[0], c[2])):
         if not any(abs(c[0] - t) < max(0.5, (c[2] + length) / 2) for c in cuts):
-            cuts.append((t, "fade", length))
+            cuts.append((t, kind, length))
     cuts.sort()
     return [c for k, c in enumerate(cuts) if k == 0 or c[0] - cuts[k - 1][0] > 0.3]
 
 
+def detect_cuts(frames: np.ndarray, times: np.ndarray) -> list[tuple[float, str, float]]:
+    """(time, cut or fade, length) of a whole video: single large steps, then blends over 0.6 to 1.2 s that fit no cut."""
+    if len(frames) < 3:
+        return []
+    return choose_cuts(cut_candidates(frames, times, 0, len(frames), float(times[0]), float(times[-1])))
+
+
 def match_nearest(want: np.ndarray, have: np.ndarray, most: float) -> list[tuple[int, int | None]]:
     """(ord, other) for each row (ord, t) of `want`, in their order: the nearest unused row of `have` at most `most` away, the lowest ord on ties, or None.
 

@@ -59,14 +59,3 @@ def cluster_rows(samples: DataFrame, k: int = 6, key: str = "vec_id") -> DataFra
         return [(getattr(row, key), n, *c, count) for n, (c, count) in enumerate(kernels.kmeans(pts, k))]
 
     return per_row(g, one, f"{key} bigint, n int, r int, g int, b int, cnt int")
-
-
-def cut_rows(frames: DataFrame, w: int, h: int, key: str = "video") -> DataFrame:
-    """(key, time, kind, length): all cuts of each video from rows (key, f, t, v)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        found = kernels.detect_cuts(np.stack(pdf["v"].tolist()).astype(float).reshape(-1, h, w), pdf["t"].to_numpy())
-        return pd.DataFrame([(pdf[key].iloc[0], *c) for c in found], columns=[key, "time", "kind", "length"])
-
-    return frames.select(key, "t", "v").groupBy(key).applyInPandas(one, f"{key} bigint, time double, kind string, length double")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels
+
 EDGE = 18.0
 MIN_STEP, STEP_RATIO, KEPT = 2.5, 3.0, 0.45
 MIN_SCENE = 0.7
+#: Frames of a clip.
+CLIP = 1500
 
 
 def frames(pixels: DataFrame, keys: list[str], w: int) -> DataFrame:
@@ -43,19 +49,108 @@ def persistence(a: Column, b: Column, w: int) -> Column:
     return F.when(total < 8, 1.0).otherwise(kept / F.greatest(total, F.lit(1)))
 
 
-def steps(table: DataFrame, w: int, h: int, key: str = "video") -> DataFrame:
-    """Frames with their mean difference from the one before, their edges, and how much the former edges persist."""
-    by = Window.partitionBy(key).orderBy("t", "f")
-    x = table.withColumn("e", edges(F.col("v"), w, h)).withColumn("_v", F.lag("v").over(by)).withColumn("_e", F.lag("e").over(by)).withColumn("t0", F.lag("t").over(by))
-    return x.withColumn("step", F.when(F.col("_v").isNull(), 0.0).otherwise(mean_diff(F.col("v"), F.col("_v")))).withColumn("kept", F.when(F.col("_e").isNotNull(), persistence(F.col("_e"), F.col("e"), w))).drop("_v", "_e")
+def in_clips(table: DataFrame, margin: int, size: int = CLIP) -> DataFrame:
+    """Frames dealt out into clips (`clip`) of so many frames, with `margin` frames of the clips on either side.
+
+    f numbers a video's frames in the order of their times. Frames that are only a margin have
+    another f than the clip's own ones, so they go again by `own_frames`.
+    """
+    near = F.array_distinct(F.array(*(F.floor((F.col("f") + d) / size) for d in (-margin, 0, margin))))
+    return table.withColumn("clip", F.explode(near))
+
+
+def own_frames(table: DataFrame, size: int = CLIP) -> DataFrame:
+    return table.where(F.floor(F.col("f") / size) == F.col("clip")).drop("clip")
+
+
+def steps(table: DataFrame, w: int, h: int, key: str = "video", size: int = CLIP) -> DataFrame:
+    """Frames with their mean difference from the one before, their edges, and how much the former edges persist.
+
+    Windows run over clips of `size` frames, so no task ever holds a long video.
+    """
+    by = Window.partitionBy(key, "clip").orderBy("t", "f")
+    x = in_clips(table, 1, size).withColumn("e", edges(F.col("v"), w, h)).withColumn("_v", F.lag("v").over(by)).withColumn("_e", F.lag("e").over(by)).withColumn("t0", F.lag("t").over(by))
+    return x.withColumn("step", F.when(F.col("_v").isNull(), 0.0).otherwise(mean_diff(F.col("v"), F.col("_v")))).withColumn("kept", F.when(F.col("_e").isNotNull(), persistence(F.col("_e"), F.col("e"), w))).drop("_v", "_e").transform(own_frames, size)
+
 
+def hard_cuts(stepped: DataFrame, key: str = "video", size: int = CLIP) -> DataFrame:
+    """(key, time, f, lo, hi): steps much larger than the two on either side, with the old frame's edges gone.
 
-def hard_cuts(stepped: DataFrame, key: str = "video") -> DataFrame:
-    """(key, time, f): steps much larger than the two on either side, with the old frame's edges gone."""
-    by = Window.partitionBy(key).orderBy("t", "f")
+    lo and hi are the times of the frames on either side of the cut, which is called halfway.
+    """
+    stepped = in_clips(stepped.select(key, "f", "t", "t0", "step", "kept"), 2, size)
+    by = Window.partitionBy(key, "clip").orderBy("t", "f")
     around = F.greatest(*(F.coalesce(F.lag("step", n).over(by) if n > 0 else F.lead("step", -n).over(by), F.lit(0.0)) for n in (2, 1, -1, -2)))
-    x = stepped.withColumn("_around", around)
-    return x.where((F.col("step") >= MIN_STEP) & (F.col("step") >= STEP_RATIO * F.col("_around")) & (F.col("kept") < KEPT)).select(key, ((F.col("t0") + F.col("t")) / 2).alias("time"), "f")
+    x = own_frames(stepped.withColumn("_around", around), size)
+    found = x.where((F.col("step") >= MIN_STEP) & (F.col("step") >= STEP_RATIO * F.col("_around")) & (F.col("kept") < KEPT))
+    return found.select(key, ((F.col("t0") + F.col("t")) / 2).alias("time"), "f", F.col("t0").alias("lo"), F.col("t").alias("hi"))
+
+
+def cuts(table: DataFrame, w: int, h: int, key: str = "video", clip: float = 60.0, margin: float = 5.0) -> DataFrame:
+    """(key, time, kind, length) of hard cuts and crossfades, from frames (key, t, v).
+
+    Clips of so many seconds are judged side by side, each with a margin of its neighbours' frames;
+    an error says so where frames lie too far apart for the margin. Candidates over APART seconds
+    from all others are chosen from by themselves. Videos of under three frames have no cuts.
+    """
+    kind = dict(table.dtypes)[key]
+    ends = table.groupBy(F.col(key).alias("_of")).agg(F.min("t").alias("_first"), F.max("t").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 2").drop("_n")
+    at = lambda d: F.floor((F.col("t") + d) / clip)
+    dealt = table.select(key, "t", "v").join(ends, F.col(key).eqNullSafe(F.col("_of"))).drop("_of").withColumn("_clip", F.explode(F.sequence(at(-margin), at(margin))))
+
+    def named(k, found: list[tuple], columns: list[str]) -> pd.DataFrame:
+        return pd.DataFrame([(k, *c) for c in found], columns=[key, *columns], dtype=object)
+
+    def judge(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        times, first, last = pdf["t"].to_numpy(), float(pdf["_first"].iloc[0]), float(pdf["_last"].iloc[0])
+        lo, hi = np.searchsorted(times, [k[1] * clip, (k[1] + 1) * clip])
+        found = []
+        if lo < hi:
+            before, after = np.searchsorted(times, times[lo] - kernels.REACH), len(times) - np.searchsorted(times, times[hi - 1] + kernels.REACH, "right")
+            if (times[0] > first and before < kernels.AROUND) or (times[-1] < last and after < kernels.AROUND):
+                raise ValueError(f"frames lie too far apart for a margin of {margin} s")
+            found = kernels.cut_candidates(np.stack(pdf["v"]).reshape(-1, h, w), times, int(lo), int(hi), first, last)
+        return named(k[0], found, ["time", "kind", "length", "share"])
+
+    def choose(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = kernels.choose_cuts(list(pdf[["time", "kind", "length", "share"]].itertuples(index=False, name=None)))
+        return named(k[0], found, ["time", "kind", "length"])
+
+    found = dealt.groupBy(key, "_clip").applyInPandas(judge, f"{key} {kind}, time double, kind string, length double, share double")
+    order = Window.partitionBy(key).orderBy("time")
+    begins = F.when(F.col("time") - F.lag("time").over(order) <= kernels.APART, 0).otherwise(1)
+    groups = found.withColumn("_new", begins).withColumn("_group", F.sum("_new").over(order))
+    return groups.groupBy(key, "_group").applyInPandas(choose, f"{key} {kind}, time double, kind string, length double")
+
+
+def refine_cuts(found: DataFrame, table: DataFrame, key: str = "video", bucket: float = 1.0, least: float = 1 / 60) -> DataFrame:
+    """(key, time): cuts (key, time, lo, hi) between two sampled frames, bisected to `least` seconds on all frames (key, t, v).
+
+    Each probe takes the frame shown at that time, and the half whose end it is more like is left.
+    Frames meet the cuts whose gap they lie in by time buckets and are reduced to which end they are
+    like before anything is gathered, so a cut's bisection is a fold over the few times in its gap,
+    and all cuts are refined at once. Cuts whose ends aren't frames of the table keep their time.
+    """
+    at = lambda c: F.floor(F.col(c) / bucket)
+    gaps = found.select(key, "time", "lo", "hi").distinct()
+    near = gaps.withColumn("_b", F.explode(F.sequence(at("lo"), at("hi"))))
+    inside = table.select(key, "t", "v", at("t").alias("_b")).join(near, [key, "_b"]).where(F.col("t").between(F.col("lo"), F.col("hi"))).drop("_b")
+    ends = inside.groupBy(key, "time").agg(F.max(F.when(F.col("t") == F.col("lo"), F.col("v"))).alias("a"), F.max(F.when(F.col("t") == F.col("hi"), F.col("v"))).alias("b"))
+    like = inside.join(ends.where("a is not null and b is not null"), [key, "time"])
+    like = like.select(key, "time", "t", (mean_diff(F.col("v"), F.col("a")) <= mean_diff(F.col("v"), F.col("b"))).alias("early"))
+    shown = like.groupBy(key, "time").agg(F.array_sort(F.collect_list(F.struct("t", "early"))).alias("shown"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        early = F.try_element_at(F.filter(F.col("shown"), lambda f: f["t"] <= mid), F.lit(-1))["early"]
+        done = s["hi"] - s["lo"] <= least
+        return F.struct(F.when(done | ~early, s["lo"]).otherwise(mid).alias("lo"), F.when(done | early, s["hi"]).otherwise(mid).alias("hi"))
+
+    rounds = F.greatest(F.ceil(F.log2((F.col("hi") - F.col("lo")) / least)) + 1, F.lit(0).cast("bigint"))
+    last = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(rounds, F.lit(1).cast("bigint"))), F.struct("lo", "hi"), halve)
+    refined = gaps.join(shown, [key, "time"], "left").withColumn("_s", F.when(F.col("shown").isNotNull(), last))
+    return refined.select(key, F.coalesce((F.col("_s.lo") + F.col("_s.hi")) / 2, F.col("time")).alias("time"))
 
 
 def suppress(fades: Column, cuts: Column) -> Column:

@@ -257,7 +257,7 @@ def iter07(t):
 
 @query("win_04_crossfades", "fx_frames", sql=None)
 def win04(fx):
-    return raster.cut_rows(video.frames(fx, ["f", "t"], 16).withColumn("video", F.lit(0)), 16, 16)
+    return video.cuts(video.frames(fx, ["f", "t"], 16).withColumn("video", F.lit(0)), 16, 16, clip=8.0, margin=1.0)
 
 
 @query("snk_06_render", "fx_layers", sql="SELECT pid, count(*) FILTER (visible) AS layers, 3600 AS pixels FROM fx_layers GROUP BY pid")

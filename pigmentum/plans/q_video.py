@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, round_to
 from ..operators import video
+from ..sources import fixtures
 from .registry import query, r, whole
 
 PX = """, px AS (SELECT f, t, scene, px, py, v FROM fx_frames), nb AS (SELECT *, lag(v) OVER wx AS l, lead(v) OVER wx AS rr, lag(v) OVER wy AS u, lead(v) OVER wy AS d FROM px WINDOW wx AS (PARTITION BY f, py ORDER BY px), wy AS (PARTITION BY f, px ORDER BY py)),
@@ -32,6 +33,26 @@ def win03(fx):
     return video.hard_cuts(video.steps(_frames(fx), 16, 16)).select("f", round_to(F.col("time"), 4).alias("time"))
 
 
+REFINED = f"""WITH RECURSIVE {fixtures.duckdb_with("fx_frames")[5:]}{PX}, sm AS (SELECT k.k AS video, f, t FROM fr JOIN (VALUES (4), (5)) k(k) ON f % k.k = 0), sq AS (SELECT *, lag(f) OVER w AS prev, lag(t) OVER w AS t0 FROM sm WINDOW w AS (PARTITION BY video ORDER BY f)),
+  ss AS (SELECT q.video, q.f, q.prev, q.t, q.t0, coalesce(avg(abs(b.v - a.v)), 0) AS step, CASE WHEN q.prev IS NULL THEN NULL WHEN sum(a.e) < 8 THEN 1 ELSE sum(CASE WHEN a.e = 1 THEN b.near ELSE 0 END) / CAST(sum(a.e) AS DOUBLE) END AS kept
+    FROM sq q JOIN nx b ON b.f = q.f LEFT JOIN nx a ON a.f = q.prev AND a.px = b.px AND a.py = b.py GROUP BY q.video, q.f, q.prev, q.t, q.t0),
+  sr AS (SELECT *, greatest(coalesce(lag(step, 2) OVER w, 0), coalesce(lag(step) OVER w, 0), coalesce(lead(step) OVER w, 0), coalesce(lead(step, 2) OVER w, 0)) AS around FROM ss WINDOW w AS (PARTITION BY video ORDER BY f)),
+  ct AS (SELECT video, f, prev, t0 AS lo, t AS hi FROM sr WHERE step >= 2.5 AND step >= 3 * around AND kept < 0.45),
+  lk AS (SELECT c.video, c.f, p.t, avg(abs(p.v - a.v)) <= avg(abs(p.v - b.v)) AS early FROM ct c JOIN px p ON p.t BETWEEN c.lo AND c.hi JOIN px a ON a.f = c.prev AND a.px = p.px AND a.py = p.py JOIN px b ON b.f = c.f AND b.px = p.px AND b.py = p.py GROUP BY ALL),
+  gl AS (SELECT video AS gv, f AS gf, list({{'t': t, 'early': early}} ORDER BY t) AS g FROM lk GROUP BY video, f),
+  bs(video, f, lo, hi) AS (SELECT video, f, lo, hi FROM ct UNION ALL
+    SELECT b.video, b.f, CASE WHEN e THEN m ELSE lo END, CASE WHEN e THEN hi ELSE m END FROM (SELECT b.*, (lo + hi) / 2 AS m, list_filter(g, lambda x: x.t <= (lo + hi) / 2)[-1].early AS e FROM bs b JOIN gl ON gv = video AND gf = f WHERE hi - lo > 1.0 / 60) b)
+  SELECT video, {r('(lo + hi) / 2', 5)} AS time FROM bs WHERE hi - lo <= 1.0 / 60"""
+
+
+@query("iter_04_refine_cuts", "fx_frames", sql=REFINED)
+def iter04(fx):
+    """Cuts found on every fourth and on every fifth frame, refined on all of them."""
+    whole = _frames(fx).select("f", "t", "v").withColumn("video", F.explode(F.array(F.lit(4), F.lit(5))))
+    sampled = whole.where(F.col("f") % F.col("video") == 0).withColumn("f", F.floor(F.col("f") / F.col("video")))
+    return video.refine_cuts(video.hard_cuts(video.steps(sampled, 16, 16)), whole).select("video", round_to(F.col("time"), 5).alias("time"))
+
+
 @query("ras_17_edges", "fx_frames", sql=f"{PX} SELECT f, CAST(sum(e) AS INT) AS n, CAST(sum(e * (px + 16 * py)) AS BIGINT) AS moment FROM ed GROUP BY f")
 def ras17(fx):
     e = _frames(fx).withColumn("e", video.edges(F.col("v"), 16, 16))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pigmentum.functions import color, easing, geometry, text
-from pigmentum.operators import history, kernels, merge, search, spatial
+from pigmentum.operators import history, kernels, merge, search, spatial, video
 from pigmentum.sources import uploads
 from pigmentum.streaming import frames as stream_frames
 from pigmentum.streaming import rate_limit
@@ -196,29 +196,92 @@ def test_motion_is_recovered():
     assert len(keys) == 2 and 8 <= keys[0]["dy"] <= 16 and keys[1]["opacity"] == 1
 
 
-def clip(cuts=(20, 43), n=60):
-    rng = np.random.default_rng(5)
+def clip(cuts=(20, 43), n=60, seed=5, fade=None):
+    """Frames at 25 a second with hard cuts, and a crossfade of a second whose middle is frame `fade`."""
+    rng = np.random.default_rng(seed)
     scenes = []
-    for k in range(len(cuts) + 1):
+    for k in range(len(cuts) + 2):
         a = np.full((16, 16), 40.0)
-        a[2 + 4 * k : 6 + 4 * k, 1 + 5 * k : 5 + 5 * k] = 220
+        a[2 + 3 * (k % 4) : 6 + 3 * (k % 4), 1 + 4 * (k % 3) : 5 + 4 * (k % 3)] = 220
         scenes.append(a)
-    return [(float(i) / 25, (scenes[sum(i >= c for c in cuts)] + rng.normal(0, 0.2, (16, 16))).ravel().tolist()) for i in range(n)]
+    out = []
+    for i in range(n):
+        v = scenes[sum(i >= c for c in cuts)]
+        if fade is not None and i > fade - 13:
+            share = min(1.0, (i - fade + 12.5) / 25)
+            v = (1 - share) * v + share * scenes[-1]
+        out.append((float(i) / 25, (v + rng.normal(0, 0.2, (16, 16))).ravel().tolist()))
+    return out
+
+
+def detected(rows):
+    return kernels.detect_cuts(np.array([v for _, v in rows]).reshape(-1, 16, 16), np.array([t for t, _ in rows]))
+
+
+CLIPS = {1: clip(), 2: clip((20, 118), 120, 6, None), 3: clip((30,), 160, 7, fade=90), 4: clip((), 2), 5: clip((1, 3), 5, 8), 6: clip((), 70, 9, fade=35)}
+
 
+def test_cuts_by_clips_as_of_the_whole_video(spark):
+    assert [k for _, k, _ in detected(CLIPS[3])] == ["cut", "fade"]
+    assert np.allclose([t for t, *_ in detected(CLIPS[1])], [19.5 / 25, 42.5 / 25])
+    rows = spark.createDataFrame([(v, t, x) for v, own in CLIPS.items() for t, x in own], "video long, t double, v array<double>")
+    for length in (0.4, 2.0, 60.0):
+        got = video.cuts(rows, 16, 16, clip=length, margin=1.0).collect()
+        for v, own in CLIPS.items():
+            assert sorted((r.time, r.kind, r.length) for r in got if r.video == v) == detected(own)
+    with pytest.raises(Exception, match="too far apart"):
+        video.cuts(rows, 16, 16, clip=1.0, margin=0.1).collect()
 
-def test_cuts_stream_as_in_batch(spark, tmp_path):
-    rows = clip()
-    batch = [t for t, kind, _ in kernels.detect_cuts(np.array([v for _, v in rows]).reshape(-1, 16, 16), np.array([t for t, _ in rows])) if kind == "cut"]
-    assert np.allclose(batch, [19.5 / 25, 42.5 / 25])
-    for part in range(4):
-        spark.createDataFrame([(1, t, v) for t, v in rows[part * 15 : part * 15 + 15]], "video long, t double, v array<double>").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
-    stream = spark.readStream.schema("video long, t double, v array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    q = stream_frames.hard_cuts(stream, 16, 16).writeStream.format("memory").queryName("cuts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def drained(stream, path):
+    q = stream.writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(path)).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert np.allclose(sorted(r.time for r in spark.table("cuts").collect()), batch)
+    return stream.sparkSession.table("out").collect(), q.lastProgress
 
 
-def test_rate_limit_stream_as_in_batch(spark, tmp_path):
+def test_cuts_stream_as_in_batch(spark, tmp_path, rocksdb):
+    """All cuts and fades, those of a video's last frames too, whatever the order within the delay; then no state is left."""
+    import datetime as dt
+
+    t0 = dt.datetime(1970, 1, 1)
+    at = lambda t: t0 + dt.timedelta(microseconds=round(t * 1e6))
+    clips = {v: [((at(t + 3600) - t0).total_seconds(), x) for t, x in own] for v, own in CLIPS.items()}
+    rows = sorted((t, v, x) for v, own in clips.items() for t, x in own)
+    rng = random.Random(4)
+    rows = [r for _, r in sorted(((r[0] + rng.uniform(0, 0.9), r) for r in rows), key=lambda x: x[0])]  # late by under a second
+    rows.insert(50, rows[49])  # a frame that comes twice
+    parts = [rows[i : i + 70] for i in range(0, len(rows), 70)]
+    end = [(t, 9, [0.0] * 256) for t in (3700.0, 3800.0, 3900.0)]
+    for i, part in enumerate([*parts, end[:1], end[1:2], end[2:]]):
+        spark.createDataFrame([(v, at(t), x) for t, v, x in part], "video long, ts timestamp, v array<double>").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i:03}"))
+    stream = spark.readStream.schema("video long, ts timestamp, v array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got, progress = drained(stream_frames.cuts(stream, 16, 16), tmp_path / "c")
+    for v, own in clips.items():
+        mine = sorted((r.time, r.kind, r.length) for r in got if r.video == v)
+        assert [k for _, k, _ in mine] == [k for _, k, _ in detected(own)], v
+        assert np.allclose([t for t, *_ in mine], [t for t, *_ in detected(own)])
+    assert progress["stateOperators"][0]["numRowsTotal"] <= 6  # of the last video only: a frame, its judgement, its timer
+
+
+def test_cuts_refined_on_all_frames(spark):
+    rows = [(1, t, v) for t, v in clip((21, 44, 58), 75)]
+    whole = spark.createDataFrame(rows, "video long, t double, v array<double>")
+    found = spark.createDataFrame([(1, 0.8, 0.6, 1.0), (1, 1.8, 1.6, 2.0), (1, 2.3, 2.2, 2.4), (1, 9.0, 8.0, 10.0)], "video long, time double, lo double, hi double")
+    got = sorted(r.time for r in video.refine_cuts(found, whole).collect())
+    assert len(got) == 4
+    assert all(c / 25 - 1 / 25 - 1 / 60 <= t <= c / 25 + 1 / 60 for c, t in zip((21, 44, 58), got, strict=False))
+    assert got[3] == 9.0  # no frames there
+
+
+def test_rate_limit_stream_as_in_batch(spark, tmp_path, rocksdb):
     import datetime as dt
 
     rng, t0 = random.Random(1), dt.datetime(2024, 1, 1)
@@ -235,12 +298,13 @@ def test_rate_limit_stream_as_in_batch(spark, tmp_path):
         ok = opened[c][1] <= 4
         plain[i] = (ok, 0 if ok else int(opened[c][0] + 300 - s))
     assert want == plain
-    for part in range(4):
-        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
+    last = (9, t0 + dt.timedelta(days=1), 99)
+    for i, part in enumerate([*(rows[k : k + 20] for k in range(0, 80, 20)), [last]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    q = rate_limit.decide_stream(stream, "client", "ts", "id", 4, 300.0).writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.id: (r.allowed, r.retry_after) for r in spark.table("limits").collect()} == want
+    got, progress = drained(rate_limit.decide_stream(stream, "client", "ts", "id", 4, 300.0), tmp_path / "c")
+    assert {r.id: (r.allowed, r.retry_after) for r in got if r.client != 9} == want
+    assert progress["stateOperators"][0]["numRowsTotal"] <= 3  # the windows of all but the last client have ended
 
 
 def test_stream_dedupe_and_autosave(spark, tmp_path):
