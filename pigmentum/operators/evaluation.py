@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels
+
 #: Differences within half a thousandth count as none.
 DEAD_BAND = 0.0005
+#: How far a cut may be off in frames, and a fade in seconds.
+CUT_FRAMES, FADE_SECONDS = 2, 0.3
 
 
 def compare(now: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -27,3 +32,28 @@ def summary(rows: DataFrame, by: str | None = None) -> DataFrame:
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
     aggs = [F.count(F.lit(1)).alias("n"), share(F.col("found")).alias("recall"), F.avg(F.when(F.col("found"), F.col("acc"))).alias("accuracy"), F.avg(F.when(F.col("found"), F.when(F.col("ok"), 1.0).otherwise(0.0))).alias("right"), F.expr("percentile(seconds, 0.5)").alias("median_s"), F.max("seconds").alias("worst_s")]
     return rows.rollup(by).agg(*aggs) if by else rows.agg(*aggs)
+
+
+def match_cuts(want: DataFrame, have: DataFrame, key: str, fps: float) -> DataFrame:
+    """(key, ord, other) of every wanted cut (key, ord, t, kind): the nearest unused cut (key, ord, t) that was found, or null.
+
+    Wanted cuts choose in their order, on ties the lowest ord. A cut may be two frames off, a fade
+    0.3 seconds. A video is divided where no wanted cut reaches a found one across, so its stretches
+    are matched side by side.
+    """
+    reach = F.when(F.col("kind") == "cut", CUT_FRAMES / fps + 1e-3).otherwise(FADE_SECONDS)
+    both = want.select(key, "ord", "t", reach.alias("most")).unionByName(have.select(key, "ord", "t", F.lit(0.0).alias("most")).withColumn("found", F.lit(True)), allowMissingColumns=True)
+    both = both.withColumn("_lo", F.col("t") - F.col("most")).withColumn("_hi", F.col("t") + F.col("most"))
+    # stretches from the distinct spans only, however many cuts have one
+    order = Window.partitionBy(key).orderBy("_lo", "_hi")
+    spans = both.select(key, "_lo", "_hi").distinct().withColumn("_past", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("_part", F.sum(F.when(F.col("_lo") <= F.col("_past"), 0).otherwise(1)).over(order))
+    kind = dict(want.dtypes)[key]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, found = pdf.sort_values("ord"), pdf.sort_values("ord")["found"].notna().to_numpy()
+        got = kernels.match_nearest(x.loc[~found, ["ord", "t", "most"]].to_numpy(float), x.loc[found, ["ord", "t"]].to_numpy(float))
+        return pd.DataFrame({key: pdf[key].iloc[0], "ord": pd.Series([o for o, _ in got], dtype="int32"), "other": pd.Series([m for _, m in got], dtype="Int32")})
+
+    rows = both.join(spans.select(key, "_lo", "_hi", "_part"), [key, "_lo", "_hi"])
+    return rows.select(key, "ord", "t", "most", "found", "_part").groupBy(key, "_part").applyInPandas(one, f"{key} {kind}, ord int, other int")

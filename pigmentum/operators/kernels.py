@@ -565,8 +565,8 @@ def detect_cuts(frames: np.ndarray, times: np.ndarray) -> list[tuple[float, str,
     return choose_cuts(cut_candidates(frames, times, 0, len(frames), float(times[0]), float(times[-1])))
 
 
-def match_nearest(want: np.ndarray, have: np.ndarray, most: float) -> list[tuple[int, int | None]]:
-    """(ord, other) for each row (ord, t) of `want`, in their order: the nearest unused row of `have` at most `most` away, the lowest ord on ties, or None.
+def match_nearest(want: np.ndarray, have: np.ndarray) -> list[tuple[int, int | None]]:
+    """(ord, other) for each row (ord, t, most) of `want`, in their order: the nearest unused row (ord, t) of `have` at most `most` away, the lowest ord on ties, or None.
 
     Each distinct time of `have` is a queue; empty ones are skipped by links that shorten as they are followed.
     """
@@ -586,7 +586,7 @@ def match_nearest(want: np.ndarray, have: np.ndarray, most: float) -> list[tuple
         return end
 
     out: list[tuple[int, int | None]] = []
-    for o, t in want.tolist():
+    for o, t, most in want.tolist():
         k = int(np.searchsorted(times, t))
         best: tuple[float, int, int] | None = None
         for link, i, step, none, shift in ((down, k, -1, 0, 1), (up, k, 1, n, 0)):

@@ -10,6 +10,7 @@ from ..functions.color import redmean
 from ..functions.geometry import box
 from ..functions.numeric import half_up, round_to
 from ..operators import merge, spatial
+from ..sources import fixtures
 from .q_scalar import REDMEAN_SQL
 from .registry import query, r, whole
 
@@ -204,10 +205,16 @@ def join18(t):
     return j.groupBy("a.pid", "a.ord").agg(said.alias("pred"), F.count("b.ord").alias("n"))
 
 
-@query("join_19_eval_object_match", "fx_boxes", sql=None)
+@query("join_19_eval_object_match", "fx_boxes", sql=f"""WITH RECURSIVE {fixtures.duckdb_with("fx_boxes")[5:]},
+  g AS (SELECT pid, list({{'ord': ord, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY ord) FILTER (source = 'local') AS want, coalesce(list({{'ord': ord, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY ord) FILTER (source = 'external'), []) AS have FROM fx_boxes GROUP BY pid),
+  m(pid, i, used, ord, hit) AS (SELECT pid, 0, CAST([] AS INT[]), CAST(NULL AS INT), CAST(NULL AS STRUCT(neg DOUBLE, o INT)) FROM g WHERE want IS NOT NULL UNION ALL
+    SELECT pid, i + 1, CASE WHEN good THEN list_append(used, b.o) ELSE used END, n.ord, CASE WHEN good THEN b END FROM (SELECT *, coalesce(b.neg <= -0.5, FALSE) AS good FROM (
+      SELECT pid, i, used, n, list_sort(list_transform(list_filter(have, lambda h: NOT list_contains(used, h.ord)), lambda h: {{'neg': CAST(-{iou_sql('n.', 'h.')} AS DOUBLE), 'o': h.ord}}))[1] AS b
+      FROM (SELECT m.pid, m.i, m.used, g.have, g.want[m.i + 1] AS n FROM m JOIN g USING (pid) WHERE m.i < len(g.want)))))
+  SELECT pid, ord, hit.o AS other, {r('coalesce(-hit.neg, 0)')} AS iou FROM m WHERE i > 0""")
 def join19(b):
     g = b.groupBy("pid").agg(*(F.array_sort(F.collect_list(F.when(side, F.struct("ord", "x", "y", "w", "h")))).alias(n) for side, n in ((LOCAL(), "want"), (EXTERNAL(), "have"))))
-    return g.select("pid", F.explode(merge.assign_best(F.col("want"), F.col("have"), merge.overlaps, 0.3)).alias("m")).select("pid", "m.ord", "m.other", round_to(F.col("m.score"), 6).alias("iou"))
+    return g.select("pid", F.explode(merge.assign_best(F.col("want"), F.col("have"), merge.overlaps, 0.5)).alias("m")).select("pid", "m.ord", "m.other", round_to(F.col("m.score"), 6).alias("iou"))
 
 
 @query("join_20_scene_overlap", "fx_timing", sql=f""", a AS (SELECT * FROM fx_timing WHERE ord % 2 = 0), b AS (SELECT * FROM fx_timing WHERE ord % 2 = 1)
@@ -219,24 +226,21 @@ def join20(t):
     return best_overlap(a, b, "vid", "t_in", "t_out", "ord", "other").select("vid", "lid", "other", round_to(F.col("overlap"), 6).alias("overlap"))
 
 
-@query("join_21_cut_match", "fx_timing", sql=None)
+@query("join_21_cut_match", "fx_timing", sql=f"""WITH RECURSIVE {fixtures.duckdb_with("fx_timing")[5:]},
+  w AS (SELECT vid, ord, t_in AS t, CASE WHEN lid % 3 = 0 THEN 0.3 ELSE {2 / 25 + 1e-3!r} END AS most, row_number() OVER (PARTITION BY vid ORDER BY ord) AS i FROM fx_timing WHERE ord % 2 = 0),
+  h AS (SELECT vid, list({{'ord': ord, 't': t_in}}) AS have FROM fx_timing WHERE ord % 2 = 1 GROUP BY vid),
+  m(vid, i, used, ord, other) AS (SELECT DISTINCT vid, CAST(0 AS BIGINT), CAST([] AS INT[]), CAST(NULL AS INT), CAST(NULL AS INT) FROM w UNION ALL
+    SELECT vid, i, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.o) END, ord, b.o FROM (
+      SELECT m.vid, w.i, m.used, w.ord, list_sort(list_transform(list_filter(h.have, lambda x: abs(x.t - w.t) <= w.most AND NOT list_contains(m.used, x.ord)), lambda x: {{'d': abs(x.t - w.t), 'o': x.ord}}))[1] AS b
+      FROM m JOIN w ON w.vid = m.vid AND w.i = m.i + 1 JOIN h ON h.vid = m.vid))
+  SELECT vid, ord, other FROM m WHERE i > 0""")
 def join21(t):
-    """Videos are cut where no time follows within 0.3 s: nothing matches across."""
-    import pandas as pd
+    """Layers with an even place are the wanted cuts, a third of them fades; the others are those found, at 25 frames a second."""
+    from ..operators.evaluation import match_cuts
 
-    from ..operators import kernels
-
-    gap = F.col("t_in") - F.lag("t_in").over(Window.partitionBy("vid").orderBy("t_in"))
-    times = t.select("vid", "t_in").distinct().withColumn("cut", F.when(gap > 0.3, 1).otherwise(0))
-    part = F.sum("cut").over(Window.partitionBy("vid").orderBy("t_in"))
-    rows = t.select("vid", "ord", "t_in").join(times.select("vid", "t_in", part.alias("part")), ["vid", "t_in"])
-
-    def one(pdf):
-        x = pdf.sort_values("ord")[["ord", "t_in"]].to_numpy()
-        got = kernels.match_nearest(x[x[:, 0] % 2 == 0], x[x[:, 0] % 2 == 1], 0.3)
-        return pd.DataFrame({"vid": pdf["vid"].iloc[0], "ord": pd.Series([o for o, _ in got], dtype="int32"), "other": pd.Series([m for _, m in got], dtype="Int32")})
-
-    return rows.groupBy("vid", "part").applyInPandas(one, "vid bigint, ord int, other int")
+    kind = F.when(F.col("lid") % 3 == 0, "fade").otherwise("cut")
+    want = t.where("ord % 2 = 0").select("vid", "ord", F.col("t_in").alias("t"), kind.alias("kind"))
+    return match_cuts(want, t.where("ord % 2 = 1").select("vid", "ord", F.col("t_in").alias("t")), "vid", 25.0)
 
 
 @query("join_22_tree_closure", "supplier", sql="""WITH RECURSIVE t AS (SELECT s_suppkey AS root, s_suppkey AS id, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT t.root, CAST(s.s_suppkey AS BIGINT), t.depth + 1 FROM supplier s JOIN t ON CAST(floor(s.s_suppkey / 2) AS BIGINT) = t.id AND s.s_suppkey > 3)
