@@ -46,6 +46,31 @@ def erode(mask: np.ndarray, radius: int) -> np.ndarray:
     return _windowed(mask.astype(np.uint8), radius, 1, np.min).astype(bool)
 
 
+def ellipse(a: np.ndarray, reach: tuple[int, ...], fill: float, pick) -> np.ndarray:
+    """The extreme over a symmetric element: row by row from its middle, how far it reaches to either side.
+
+    A union of row spans: one running extreme per different reach, then one per row. Outside counts as `fill`.
+    """
+    h, rows = a.shape[0], {}
+    for n in set(reach):
+        p = np.pad(a, ((0, 0), (n, n)), constant_values=fill)
+        rows[n] = np.pad(pick(np.lib.stride_tricks.sliding_window_view(p, 2 * n + 1, axis=1), -1), ((len(reach) - 1, len(reach) - 1), (0, 0)), constant_values=fill)
+    at = lambda d: rows[reach[abs(d)]][len(reach) - 1 + d : len(reach) - 1 + d + h]
+    return pick(np.stack([at(d) for d in range(1 - len(reach), len(reach))]), 0)
+
+
+# An element of 5 x 5, its middle three rows whole, one pixel above and below; and where a matte is solid.
+ELEMENT, SOLID = (2, 2, 0), 127
+
+
+def refine_mask(matte: np.ndarray) -> np.ndarray:
+    """A matte's solid pixels, closed, then opened, by the element."""
+    grow = lambda m: ellipse(m, ELEMENT, 0, np.max)
+    shrink = lambda m: ellipse(m, ELEMENT, 1, np.min)
+    solid = (matte > SOLID).astype(np.uint8)
+    return grow(shrink(shrink(grow(solid)))).astype(bool)
+
+
 def box_blur(a: np.ndarray, radius: int) -> np.ndarray:
     """Mean over a square window; the border's values repeat outside."""
     n = 2 * radius + 1
@@ -344,6 +369,38 @@ def resample(rgb: np.ndarray, w: int, h: int) -> np.ndarray:
     return rgb
 
 
+def enlarge(rgb: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Values between pixel centres at a larger size, one axis after the other."""
+    for axis, n in ((0, h), (1, w)):
+        size = rgb.shape[axis]
+        at = np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1)
+        lo = np.floor(at).astype(int)
+        share = (at - lo).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
+        rgb = np.take(rgb, lo, axis) * (1 - share) + np.take(rgb, np.minimum(lo + 1, size - 1), axis) * share
+    return rgb
+
+
+def plate(rgb: np.ndarray, small: np.ndarray, mask: np.ndarray, boxes: list[tuple[float, float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """The background of an image without its foreground, at full size, and which pixels are the image's own.
+
+    `small` is the image's raster and `mask` its salient pixels; these, two pixels around them and
+    all boxes (x, y, w, h at full size) with a pixel's margin are unknown. They are filled on the
+    raster and enlarged with a soft blur; every other pixel is the image's.
+    """
+    (full_h, full_w), (h, w) = rgb.shape[:2], mask.shape
+    scale = max(full_w / w, full_h / h)
+    gone = dilate(mask, 2)
+    for x, y, bw, bh in boxes:
+        x0, y0 = max(0, int(np.floor(x / scale)) - 1), max(0, int(np.floor(y / scale)) - 1)
+        gone[y0 : int(np.ceil((y + bh) / scale)) + 2, x0 : int(np.ceil((x + bw) / scale)) + 2] = True
+    filled = enlarge(inpaint(small, ~gone), full_w, full_h)
+    radius = max(1, int(scale * 0.8 + 0.5))
+    filled = np.stack([box_blur(filled[..., c], radius) for c in range(3)], -1)
+    ys, xs = np.minimum(h - 1, (np.arange(full_h) / scale).astype(int)), np.minimum(w - 1, (np.arange(full_w) / scale).astype(int))
+    own = ~gone[ys][:, xs]
+    return np.where(own[..., None], rgb, np.clip(np.rint(filled), 0, 255)), own
+
+
 def linear_gradient(w: int, h: int, angle: float, stops: list[tuple[float, tuple[int, int, int]]]) -> np.ndarray:
     y, x = np.mgrid[:h, :w]
     dx, dy = np.sin(np.radians(angle)), -np.cos(np.radians(angle))

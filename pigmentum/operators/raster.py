@@ -59,3 +59,41 @@ def cluster_rows(samples: DataFrame, k: int = 6, key: str = "vec_id") -> DataFra
         return [(getattr(row, key), n, *c, count) for n, (c, count) in enumerate(kernels.kmeans(pts, k))]
 
     return per_row(g, one, f"{key} bigint, n int, r int, g int, b int, cnt int")
+
+
+LAYER = "layer int, kind string, x int, y int, w int, h int, own int, data binary, png binary"
+
+
+def salient(small: np.ndarray) -> np.ndarray:
+    return kernels.segment(small)["mask"]
+
+
+def scene_layers(images: DataFrame, boxes: DataFrame, w: int, h: int, raster: int, mask_of: Callable[[np.ndarray], np.ndarray] = salient, key: str = "f") -> DataFrame:
+    """(key, layer, kind, x, y, w, h, own, data, png): an image's background plate, layer 0, and a cut-out of each box.
+
+    `images` has the key and grey values v of w x h; `boxes` the key, ord, x, y, w, h of detected
+    elements, whose number per image is bounded by the detector. The longest side of the raster
+    that masks are made on is `raster` pixels. data holds RGB bytes of the plate and RGBA bytes of
+    a cut-out, row by row; own counts the plate's pixels that are the image's, and a cut-out's
+    opaque ones. Boxes reaching over the image are clipped to it, those outside have no row.
+    """
+    listed = boxes.groupBy(F.col(key).alias("_of")).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h"))).alias("boxes"))
+    joined = images.select(key, "v").join(listed, F.col(key).eqNullSafe(F.col("_of")), "left").select(key, "v", "boxes")
+    scale = max(1.0, max(w, h) / raster)
+    size = max(1, int(w / scale + 0.5)), max(1, int(h / scale + 0.5))
+
+    def one(row):
+        rgb, found = grey_image(row.v, w, h), [tuple(b[c] for c in "xywh") for b in (row.boxes if row.boxes is not None else [])]
+        small = kernels.resample(rgb, *size)
+        whole, own = kernels.plate(rgb, small, mask_of(small), found)
+        pack = lambda a: np.ascontiguousarray(a).astype(np.uint8).tobytes()
+        out = [(getattr(row, key), 0, "background", 0, 0, w, h, int(own.sum()), pack(whole), kernels.png(whole))]
+        solid = kernels.refine_mask(kernels.luminance(rgb))
+        for n, (x, y, bw, bh) in enumerate(found, 1):
+            x0, y0, x1, y1 = max(0, int(x)), max(0, int(y)), min(w, int(np.ceil(x + bw))), min(h, int(np.ceil(y + bh)))
+            if x0 < x1 and y0 < y1:
+                rgba = np.dstack([rgb, solid * 255.0])[y0:y1, x0:x1]
+                out.append((getattr(row, key), n, "object", x0, y0, x1 - x0, y1 - y0, int((rgba[..., 3] > 0).sum()), pack(rgba), kernels.png(rgba)))
+        return out
+
+    return per_row(joined, one, f"{key} {dict(images.dtypes)[key]}, {LAYER}")

@@ -10,6 +10,7 @@ from ..functions import color
 from ..functions.geometry import box, overlap
 from ..functions.numeric import round_to
 from ..operators import evaluation, kernels, objects, raster, video
+from ..sources import fixtures
 from .q_joins import inter_sql
 from .q_scalar import REDMEAN_SQL
 from .registry import query, r
@@ -99,14 +100,71 @@ def agg24(fx):
     return raster.region_rows(video.frames(fx, ["f"], 16), 16, 16)
 
 
-@query("ras_09_components", "fx_frames", sql="""SELECT f, 1 AS n, CAST(count(*) AS INT) AS area, min(px) AS x, min(py) AS y FROM fx_frames WHERE v > 130 GROUP BY f""")
+#: Bright pixels of a frame, and a bar that meets them in some frames and not in others.
+_SPOTS = "(v > 130 OR (px = (f * 5) % 16 AND py >= 8))"
+
+
+@query("ras_09_components", "fx_frames", sql=f"""WITH RECURSIVE {fixtures.duckdb_with("fx_frames")[5:]}, m AS (SELECT f, px, py, px + 16 * py AS i FROM fx_frames WHERE {_SPOTS}),
+  c(f, i, px, py) AS (SELECT f, i, px, py FROM m UNION SELECT c.f, c.i, m.px, m.py FROM c JOIN m ON m.f = c.f AND abs(m.px - c.px) + abs(m.py - c.py) = 1),
+  o AS (SELECT f, px, py, min(i) AS first FROM c GROUP BY ALL)
+  SELECT f, CAST(row_number() OVER (PARTITION BY f ORDER BY first) AS INT) AS n, CAST(count(*) AS INT) AS area, min(px) AS x, min(py) AS y, CAST(max(px) - min(px) + 1 AS INT) AS w, CAST(max(py) - min(py) + 1 AS INT) AS h FROM o GROUP BY f, first""")
 def ras09(fx):
     def one(row):
-        m = np.asarray(row.v, float).reshape(16, 16) > 130
-        _, found = kernels.regions(raster.grey_image(row.v, 16, 16), m)
-        return [(row.f, len(found), g["area"], g["x"], g["y"]) for g in found]
+        m = np.asarray(row.v, float).reshape(16, 16) > 0
+        labels, found = kernels.regions(raster.grey_image(row.v, 16, 16), m)
+        found.sort(key=lambda g: int(np.flatnonzero(labels.ravel() == g["label"])[0]))
+        return [(row.f, n, g["area"], g["x"], g["y"], g["w"], g["h"]) for n, g in enumerate(found, 1)]
+
+    spots = fx.withColumn("v", F.when(F.expr(_SPOTS), 1.0).otherwise(0.0))
+    return raster.per_row(video.frames(spots, ["f"], 16), one, "f bigint, n int, area int, x int, y int, w int, h int")
+
+
+_NEAR = "abs(b.py - a.py) <= 1 AND abs(b.px - a.px) <= 2 OR abs(b.py - a.py) = 2 AND b.px = a.px"
+_PASS = "{n} AS (SELECT a.f, a.px, a.py, {pick}(b.m) AS m FROM {of} a JOIN {of} b ON b.f = a.f AND (" + _NEAR + ") GROUP BY ALL)"
+
+
+@query("ras_19_refine_mask", "fx_frames", sql=f""", m0 AS (SELECT f, px, py, CASE WHEN v + 3 * ((px * 7 + py * 5 + f) % 13) > 127 OR (px * 3 + py * 5 + f) % 7 < 3 THEN 1 ELSE 0 END AS m FROM fx_frames),
+  {", ".join(_PASS.format(n=f"m{i + 1}", of=f"m{i}", pick=p) for i, p in enumerate(("max", "min", "min", "max")))}
+  SELECT f, CAST(sum(m) AS BIGINT) AS n, CAST(sum(m * (px + 16 * py)) AS BIGINT) AS moment FROM m4 GROUP BY f""")
+def ras19(fx):
+    def one(row):
+        m = kernels.refine_mask(np.asarray(row.v, float).reshape(16, 16))
+        return [(row.f, int(m.sum()), int(np.flatnonzero(m.ravel()).sum()))]
+
+    matte = F.when(F.expr("v + 3 * ((px * 7 + py * 5 + f) % 13) > 127 OR (px * 3 + py * 5 + f) % 7 < 3"), 255.0).otherwise(0.0)
+    return raster.per_row(video.frames(fx.withColumn("v", matte), ["f"], 16), one, "f bigint, n bigint, moment bigint")
+
+
+_BYTE = "CAST(greatest(0, least(255, round_even(v, 0))) AS BIGINT)"
+#: Two boxes of a frame: (ord, x, y, w, h), the second one over the edge.
+_BOXES = ((1, "f % 9", "f % 7", 4, 5), (2, "13", "12", 6, 3))
+
+
+@query("ras_14_scene_layers", "fx_frames", sql=f""", p AS (SELECT f, px, py, {_BYTE} AS v FROM fx_frames), s AS (SELECT f, px // 2 AS sx, py // 2 AS sy, avg(v) > 127 AS m FROM p GROUP BY ALL),
+  bx AS ({" UNION ALL ".join(f"SELECT DISTINCT f, {n} AS layer, {x} AS x, {y} AS y, {w} AS w, {h} AS h FROM p" for n, x, y, w, h in _BOXES)}),
+  g AS (SELECT a.f, a.sx, a.sy, bool_or(b.m) OR EXISTS (SELECT 1 FROM bx WHERE bx.f = a.f AND a.sx BETWEEN floor(bx.x / 2) - 1 AND ceil((bx.x + bx.w) / 2) + 1 AND a.sy BETWEEN floor(bx.y / 2) - 1 AND ceil((bx.y + bx.h) / 2) + 1) AS gone
+    FROM s a JOIN s b ON b.f = a.f AND abs(b.sx - a.sx) <= 2 AND abs(b.sy - a.sy) <= 2 GROUP BY a.f, a.sx, a.sy),
+  l AS (SELECT bx.f, bx.layer, p.px, p.py, p.v FROM bx JOIN p ON p.f = bx.f AND p.px >= bx.x AND p.px < bx.x + bx.w AND p.py >= bx.y AND p.py < bx.y + bx.h)
+  SELECT p.f, 0 AS layer, 'background' AS kind, CAST(16 AS INT) AS w, CAST(16 AS INT) AS h, CAST(sum(p.v) FILTER (NOT gone) AS BIGINT) AS total, TRUE AS inside FROM p JOIN g ON g.f = p.f AND g.sx = p.px // 2 AND g.sy = p.py // 2 GROUP BY p.f
+  UNION ALL SELECT f, layer, 'object', CAST(max(px) - min(px) + 1 AS INT), CAST(max(py) - min(py) + 1 AS INT), CAST(sum(v) AS BIGINT), TRUE FROM l GROUP BY f, layer""")
+def ras14(fx):
+    """total: the sum of the plate's known pixels, or of a cut-out's red bytes; inside: filled pixels lie between the darkest and the brightest known one."""
+    images = video.frames(fx, ["f"], 16)
+    boxes = images.select("f", F.explode(F.array(*(F.struct(F.lit(n).alias("ord"), *(F.expr(f"CAST({e} AS DOUBLE)").alias(c) for c, e in zip("xywh", b, strict=True))) for n, *b in _BOXES))).alias("b")).select("f", "b.*")
+    layers = raster.scene_layers(images, boxes, 16, 16, 8, lambda small: kernels.luminance(small) > 127)
+
+    def one(row):
+        a = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w, -1).astype(int)
+        if row.kind == "object":
+            return [(row.f, row.layer, row.kind, row.w, row.h, int(a[..., 0].sum()), True)]
+        rgb = raster.grey_image(row.v, 16, 16)
+        small = kernels.resample(rgb, 8, 8)
+        _, own = kernels.plate(rgb, small, kernels.luminance(small) > 127, [tuple(b[c] for c in "xywh") for b in row.boxes])
+        low, high = rgb[own].min(), rgb[own].max()
+        return [(row.f, row.layer, row.kind, row.w, row.h, int(a[..., 0][own].sum()), bool((a >= np.floor(low)).all() and (a <= np.ceil(high)).all()))]
 
-    return raster.per_row(video.frames(fx, ["f"], 16), one, "f bigint, n int, area int, x int, y int")
+    listed = boxes.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h"))).alias("boxes"))
+    return raster.per_row(layers.join(images, "f").join(listed, "f"), one, "f bigint, layer int, kind string, w int, h int, total bigint, inside boolean")
 
 
 @query("agg_25_sharpness", "fx_pixels", sql=f""", {CL}, g AS (SELECT vec_id, abs({AT(1, 0)} - {AT(-1, 0)}) + abs({AT(0, 1)} - {AT(0, -1)}) AS g FROM im CROSS JOIN ij WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6)
