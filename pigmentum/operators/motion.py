@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.easing import ease_any
 from ..functions.numeric import round_to
 
-FIELDS = ("dx", "dy", "scale", "opacity")
+#: A layer's state without motion.
+REST = {"dx": 0.0, "dy": 0.0, "scale": 1.0, "opacity": 1.0}
+FIELDS = tuple(REST)
 
 
 def state_at(keys: Column, t: Column, easing: Column | None = None) -> Column:
@@ -17,8 +19,7 @@ def state_at(keys: Column, t: Column, easing: Column | None = None) -> Column:
     after = F.get(F.filter(keys, lambda k: k["t"] > t), 0)
     share = (t - before["t"]) / F.greatest(F.lit(1e-6), after["t"] - before["t"])
     share = ease_any(easing, share) if easing is not None else F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
-    rest = {"dx": 0.0, "dy": 0.0, "scale": 1.0, "opacity": 1.0}
-    value = lambda f: F.coalesce(F.when(before.isNull(), after[f]).when(after.isNull(), before[f]).otherwise(before[f] + (after[f] - before[f]) * share), F.lit(rest[f]))
+    value = lambda f: F.coalesce(F.when(before.isNull(), after[f]).when(after.isNull(), before[f]).otherwise(before[f] + (after[f] - before[f]) * share), F.lit(REST[f]))
     return F.struct(*(value(f).alias(f) for f in FIELDS))
 
 

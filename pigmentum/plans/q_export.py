@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.color import to_hex
+from ..functions.easing import CURVES
 from ..functions.numeric import half_up, round_to
 from ..operators import export, library, motion, scene, timeline
 from .q_design import HEX
@@ -89,6 +90,70 @@ def snk16(t):
     return t.select("vid", "ord", F.array_join(F.transform(track, lambda k: F.concat_ws(":", k["t"].cast("string"), k["s"].cast("string"))), " ").alias("opacity"))
 
 
+def _num(x: str) -> str:
+    v = r(x, 3)
+    return f"CASE WHEN {v} = floor({v}) THEN CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR) ELSE CAST({v} AS VARCHAR) END"
+
+
+def _json_list(*xs: str) -> str:
+    return " || ',' || ".join(["'['", *(f"({_num(x)})" for x in xs)]).replace("'[' || ',' || ", "'[' || ", 1)
+
+
+_EASINGS = ("ease-out", "linear", "out-expo")
+_BY_LID = lambda i: "CASE lid % 3 " + " ".join(f"WHEN {n} THEN {CURVES[c][i]!r}" for n, c in enumerate(_EASINGS)) + " END"
+_POINTS = "CASE {e} " + " ".join(f"""WHEN {n} THEN ',"o":{{{{"x":[{CURVES[c][0]:g}],"y":[{CURVES[c][1]:g}]}}}},"i":{{{{"x":[{CURVES[c][2]:g}],"y":[{CURVES[c][3]:g}]}}}}'""" for n, c in enumerate(_EASINGS)) + " END"
+_BEZ = lambda t, a, b: f"(3 * {a} * {t} * (1 - {t}) * (1 - {t}) + 3 * {b} * {t} * {t} * (1 - {t}) + {t} * {t} * {t})"
+_ZERO = "{'lo': CAST(0 AS DOUBLE), 'hi': CAST(1 AS DOUBLE)}"
+_TRACK = lambda n: f"""CASE WHEN count(*) > 1 THEN '{{"a":1,"k":[' || string_agg('{{"t":' || frame || ',"s":' || {n} || CASE WHEN nxt IS NULL THEN '' WHEN {n}_still THEN ',"h":1' ELSE points END || '}}', ',' ORDER BY t) || ']}}' ELSE '{{"a":0,"k":' || min({n}) || '}}' END AS {n}"""
+
+ANIMATION = f""", sc AS (SELECT *, greatest(0, s0 - fade / 2) AS t0, least(8, s1 + coalesce(lead(fade) OVER (PARTITION BY vid ORDER BY scene), 0) / 2) AS t1 FROM (
+    SELECT vid, k AS scene, CAST(CASE k WHEN 1 THEN 0 ELSE 2 END AS DOUBLE) AS s0, CAST(CASE k WHEN 1 THEN 2 ELSE 8 END AS DOUBLE) AS s1, CAST(CASE WHEN k = 2 AND vid % 2 = 0 THEN 0.6 ELSE 0 END AS DOUBLE) AS fade FROM (SELECT DISTINCT vid FROM fx_timing) CROSS JOIN (VALUES (1), (2)) q(k))),
+  b AS (SELECT *, row_number() OVER (PARTITION BY vid, scene ORDER BY ord DESC) AS ind FROM (SELECT *, CASE WHEN t_in < 2 THEN 1 ELSE 2 END AS scene FROM fx_timing)),
+  l AS (SELECT b.*, t0, t1, CAST(b.ord % 20 * 10 AS DOUBLE) AS x, CAST(100 + lid % 5 * 10 AS DOUBLE) AS w, CAST(40 AS DOUBLE) AS h, 1 - CAST(lid % 3 AS DOUBLE) / 10 AS op, 'data:' || CAST(lid % 7 AS VARCHAR) AS src, lid % 8 = 3 AS fixed, lid % 4 <> 1 AS has, t_in - 0.2 AS k1, t_in + 0.3 AS k2 FROM b JOIN sc USING (vid, scene) WHERE lid % 6 <> 0),
+  im AS (SELECT *, 'img_' || CAST(row_number() OVER (PARTITION BY vid ORDER BY scene, ind) - 1 AS VARCHAR) AS img FROM (SELECT vid, src, min((scene, ind)) AS at, arg_min(scene, (scene, ind)) AS scene, arg_min(ind, (scene, ind)) AS ind FROM l GROUP BY vid, src)),
+  tt AS (SELECT *, lead(t) OVER (PARTITION BY lid ORDER BY t) AS nxt FROM (SELECT lid, t0, t1, unnest(list_distinct(list_concat([{r('t0', 4)}, {r('t1', 4)}, {r('t_in', 4)}, {r('t_out', 4)}], CASE WHEN has THEN [{r('k1', 4)}, {r('k2', 4)}, {r('t_out', 4)}] ELSE [] END))) AS t FROM l WHERE NOT fixed) WHERE t >= t0 AND t <= t1),
+  sm AS (SELECT lid, t, 0 AS e, least(t1, t + 1e-4) AS tau FROM tt UNION ALL SELECT lid, t, 1, nxt - 1e-4 FROM tt WHERE nxt IS NOT NULL),
+  sg AS (SELECT *, CASE WHEN NOT has THEN 4 WHEN tau < k1 THEN 0 WHEN tau < k2 THEN 1 WHEN tau < t_out THEN 2 ELSE 3 END AS seg FROM sm JOIN l USING (lid)),
+  sx AS (SELECT *, CASE seg WHEN 1 THEN (tau - k1) / greatest(1e-6, k2 - k1) WHEN 2 THEN (tau - k2) / greatest(1e-6, t_out - k2) END AS u, {_BY_LID(0)} AS x1, {_BY_LID(1)} AS y1, {_BY_LID(2)} AS x2, {_BY_LID(3)} AS y2 FROM sg),
+  sz AS (SELECT *, list_reduce(list_prepend({_ZERO}, list_transform(range(30), lambda i: {_ZERO})), lambda s, i: CASE WHEN {_BEZ('((s.lo + s.hi) / 2)', 'x1', 'x2')} < u THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END) AS z FROM sx),
+  se AS (SELECT *, CASE WHEN seg = 2 OR lid % 3 = 1 THEN least(1, greatest(0, u)) WHEN u <= 0 THEN 0 WHEN u >= 1 THEN 1 ELSE {_BEZ('((z.lo + z.hi) / 2)', 'y1', 'y2')} END AS m FROM sz),
+  sv AS (SELECT lid, t, e, CASE seg WHEN 0 THEN dx WHEN 1 THEN dx + (0 - dx) * m ELSE 0 END AS vx, CASE seg WHEN 0 THEN dy WHEN 1 THEN dy + (0 - dy) * m ELSE 0 END AS vy, CASE seg WHEN 0 THEN scale WHEN 1 THEN scale + (1 - scale) * m ELSE 1 END AS vs,
+    CASE WHEN tau < least(t_in, CASE WHEN has AND o_first < 0.05 THEN k1 ELSE t_in END) OR tau > t_out THEN 0 ELSE CASE seg WHEN 0 THEN o_first WHEN 1 THEN o_first + (1 - o_first) * m WHEN 2 THEN 1 + (o_last - 1) * m WHEN 3 THEN o_last ELSE 1 END END AS vo FROM se),
+  kf AS (SELECT l.lid, tt.t, tt.nxt, {_num('tt.t * 30')} AS frame, {_json_list('x + w / 2 + a.vx', 'y + h / 2 + a.vy')} || ',0]' AS p, {_json_list('a.vs * 100 * (w / 200)', 'a.vs * 100 * (h / 80)')} || ',100]' AS s, {_json_list('a.vo * op * 100')} || ']' AS o,
+    abs(x + w / 2 + a.vx - (x + w / 2 + z.vx)) < 1e-6 AND abs(y + h / 2 + a.vy - (y + h / 2 + z.vy)) < 1e-6 AS p_still, abs(a.vs * 100 - z.vs * 100) < 1e-6 AS s_still, abs(a.vo * op * 100 - z.vo * op * 100) < 1e-6 AS o_still,
+    CASE WHEN has AND abs(k1 - tt.t) < 1e-3 THEN {_POINTS.format(e='l.lid % 3')} ELSE {_POINTS.format(e='1')} END AS points FROM tt JOIN l USING (lid) JOIN sv a ON a.lid = tt.lid AND a.t = tt.t AND a.e = 0 LEFT JOIN sv z ON z.lid = tt.lid AND z.t = tt.t AND z.e = 1),
+  tr AS (SELECT lid, {_TRACK('p')}, {_TRACK('s')}, {_TRACK('o')} FROM kf GROUP BY lid
+    UNION ALL SELECT lid, '{{"a":0,"k":' || {_json_list('x + w / 2', 'y + h / 2')} || ',0]}}', '{{"a":0,"k":' || {_json_list('100 * (w / 200)', '100 * (h / 80)')} || ',100]}}', '{{"a":0,"k":' || {_num('op * 100')} || '}}' FROM l WHERE fixed),
+  lt AS (SELECT l.vid, l.scene, l.ind, '{{"ddd":0,"ind":' || l.ind || ',"ty":2,"nm":"' || txt || '","refId":"' || img || '","sr":1,"ks":{{"o":' || tr.o || ',"r":{{"a":0,"k":' || lid % 90 || '}},"p":' || tr.p || ',"a":{{"a":0,"k":[100,40,0]}},"s":' || tr.s || '}},"ao":0,"ip":' || {_num('t0 * 30')} || ',"op":' || {_num('t1 * 30')} || ',"st":0,"bm":0}}' AS text FROM l JOIN tr USING (lid) JOIN im ON im.vid = l.vid AND im.src = l.src),
+  sl AS (SELECT vid, scene, string_agg(text, ',' ORDER BY ind) AS layers FROM lt GROUP BY vid, scene),
+  si AS (SELECT vid, scene, string_agg('{{"id":"' || img || '","w":200,"h":80,"u":"","p":"' || src || '","e":1}}', ',' ORDER BY ind) AS images FROM im GROUP BY vid, scene),
+  sd AS (SELECT vid, scene, concat_ws(',', images, '{{"id":"scene_' || scene || '","nm":"Scene ' || scene || '","layers":[' || coalesce(layers, '') || ']}}') AS assets,
+    '{{"ddd":0,"ind":' || scene || ',"ty":0,"nm":"Scene ' || scene || '","refId":"scene_' || scene || '","sr":1,"ks":{{"o":' || CASE WHEN fade > 0 THEN '{{"a":1,"k":[{{"t":' || {_num('t0 * 30')} || ',"s":[0],"o":{{"x":[0],"y":[0]}},"i":{{"x":[1],"y":[1]}}}},{{"t":' || {_num('(s0 + fade / 2) * 30')} || ',"s":[100]}}]}}' ELSE '{{"a":0,"k":100}}' END
+      || ',"r":{{"a":0,"k":0}},"p":{{"a":0,"k":[320,180,0]}},"a":{{"a":0,"k":[320,180,0]}},"s":{{"a":0,"k":[100,100,100]}}}},"ao":0,"w":640,"h":360,"ip":' || {_num('t0 * 30')} || ',"op":' || {_num('t1 * 30')} || ',"st":0,"bm":0}}' AS layer,
+    '{{"tm":' || {_num('s0 * 30')} || ',"cm":"Scene ' || scene || '","dr":' || {_num('(s1 - s0) * 30')} || '}}' AS marker FROM sc LEFT JOIN sl USING (vid, scene) LEFT JOIN si USING (vid, scene))
+  SELECT vid, '{{"v":"5.12.1","fr":30,"ip":0,"op":240,"w":640,"h":360,"nm":"Video ' || vid || '","ddd":0,"assets":[' || string_agg(assets, ',' ORDER BY scene) || '],"layers":[' || string_agg(layer, ',' ORDER BY scene DESC) || '],"markers":[' || string_agg(marker, ',' ORDER BY scene) || ']}}' AS json FROM sd GROUP BY vid"""
+
+
+@query("snk_16_animation_document", "fx_timing", sql=ANIMATION)
+def snk16_document(t):
+    """A video per user, in two scenes; some layers have no motion, some no timing at all."""
+    from ..operators.animation import document
+
+    e = F.expr
+    key = lambda at, dx, dy, scale, o, easing: F.struct(at.alias("t"), dx.alias("dx"), dy.alias("dy"), scale.alias("scale"), o.alias("opacity"), easing.alias("easing"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    easing = F.element_at(F.array(*map(F.lit, _EASINGS)), (F.col("lid") % 3 + 1).cast("int"))
+    keys = F.array(key(F.col("t_in") - 0.2, F.col("dx"), F.col("dy"), F.col("scale"), F.col("o_first"), easing), key(F.col("t_in") + 0.3, zero, zero, one, one, F.lit("linear")), key(F.col("t_out"), zero, zero, one, F.col("o_last"), F.lit("linear")))
+    layers = t.select(
+        "vid", F.when(F.col("t_in") < 2, 1).otherwise(2).alias("scene"), F.col("ord").alias("z"), F.col("txt").alias("name"), e("lid % 6 <> 0").alias("visible"), e("'data:' || CAST(lid % 7 AS STRING)").alias("src"), F.lit(200.0).alias("nw"), F.lit(80.0).alias("nh"),
+        e("CAST(ord % 20 * 10 AS DOUBLE)").alias("x"), "y", e("CAST(100 + lid % 5 * 10 AS DOUBLE)").alias("w"), F.lit(40.0).alias("h"), e("1 - CAST(lid % 3 AS DOUBLE) / 10").alias("opacity"), e("CAST(lid % 90 AS DOUBLE)").alias("rotation"),
+        F.when(e("lid % 8 <> 3"), F.col("t_in")).alias("t_in"), F.col("t_out"), F.when(e("lid % 4 <> 1"), keys).alias("keys"))
+    second = F.col("scene") == 2
+    scenes = t.select("vid").distinct().withColumn("scene", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        "vid", "scene", F.when(second, 2.0).otherwise(0.0).alias("start"), F.when(second, 8.0).otherwise(2.0).alias("end"), F.when(second & (F.col("vid") % 2 == 0), 0.6).otherwise(0.0).alias("fade"), F.lit(8.0).alias("duration"), F.concat(F.lit("Video "), F.col("vid").cast("string")).alias("name"), F.lit(640.0).alias("w"), F.lit(360.0).alias("h"))
+    return document(scenes, layers, "vid")
+
+
 @query("snk_17_animation_layer", "fx_layers", sql=f"""SELECT id, z + 1 AS ind, {whole('x + w / 2')} AS px, {whole('y + h / 2')} AS py, {whole('w / 2')} AS ax, {whole('opacity * 100')} AS o, rotation AS r FROM fx_layers""")
 def snk17(layers):
     from ..operators.animation import image_layer
