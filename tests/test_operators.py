@@ -330,3 +330,43 @@ def test_abbreviated_versus_needs_a_word_after_it(spark):
     facts = spark.createDataFrame(rows, "pid int, all string").selectExpr("*", "1.0D aspect", "0.0D edge_density", "50.0D colorfulness", "1 lines", "0 scores", "0 statistics", "0 dates", "0 objects", "0 persons", "0 logos", "0 products")
     got = {r.pid: r.s for r in facts.select("pid", classify.scores(facts)["Sports Poster"].alias("s")).collect()}
     assert got == {1: 0.0, 2: 2.2, 3: 4.4, 4: 4.4, 5: 0.0}
+
+
+def test_refined_masks_against_each_pixel():
+    """Closing and opening by the element, pixel by pixel; outside the image counts for nothing."""
+    element = [(y, x) for y in range(-2, 3) for x in range(-2, 3) if abs(y) < 2 or x == 0]
+
+    def passed(m, pick):
+        h, w = m.shape
+        return np.array([[pick(m[y + a, x + b] for a, b in element if 0 <= y + a < h and 0 <= x + b < w) for x in range(w)] for y in range(h)])
+
+    rng = np.random.default_rng(0)
+    for shape in ((1, 1), (3, 9), (16, 16), (11, 4)):
+        for share in (0.3, 0.6, 0.9):
+            matte = np.where(rng.random(shape) < share, rng.integers(128, 256, shape), rng.integers(0, 128, shape))
+            want = passed(passed(passed(passed(matte > 127, max), min), min), max)
+            assert (kernels.refine_mask(matte) == want).all()
+
+
+def test_plates_keep_known_pixels_and_fill_from_them():
+    rng = np.random.default_rng(1)
+    rgb = np.repeat(rng.integers(60, 90, (24, 36, 1)).astype(float), 3, axis=2)
+    rgb[8:14, 10:18] = 250
+    small = kernels.resample(rgb, 12, 8)
+    whole, own = kernels.plate(rgb, small, kernels.luminance(small) > 127, [(27.0, 3.0, 4.0, 5.0)])
+    assert (whole[own] == rgb[own]).all()
+    assert not own[8:14, 10:18].any()
+    assert not own[0:9, 24:33].any()
+    assert 59 <= whole[~own].min() <= whole[~own].max() <= 90
+    none, known = kernels.plate(rgb, small, np.zeros((8, 12), bool), [])
+    assert known.all()
+    assert (none == rgb).all()
+
+
+def test_clips_give_what_whole_videos_give(spark):
+    """Windows over clips of four frames find the steps and cuts of one window over all frames."""
+    rows = [(v, i, t, x) for v, own in CLIPS.items() for i, (t, x) in enumerate(own)]
+    table = spark.createDataFrame(rows, "video long, f long, t double, v array<double>")
+    found = [sorted((r.video, r.f, r.time, r.lo, r.hi) for r in video.hard_cuts(video.steps(table, 16, 16, size=n), size=n).collect()) for n in (4, 1500)]
+    assert found[0] == found[1]
+    assert len(found[0]) > 3
