@@ -208,9 +208,7 @@ def str07(q):
 
 @query("agg_32_step_timings", "fx_requests", sql="SELECT event_type AS step, CAST(sum(event_id % 1000) AS BIGINT) AS ms, count(*) AS n FROM fx_requests GROUP BY event_type")
 def agg32(q):
-    runs = q.groupBy("client").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("#", "event_type", "event_id"), (F.col("event_id") % 1000).alias("ms")))).alias("timings"))
-    each = runs.select(F.explode("timings").alias("k", "ms"))
-    return each.groupBy(F.split("k", "#")[0].alias("step")).agg(F.sum("ms").cast("bigint").alias("ms"), F.count(F.lit(1)).alias("n"))
+    return q.groupBy(F.col("event_type").alias("step")).agg(F.sum(F.col("event_id") % 1000).cast("bigint").alias("ms"), F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_33_upload_progress", "fx_requests", sql=f"SELECT client, {r('least(1, (count(*) FILTER (event_id % 3 = 0) + min(least(0.95, (event_id % 100) / 100.0)) FILTER (event_id % 3 = 1)) / count(*))')} AS progress FROM fx_requests GROUP BY client")
