@@ -93,6 +93,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_lm_scores, op3_bpe_roundtrip, op4_language_id, op5_url_filter, op6_quality_rules, op7_token_counts, op8_top_k, op9_simhash, op10_packing, op11_conversation_repair, op12_window_packing, op13_vector_codes)
 }
 
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """Rounds of nearest entries and floored means, one pair of tables a round."""
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = lambda n: f"a{n} AS MATERIALIZED (SELECT part, rid, min(struct_pack(d := {far}, e := e)) AS b FROM p JOIN c{n} USING (part) GROUP BY part, rid)"
+    floor = "CAST((s - (s % n + n) % n) // n AS BIGINT)"
+    move = lambda n: f"""m{n} AS (SELECT part, e, list({floor} ORDER BY i) AS c FROM (SELECT part, b.e AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{n} JOIN p USING (part, rid) CROSS JOIN (SELECT unnest(range(1, 9)) AS i) GROUP BY part, b.e, i) GROUP BY part, e),
+        c{n + 1} AS MATERIALIZED (SELECT part, e, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (part, e))"""
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        p AS MATERIALIZED (SELECT rid, k AS part, q[k * 8 + 1 : k * 8 + 8] AS x FROM v CROSS JOIN (SELECT unnest(range(8)) AS k)),
+        c0 AS (SELECT part, rid - 1 AS e, x AS c FROM p WHERE rid <= {codes.ENTRIES}),
+        {", ".join(f"{near(n)}, {move(n)}" for n in range(rounds))}, {near(rounds)},
+        f AS (SELECT rid, string_agg(printf('%02x', b.e), '' ORDER BY part) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+          (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256 FROM v JOIN f USING (rid)"""
+
+
 #: The other operators have no SQL; tests hold them against brute force, round trips or held-out data.
 SQL: dict[str, str] = {
     "op8_top_k": """
@@ -104,4 +122,5 @@ SQL: dict[str, str] = {
           FROM v q JOIN v c ON c.rid <> q.rid WHERE q.vec_id % 100 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_vector_codes": _codes_sql(),
 }

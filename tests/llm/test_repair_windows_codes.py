@@ -5,6 +5,7 @@ import itertools
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -263,3 +264,11 @@ def test_codes_of_few_and_huge_vectors(spark):
     coded, books = codes.compress(codes.vectors(none))
     assert books is None
     assert codes.with_label_errors(coded).count() == 0
+
+
+def test_vector_codes_equal_their_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{D}/embeddings.parquet'")
+    want = db.execute(queries.SQL["op13_vector_codes"]).fetchall()
+    got = queries.op13_vector_codes(spark, D).select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
