@@ -24,6 +24,7 @@ def role(text: Column) -> Column:
     """score, date, statistic or name by the line's wording, else null; the first that fits."""
     t = F.trim(text)
     n = F.length(t)
+    # fixed values: what a score, a date, a statistic and a name look like, and how long they are
     score = t.rlike(rf"{LEFT}[0-9]{{1,3}}\s*[-–:|]\s*[0-9]{{1,3}}{RIGHT}") & (n <= 24) & ~t.rlike("[0-9]{4}")
     date = t.rlike(f"(?i){word(DATE_WORDS)}") | t.rlike(word(r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}")) | (t.rlike(word("(19|20)[0-9]{2}")) & (n < 24))
     # the unit must end at a word edge or at the end of the line

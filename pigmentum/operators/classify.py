@@ -37,6 +37,7 @@ def scores(x: DataFrame) -> dict[str, Column]:
     c, aspect, edges = F.col, F.col("aspect"), F.col("edge_density")
     if_ = lambda cond, v: F.when(cond, float(v)).otherwise(0.0)
     tall = aspect < 0.85
+    # fixed values: the types' weights and thresholds
     return {
         "Sports Poster": 2.2 * words("Sports Poster") + 1.5 * c("scores") + 1.1 * c("persons") + 0.4 * c("logos"),
         "Marketing Banner": 1.4 * words("Marketing Banner") + 1.6 * hits(r"[0-9]+\s?%") + if_(aspect > 1.6, 2) + 0.3 * c("logos"),

@@ -27,6 +27,7 @@ def kind(canvas: tuple[float, float]) -> Column:
     band = (cy < 0.16) | (cy > 0.84) | (cx < 0.12) | (cx > 0.88)
     compact = (asp > 0.6) & (asp < 1.6)
     bottom = c("y") + c("h") >= 0.99 * canvas[1]
+    # fixed values: the rules' order and thresholds
     return (
         F.when((c("skin") > 0.07) & (asp > 0.9) & (a > 0.03), "person")
         .when(c("has_text") & (asp < 0.5) & (c("fill") > 0.75) & (a < 0.08), F.when((cy > 0.8) & band, "logo").otherwise("object"))
