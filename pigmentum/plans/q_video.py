@@ -215,3 +215,27 @@ def agg32(q):
 def agg33(q):
     active = F.min(F.when(F.col("event_id") % 3 == 1, F.least(F.lit(0.95), (F.col("event_id") % 100) / 100)))
     return q.groupBy("client").agg(round_to(F.least(F.lit(1.0), (F.count_if(F.col("event_id") % 3 == 0) + active) / F.count(F.lit(1))), 6).alias("progress"))
+
+
+EDITS = ("edit", "undo", "edit", "edit", "drag", "commit", "edit", "redo", "edit", "undo", "redo", "edit", "save", "edit", "edit", "edit")
+_ACTION = "CASE WHEN event_id % 97 = 5 THEN 'open' WHEN event_id % 101 = 7 THEN 'switch' ELSE CASE event_id % 16 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(EDITS)) + " END END"
+_STACK = lambda past, shown, future, dirty: f"{{'past': {past}, 'shown': {shown}, 'future': {future}, 'dirty': {dirty}}}"
+_PUSH = "list_append(s.past, s.shown)[-60:]"
+_NONE = "CAST([] AS BIGINT[])"
+
+
+@query("str_06_undo_redo", "fx_requests", sql=f"""WITH RECURSIVE {fixtures.duckdb_with("fx_requests")[5:]}, e AS (SELECT client // 4 AS editor, ts, event_id, {_ACTION} AS action, row_number() OVER (PARTITION BY client // 4 ORDER BY ts, event_id) AS n FROM fx_requests),
+  f AS (SELECT *, max(CASE WHEN action IN ('open', 'switch', 'edit', 'drag') THEN 1 ELSE 0 END) OVER (PARTITION BY editor ORDER BY n) = 1 AS opened FROM e),
+  g AS (SELECT *, row_number() OVER (PARTITION BY editor ORDER BY n) AS m FROM f WHERE opened),
+  k AS (SELECT editor, event_id, m, {_STACK(_NONE, 'event_id', _NONE, "action = 'switch'")} AS s FROM g WHERE m = 1
+    UNION ALL SELECT g.editor, g.event_id, g.m, CASE WHEN action IN ('open', 'switch') THEN {_STACK(_NONE, 'g.event_id', _NONE, "action = 'switch'")} WHEN action = 'edit' THEN {_STACK(_PUSH, 'g.event_id', _NONE, 'true')}
+      WHEN action = 'drag' THEN {_STACK('s.past', 'g.event_id', 's.future', 'true')} WHEN action = 'commit' THEN {_STACK(_PUSH, 's.shown', _NONE, 's.dirty')}
+      WHEN action = 'undo' AND len(s.past) > 0 THEN {_STACK('s.past[:-2]', 's.past[-1]', 'list_prepend(s.shown, s.future)', 'true')} WHEN action = 'redo' AND len(s.future) > 0 THEN {_STACK('list_append(s.past, s.shown)', 's.future[1]', 's.future[2:]', 'true')}
+      WHEN action = 'save' THEN {_STACK('s.past', 's.shown', 's.future', 'false')} ELSE s END FROM k JOIN g ON g.editor = k.editor AND g.m = k.m + 1)
+  SELECT f.editor, f.event_id, k.s.shown AS version, coalesce(len(k.s.past), 0) AS undos, coalesce(len(k.s.future), 0) AS redos, coalesce(k.s.dirty, false) AS dirty FROM f LEFT JOIN k USING (editor, event_id)""")
+def str06(q):
+    """Four users share an editor; every event is a step of its log."""
+    from ..operators.history import replay
+
+    log = q.select(F.floor(F.col("client") / 4).cast("bigint").alias("editor"), "ts", "event_id", F.expr(_ACTION).alias("action"), F.col("event_id").alias("version"))
+    return replay(log, "editor", "ts", "event_id").drop("ts")

@@ -233,14 +233,6 @@ def test_cuts_by_clips_as_of_the_whole_video(spark):
         video.cuts(rows, 16, 16, clip=1.0, margin=0.1).collect()
 
 
-@pytest.fixture
-def rocksdb(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset(name)
-
-
 def drained(stream, path):
     q = stream.writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(path)).trigger(availableNow=True).start()
     q.awaitTermination()
