@@ -97,3 +97,40 @@ def scene_layers(images: DataFrame, boxes: DataFrame, w: int, h: int, raster: in
         return out
 
     return per_row(joined, one, f"{key} {dict(images.dtypes)[key]}, {LAYER}")
+
+
+#: Longest side an image is worked at, width of its thumbnail, longest sides of its rasters.
+LONGEST, THUMBNAIL, RASTERS = 2400, 480, (360, 1800)
+
+
+def fitted(w: int, h: int, longest: int) -> tuple[float, int, int]:
+    """Scale (source pixels a raster pixel, 1 or more) and size of an image whose longer side is to be at most `longest`."""
+    scale = max(1.0, max(w, h) / longest)
+    return scale, max(1, int(w / scale + 0.5)), max(1, int(h / scale + 0.5))
+
+
+def normalise(images: DataFrame, key: str = "origin", longest: int = LONGEST, thumbnail: int = THUMBNAIL, rasters: tuple[int, ...] = RASTERS) -> DataFrame:
+    """(key, orig_w, orig_h, w, h, original, thumb_w, thumb_h, thumbnail, rasters) of images as the image source gives them.
+
+    An image is reduced to its working size by area means and rounded to bytes; thumbnail and rasters
+    are made of that, none is ever enlarged. original and thumbnail are PNG files, rasters have longest,
+    scale, w, h and RGB bytes row by row. Alpha is dropped. Rows without data, or whose data isn't of their size, have no result.
+    One image at a time is in memory as numbers; how many are in a batch as bytes is the session's Arrow limit.
+    """
+
+    def one(row):
+        if row.data is None or not row.width or not row.height or len(row.data) != row.width * row.height * row.nChannels:
+            return []
+        rgb = image(row)
+        _, w, h = fitted(row.width, row.height, longest)
+        byte = lambda a: np.floor(np.clip(a, 0, 255) + 0.5).astype(np.uint8)
+        work = byte(kernels.resample(rgb, w, h))
+        wide = work.astype(float)
+        tw = min(thumbnail, w)
+        th = max(1, int(tw * (h / w) + 0.5))
+        sizes = [(n, *fitted(w, h, n)) for n in rasters]
+        made = [{"longest": n, "scale": s, "w": rw, "h": rh, "data": byte(kernels.resample(wide, rw, rh)).tobytes()} for n, s, rw, rh in sizes]
+        return [(getattr(row, key), int(row.width), int(row.height), w, h, kernels.png(work), tw, th, kernels.png(byte(kernels.resample(wide, tw, th))), made)]
+
+    out = f"{key} {dict(images.dtypes)[key]}, orig_w int, orig_h int, w int, h int, original binary, thumb_w int, thumb_h int, thumbnail binary, rasters array<struct<longest:int,scale:double,w:int,h:int,data:binary>>"
+    return per_row(images.select(key, "width", "height", "nChannels", "data"), one, out)

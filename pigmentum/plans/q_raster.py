@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.geometry import box, overlap
-from ..functions.numeric import round_to
+from ..functions.numeric import half_up, round_to
 from ..operators import evaluation, kernels, objects, raster, video
 from ..sources import fixtures
 from .q_joins import inter_sql
@@ -401,3 +401,21 @@ def agg30(t):
 def src18(t):
     clean = F.trim(F.regexp_replace("txt", r"\s+", " "))
     return t.where("conf >= 0.5").select("pid", "ord", clean.alias("txt"), (F.col("pk") % 3).alias("pass"))
+
+
+_BIN = {6: "[0, 1, 2, 2, 3, 4, 5, 5]", 4: "[0, 1, 1, 2, 3, 3]", 3: "[0, 0, 1, 1, 2, 2]"}
+_SMALLER = lambda n, src: f"SELECT vec_id, bx AS px, by AS py, CAST(floor(avg(v) + 0.5) AS BIGINT) AS v FROM (SELECT vec_id, v, {_BIN[n]}[px + 1] AS bx, {_BIN[n]}[py + 1] AS by FROM {src}) GROUP BY ALL"
+_BYTES = "md5(unhex(string_agg(repeat(lpad(to_hex(v), 2, '0'), 3), '' ORDER BY py, px)))"
+
+
+@query("src_04_normalise", "fx_pixels", sql=f""", b AS (SELECT vec_id, px, py, greatest(0, least(255, CAST(floor(v + 0.5) AS BIGINT))) AS v FROM fx_pixels), o AS ({_SMALLER(6, 'b')}), t AS ({_SMALLER(3, 'o')}), f AS ({_SMALLER(4, 'o')}),
+  a AS (SELECT vec_id, 3 AS longest, 2.0 AS scale, {_BYTES} AS digest FROM t GROUP BY vec_id UNION ALL SELECT vec_id, 4, 1.5, {_BYTES} FROM f GROUP BY vec_id UNION ALL SELECT vec_id, 9, 1.0, {_BYTES} FROM o GROUP BY vec_id)
+  SELECT vec_id, longest, CAST(scale AS DOUBLE) AS scale, CAST(6 / scale AS INT) AS w, CAST(6 / scale AS INT) AS h, digest, 8 AS orig_w, 6 AS work_w, 3 AS thumb_w, 3 AS thumb_h FROM a""")
+def src04(p):
+    """Grey images of 8 x 8, reduced to 6, with rasters of 3, 4 and their own size."""
+    byte = F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), half_up(F.col("v"))))), 2, "0")
+    rows = p.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("py", "px", byte.alias("b")))).alias("b"))
+    data = F.unhex(F.array_join(F.transform("b", lambda x: x["b"]), ""))
+    images = rows.select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("nChannels"), data.alias("data"))
+    x = raster.normalise(images, "vec_id", 6, 3, (3, 4, 9)).select("vec_id", "orig_w", F.col("w").alias("work_w"), "thumb_w", "thumb_h", F.explode("rasters").alias("r"))
+    return x.select("vec_id", "r.longest", "r.scale", "r.w", "r.h", F.md5("r.data").alias("digest"), "orig_w", "work_w", "thumb_w", "thumb_h")
