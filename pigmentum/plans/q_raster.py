@@ -404,7 +404,7 @@ def src18(t):
 
 
 _BIN = {6: "[0, 1, 2, 2, 3, 4, 5, 5]", 4: "[0, 1, 1, 2, 3, 3]", 3: "[0, 0, 1, 1, 2, 2]"}
-_SMALLER = lambda n, src: f"SELECT vec_id, bx AS px, by AS py, CAST(floor(avg(v) + 0.5) AS BIGINT) AS v FROM (SELECT vec_id, v, {_BIN[n]}[px + 1] AS bx, {_BIN[n]}[py + 1] AS by FROM {src}) GROUP BY ALL"
+_SMALLER = lambda n, src: f"SELECT vec_id, cx AS px, cy AS py, CAST(floor(avg(v) + 0.5) AS BIGINT) AS v FROM (SELECT vec_id, v, {_BIN[n]}[px + 1] AS cx, {_BIN[n]}[py + 1] AS cy FROM {src}) GROUP BY ALL"
 _BYTES = "md5(unhex(string_agg(repeat(lpad(to_hex(v), 2, '0'), 3), '' ORDER BY py, px)))"
 
 
