@@ -118,3 +118,13 @@ def snk14_archive(t):
     """Every file's place in its video's archive."""
     e = archive.entries(documents.video_files(*_video(t)), "vid")
     return e.select("vid", "path", "size", F.col("offset").alias("place"), F.md5("content").alias("digest"))
+
+
+_PROJECT = lambda at: f"to_json({{'id': id, 'name': name, 'design_type': design_type, {at}'starred': starred, 'dna': dna, 'owner': owner, 'segment': segment, 'n_orders': n_orders}})"
+
+
+@query("snk_05_backup_lines", "fx_projects", sql=f"""SELECT '{{"format":"design-backup","version":1,"exportedAt":"2026-01-01T00:00:00Z","project":' || CASE WHEN updated_at IS NULL THEN {_PROJECT('')} ELSE {_PROJECT("'updated_at': strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%g'), ")} END || '}}' AS line FROM fx_projects""")
+def snk05_lines(p):
+    from ..operators import library
+
+    return library.backup(p, "2026-01-01T00:00:00Z")

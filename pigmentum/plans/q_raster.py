@@ -419,3 +419,29 @@ def src04(p):
     images = rows.select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("nChannels"), data.alias("data"))
     x = raster.normalise(images, "vec_id", 6, 3, (3, 4, 9)).select("vec_id", "orig_w", F.col("w").alias("work_w"), "thumb_w", "thumb_h", F.explode("rasters").alias("r"))
     return x.select("vec_id", "r.longest", "r.scale", "r.w", "r.h", F.md5("r.data").alias("digest"), "orig_w", "work_w", "thumb_w", "thumb_h")
+
+
+_U = "(dx * cos(radians(rotation)) + dy * sin(radians(rotation)))"
+_V = "(dy * cos(radians(rotation)) - dx * sin(radians(rotation)))"
+_ROUND = "CASE WHEN type = 'shape' THEN least(radius * 8, w / 2, h / 2) ELSE 0 END"
+_PAINT = "{'r': s.r * (1 - x.a) + x.r * x.a, 'g': s.g * (1 - x.a) + x.g * x.a, 'b': s.b * (1 - x.a) + x.b * x.a, 'a': x.a}"
+_GROUND = "{'r': CAST(240 AS DOUBLE), 'g': CAST(240 AS DOUBLE), 'b': CAST(232 AS DOUBLE), 'a': CAST(0 AS DOUBLE)}"
+
+
+@query("snk_06_render_pixels", "fx_layers", sql=f""", g AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(12) a(i) CROSS JOIN range(12) b(j)),
+  d AS (SELECT l.*, i, j, (j + 0.5::DOUBLE) / 0.02::DOUBLE - (x + w / 2) AS dx, (i + 0.5::DOUBLE) / 0.02::DOUBLE - (y + h / 2) AS dy, {_ROUND} AS rd FROM fx_layers l CROSS JOIN g WHERE visible AND type <> 'text'),
+  t AS (SELECT *, {_U} AS u, {_V} AS v FROM d WHERE abs(dx) < w + h AND abs(dy) < w + h),
+  k AS (SELECT *, greatest(abs(u) - (w / 2 - rd), 0) AS qx, greatest(abs(v) - (h / 2 - rd), 0) AS qy, type <> 'shape' AND u + w / 2 >= w / 2 AS other FROM t WHERE u >= -w / 2 AND u < w / 2 AND v >= -h / 2 AND v < h / 2),
+  c AS (SELECT pid, i, j, list({{'r': CAST(CASE WHEN other THEN b ELSE r END AS DOUBLE), 'g': CAST(g AS DOUBLE), 'b': CAST(CASE WHEN other THEN r ELSE b END AS DOUBLE), 'a': CASE WHEN other THEN opacity * (128 / 255::DOUBLE) ELSE opacity END}} ORDER BY z) AS found FROM k WHERE rd = 0 OR qx * qx + qy * qy <= rd * rd GROUP BY ALL),
+  p AS (SELECT pid, i, j, list_reduce(list_prepend({_GROUND}, coalesce(found, [])), lambda s, x: {_PAINT}) AS q FROM (SELECT DISTINCT pid FROM fx_layers) CROSS JOIN g LEFT JOIN c USING (pid, i, j)),
+  n AS (SELECT pid, count(*) FILTER (visible AND type <> 'text') AS drawn FROM fx_layers GROUP BY pid)
+  SELECT pid, CAST(any_value(drawn) AS INT) AS drawn, CAST(sum(CAST(floor(q.r + 0.5) AS BIGINT)) AS BIGINT) AS red, md5(unhex(string_agg({" || ".join(f"lpad(to_hex(CAST(floor(q.{c} + 0.5) AS BIGINT)), 2, '0')" for c in "rgb")}, '' ORDER BY i, j))) AS digest FROM p JOIN n USING (pid) GROUP BY pid""")
+def snk06_pixels(layers):
+    """Scenes of 600 x 600 on a canvas of 12 x 12; pictures have two pixels, the second one half clear."""
+    byte = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
+    two = F.unhex(F.concat(byte("r"), byte("g"), byte("b"), F.lit("FF"), byte("b"), byte("g"), byte("r"), F.lit("80")))
+    picture = F.when(F.col("type").isin("image", "background"), F.struct(F.lit(2).alias("w"), F.lit(1).alias("h"), two.alias("data")))
+    scenes = layers.select("pid").distinct().select("pid", F.lit(600).alias("width"), F.lit(600).alias("height"), F.lit(240).alias("r"), F.lit(240).alias("g"), F.lit(232).alias("b"))
+    x = raster.render(scenes, layers.withColumn("radius", F.col("radius") * 8).withColumn("picture", picture), 0.02)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.conv(F.hex(F.substring("data", i * 3 + 1, F.lit(1))), 16, 10).cast("bigint"))
+    return x.select("pid", "drawn", F.aggregate(pixels, F.lit(0).cast("bigint"), lambda s, p: s + p).alias("red"), F.md5("data").alias("digest"))
