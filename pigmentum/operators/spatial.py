@@ -38,22 +38,31 @@ def having(a: DataFrame, b: DataFrame, keys: list[str], clash: Column) -> DataFr
     return a.alias("a").join(b.alias("b"), [*on, clash], "left_semi")
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t: str, idx: str, name: str) -> DataFrame:
-    """Each left row with the idx of the right row nearest in time, the earlier one on ties.
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t: str, idx: str, name: str, cell: float = 16.0) -> DataFrame:
+    """Each left row with the idx of the right row nearest in time; the earlier one on ties, of one time the least idx.
 
-    An as-of join by one union and two windows over the key in time order: no row meets another.
+    An as-of join of the distinct times by running windows inside cells of time, so that one key's rows
+    are dealt over its time. What lies before and after a cell comes from a table of one row a cell.
     """
     from pyspark.sql import Window
 
-    r = right.select(*keys, F.col(t).alias("_t"), F.col(idx).alias("_i"), F.lit(0).alias("_q"))
-    cols = [c for c in left.columns if c not in keys]
-    both = left.withColumns({"_t": F.col(t), "_i": F.lit(None).cast(dict(right.dtypes)[idx]), "_q": F.lit(1)}).unionByName(r, allowMissingColumns=True)
-    by = Window.partitionBy(*keys).orderBy("_t", "_q")
-    point = F.when(F.col("_q") == 0, F.struct(F.col("_t").alias("t"), F.col("_i").alias("i")))
-    both = both.withColumn("_before", F.last(point, True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first(point, True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    same = [*keys, "_cell"]
+    cells = lambda df: df.withColumn("_cell", F.floor(F.col("_t") / cell))
+    r = right.groupBy(*keys, F.col(t).alias("_t")).agg(F.min(idx).alias("_i")).withColumn("_q", F.lit(0))
+    q = left.select(*keys, F.col(t).alias("_t")).distinct().withColumns({"_i": F.lit(None).cast(dict(right.dtypes)[idx]), "_q": F.lit(1)})
+    both = cells(q.unionByName(r)).withColumn("_point", F.when(F.col("_q") == 0, F.struct(F.col("_t").alias("t"), F.col("_i").alias("i"))))
+    known = lambda by, p, to=0: F.last(p, True).over(by.rowsBetween(Window.unboundedPreceding, to))
+    up, down = (lambda of, *o: Window.partitionBy(*of).orderBy(*o)), (lambda of, *o: Window.partitionBy(*of).orderBy(*(F.desc(c) for c in o)))
+    ends = both.groupBy(*same).agg(F.min("_point").alias("_first"), F.max("_point").alias("_last"))
+    ends = ends.select(*same, known(up(keys, "_cell"), "_last", -1).alias("_earlier"), known(down(keys, "_cell"), "_first", -1).alias("_later"))
+    # both windows run forwards: a frame that ends at the last row would be read anew for every row
+    near = both.withColumn("_before", known(up(same, "_t", "_q"), "_point")).withColumn("_after", known(down(same, "_t", "_q"), "_point")).where("_q = 1")
+    on = [F.col(f"n.{k}").eqNullSafe(F.col(f"e.{k}")) for k in same]
+    near = near.alias("n").join(ends.alias("e"), on, "left").select(*(f"n.{k}" for k in keys), "n._t", F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
     later = F.col("_before").isNull() | (F.col("_after.t") - F.col("_t") < F.col("_t") - F.col("_before.t"))
-    return both.where("_q = 1").select(*keys, *cols, F.coalesce(F.when(later, F.col("_after.i")), F.col("_before.i")).alias(name))
+    near = near.select(*keys, "_t", F.coalesce(F.when(later, F.col("_after.i")), F.col("_before.i")).alias(name))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    return left.alias("l").join(near.alias("n"), [*on, F.col(f"l.{t}").eqNullSafe(F.col("n._t"))], "left").select("l.*", f"n.{name}")
 
 
 def best_overlap(rows: DataFrame, others: DataFrame, key: str, start: str, end: str, order: str, value: str, cell: float = 1.0) -> DataFrame:
