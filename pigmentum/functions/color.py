@@ -84,11 +84,11 @@ def family(h: Column, s: Column, light: Column) -> Column:
 
 
 def is_skin(r: Column, g: Column, b: Column) -> Column:
-    """A red, green and blue rule together with a box in YCbCr."""
-    cb = 128 - 0.168736 * r - 0.331264 * g + 0.5 * b
-    cr = 128 + 0.5 * r - 0.418688 * g - 0.081312 * b
+    """A red, green and blue rule together with a box in YCbCr, in millionths, so that colours on its sides are inside."""
+    cb = 128_000_000 - 168_736 * r - 331_264 * g + 500_000 * b
+    cr = 128_000_000 + 500_000 * r - 418_688 * g - 81_312 * b
     warm = (r > 95) & (g > 40) & (b > 20) & (r > g) & (r > b) & (r - F.least(g, b) > 15) & (F.abs(r - g) > 15)
-    return warm & cb.between(77, 127) & cr.between(133, 173)
+    return warm & cb.between(77_000_000, 127_000_000) & cr.between(133_000_000, 173_000_000)
 
 
 def saturation(r: Column, g: Column, b: Column) -> Column:
