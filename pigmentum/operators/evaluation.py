@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,11 +52,16 @@ def match_cuts(want: DataFrame, have: DataFrame, key: str, fps: float) -> DataFr
     spans = both.select(key, "_lo", "_hi").distinct().withColumn("_past", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("_part", F.sum(F.when(F.col("_lo") <= F.col("_past"), 0).otherwise(1)).over(order))
     kind = dict(want.dtypes)[key]
+    joined = both.join(spans.select(key, "_lo", "_hi", "_part"), [key, "_lo", "_hi"])
+    # stretches without a wanted cut have no rows; the work on a stretch is far more than its bytes, so they are dealt out by number
+    rows = joined.select(key, "ord", "t", "most", "found", "_part").repartition(4 * want.sparkSession.sparkContext.defaultParallelism, key, "_part").groupBy(key, "_part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("found").isNull(), F.struct("ord", "t", "most")))).alias("want"), F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("ord", "t")))).alias("have")
+    ).where(F.size("want") > 0).select(key, *(F.col(f"{n}.{c}").alias(f"{n}_{c}") for n, c in (("want", "ord"), ("want", "t"), ("want", "most"), ("have", "ord"), ("have", "t"))))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, found = pdf.sort_values("ord"), pdf.sort_values("ord")["found"].notna().to_numpy()
-        got = kernels.match_nearest(x.loc[~found, ["ord", "t", "most"]].to_numpy(float), x.loc[found, ["ord", "t"]].to_numpy(float))
-        return pd.DataFrame({key: pdf[key].iloc[0], "ord": pd.Series([o for o, _ in got], dtype="int32"), "other": pd.Series([m for _, m in got], dtype="Int32")})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [kernels.match_nearest(np.column_stack([s.want_ord, s.want_t, s.want_most]), np.column_stack([s.have_ord, s.have_t])) for s in pdf.itertuples(index=False)]
+            flat = [m for stretch in got for m in stretch]
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), [len(g) for g in got]), "ord": pd.Series([o for o, _ in flat], dtype="int32"), "other": pd.Series([m for _, m in flat], dtype="Int32")})
 
-    rows = both.join(spans.select(key, "_lo", "_hi", "_part"), [key, "_lo", "_hi"])
-    return rows.select(key, "ord", "t", "most", "found", "_part").groupBy(key, "_part").applyInPandas(one, f"{key} {kind}, ord int, other int")
+    return rows.mapInPandas(run, f"{key} {kind}, ord int, other int")
