@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -162,11 +164,17 @@ def join13(b):
   g AS (SELECT pid, ord, x + (i.i + 0.5) * w / 16 AS gx, y + (j.i + 0.5) * h / 16 AS gy FROM o CROSS JOIN n i CROSS JOIN n j)
   SELECT pid, ord, {r('avg(CASE WHEN EXISTS (SELECT 1 FROM fx_texts t WHERE t.pid = g.pid AND t.source = ' + "'external'" + ' AND gx BETWEEN t.x AND t.x + t.w AND gy BETWEEN t.y - 0.6 * t.h AND t.y + 1.6 * t.h) THEN 1.0 ELSE 0.0 END)')} AS share FROM g GROUP BY pid, ord""")
 def join14(b, t):
-    texts = merge.gathered(t.where(EXTERNAL()), "pid", ["ord"], ["x", "y", "w", "h"], "texts")
-    steps = F.array(*(F.lit(i + 0.5) for i in range(16)))
-    inside = lambda gx, gy: F.exists(F.col("texts"), lambda q: gx.between(q["x"], q["x"] + q["w"]) & gy.between(q["y"] - 0.6 * q["h"], q["y"] + 1.6 * q["h"]))
-    hits = F.aggregate(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.when(inside(F.col("x") + i * F.col("w") / 16, F.col("y") + j * F.col("h") / 16), 1).otherwise(0)))), F.lit(0), lambda s, v: s + v)
-    return b.where(LOCAL()).join(texts, "pid", "left").select("pid", "ord", round_to(F.when(F.col("texts").isNull(), 0.0).otherwise(hits / 256), 6).alias("share"))
+    """Of the points of a grid over each object, the share inside a text; an object's points are the bits of four numbers."""
+    at = [i + 0.5 for i in range(16)]
+    texts, o = t.where(EXTERNAL()).select("pid", *(F.col(c).alias(f"t{c}") for c in "xywh")), b.where(LOCAL()).select("pid", "ord", "x", "y", "w", "h")
+    across = lambda i: (F.col("x") + i * F.col("w") / 16).between(F.col("tx"), F.col("tx") + F.col("tw"))
+    down = lambda j: (F.col("y") + j * F.col("h") / 16).between(F.col("ty") - 0.6 * F.col("th"), F.col("ty") + 1.6 * F.col("th"))
+    column = reduce(lambda a, c: a + c, (F.when(down(j), 1 << k).otherwise(0) for k, j in enumerate(at))).cast("bigint")
+    met = o.join(texts, "pid", "left").withColumn("_column", column)
+    four = [reduce(lambda a, c: a.bitwiseOR(c), (F.when(across(i), F.shiftleft("_column", 16 * k)).otherwise(F.lit(0).cast("bigint")) for k, i in enumerate(at[n : n + 4]))) for n in range(0, 16, 4)]
+    seen = met.groupBy("pid", "ord").agg(*(F.bit_or(c).alias(f"_{n}") for n, c in enumerate(four)))
+    hits = reduce(lambda a, c: a + c, (F.bit_count(f"_{n}") for n in range(4)))
+    return seen.select("pid", "ord", round_to(hits / 256, 6).alias("share"))
 
 
 @query("join_15_has_text", "fx_boxes", "fx_texts", sql=f"SELECT a.pid, a.ord FROM fx_boxes a WHERE a.source = 'local' AND EXISTS (SELECT 1 FROM fx_texts b WHERE b.pid = a.pid AND b.source = 'external' AND {inter_sql('a.', 'b.')} / (b.w * b.h) > 0.6)")
