@@ -7,6 +7,10 @@ design's key only, so after the first one the rest reuse its partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,22 +97,33 @@ def alignment(el: DataFrame, canvas: tuple[float, float], key: str = "pid") -> D
     return n.select(key, F.when(most / total > 0.55, name).otherwise("mixed").alias("alignment"))
 
 
+#: Elements whose cells are worked out at once.
+ELEMENTS = 8192
+
+
 def symmetry(el: DataFrame, canvas: tuple[float, float], cells: int = 12, key: str = "pid") -> DataFrame:
     """(key, symmetry): mirrored mass of a coarse grid of occupancy, 1 where it is the same left and right.
 
-    An element goes to the cells it can cover, not to all; the mirror is a second column of the
-    same aggregation, so there is no self-join.
+    One shuffle brings a design's boxes together, four numbers each; their cells exist in the task only,
+    some thousand elements at a time.
     """
-    cw, ch = canvas[0] / cells, canvas[1] / cells
-    span = lambda v, n, c: F.sequence(F.greatest(F.lit(0), F.floor(F.col(v) / c)).cast("int"), F.least(F.lit(cells - 1), F.floor((F.col(v) + F.col(n)) / c)).cast("int"))
-    on = el.where((F.col("x") < canvas[0]) & (F.col("y") < canvas[1])).withColumn("gx", F.explode(span("x", "w", cw))).withColumn("gy", F.explode(span("y", "h", ch)))
-    cover = lambda g, c, v, n: F.greatest(F.lit(0.0), F.least((g + 1) * c, F.col(v) + F.col(n)) - F.greatest(g * c, F.col(v)))
-    mass = on.withColumn("area", cover(F.col("gx"), cw, "x", "w") * cover(F.col("gy"), ch, "y", "h") / (cw * ch))
-    cell = mass.groupBy(key, "gy", F.least(F.col("gx"), cells - 1 - F.col("gx")).alias("g")).agg(
-        F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("gx") < cells / 2, F.col("area"))), F.lit(0.0))).alias("a"),
-        F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("gx") >= cells / 2, F.col("area"))), F.lit(0.0))).alias("b"),
-    )
-    s = cell.groupBy(key).agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("diff"), F.sum(F.col("a") + F.col("b")).alias("mass"))
+    boxes = el.groupBy(key).agg(F.flatten(F.collect_list(F.array(*(F.col(c).cast("double") for c in "xywh")))).alias("boxes"))
+    size, k, kind = (canvas[0] / cells, canvas[1] / cells), np.arange(cells), dict(el.dtypes)[key]
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            flat, mass = np.concatenate(pdf["boxes"].tolist()).reshape(-1, 4) if len(pdf) else np.empty((0, 4)), np.zeros((len(pdf), cells, cells))
+            owner = np.repeat(np.arange(len(pdf)), [len(v) // 4 for v in pdf["boxes"]])
+            for lo in range(0, len(flat), ELEMENTS):
+                box, own = flat[lo : lo + ELEMENTS], owner[lo : lo + ELEMENTS]
+                x, y = (np.maximum(0, np.minimum((k + 1) * size[i], box[:, [i]] + box[:, [i + 2]]) - np.maximum(k * size[i], box[:, [i]])) for i in (0, 1))
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                mass[own[first]] += np.add.reduceat(y[:, :, None] * x[:, None] / (size[0] * size[1]), first)
+            mass = np.minimum(1, mass)
+            left, right = mass[..., : cells // 2], mass[..., ::-1][..., : cells // 2]
+            yield pd.DataFrame({key: pdf[key], "diff": np.abs(left - right).sum((1, 2)), "mass": (left + right).sum((1, 2))})
+
+    s = boxes.mapInPandas(spread, f"{key} {kind}, diff double, mass double")
     # a hair above, so that exact halves don't depend on the order of the sums
     return s.select(key, round_to(F.when(F.col("mass") > 0, F.greatest(F.lit(0.0), 1 - F.col("diff") / F.col("mass"))).otherwise(1.0) + 1e-9, 2).alias("symmetry"))
 
