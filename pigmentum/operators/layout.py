@@ -7,12 +7,13 @@ design's key only, so after the first one the rest reuse its partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.numeric import clamp, half_up, round_to
 
@@ -28,13 +29,24 @@ def role_weight(role: Column) -> Column:
     return out
 
 
+def _share(canvas: tuple[float, float]) -> Column:
+    return F.sqrt(F.col("w") * F.col("h") / (canvas[0] * canvas[1]))
+
+
+def text_mass(canvas: tuple[float, float]) -> Column:
+    return role_weight(F.col("role")) * _share(canvas) * 3
+
+
+def object_mass(canvas: tuple[float, float]) -> Column:
+    return F.lit(0.8) * _share(canvas) * 2
+
+
 def elements(texts: DataFrame, objects: DataFrame, canvas: tuple[float, float], key: str = "pid") -> DataFrame:
     """Texts, then objects other than faces, with their visual weight; a label of at most 28 characters for texts."""
-    share = F.sqrt(F.col("w") * F.col("h") / (canvas[0] * canvas[1]))
     label = F.concat(F.lit("“"), F.substring("txt", 1, 28), F.when(F.length("txt") > 28, "…").otherwise(""), F.lit("”"))
     cols = [key, "src", "ord", "label", "x", "y", "w", "h", "weight"]
-    t = texts.withColumns({"src": F.lit(0), "label": label, "weight": role_weight(F.col("role")) * share * 3}).select(cols)
-    o = objects.where(F.col("kind") != "face").withColumns({"src": F.lit(1), "weight": F.lit(0.8) * share * 2}).select(cols)
+    t = texts.withColumns({"src": F.lit(0), "label": label, "weight": text_mass(canvas)}).select(cols)
+    o = objects.where(F.col("kind") != "face").withColumns({"src": F.lit(1), "weight": object_mass(canvas)}).select(cols)
     return t.unionByName(o)
 
 
@@ -46,9 +58,15 @@ def hierarchy(el: DataFrame, n: int = 10, key: str = "pid") -> DataFrame:
 
 
 def margins(el: DataFrame, canvas: tuple[float, float], key: str = "pid") -> DataFrame:
+    return el.groupBy(key).agg(*(v.alias(k) for k, v in edges(canvas).items()))
+
+
+def edges(canvas: tuple[float, float], over: Callable[[Column], Column] = lambda x: x) -> dict[str, Column]:
+    """The margins as aggregates, or over a window."""
     w, h = canvas
     edge = lambda x: F.greatest(F.lit(0), half_up(x))
-    return el.groupBy(key).agg(edge(F.min("x")).alias("left"), edge(F.min("y")).alias("top"), edge(F.lit(w) - F.max(F.col("x") + F.col("w"))).alias("right"), edge(F.lit(h) - F.max(F.col("y") + F.col("h"))).alias("bottom"))
+    ends = over(F.max(F.col("x") + F.col("w"))), over(F.max(F.col("y") + F.col("h")))
+    return {"left": edge(over(F.min("x"))), "top": edge(over(F.min("y"))), "right": edge(F.lit(w) - ends[0]), "bottom": edge(F.lit(h) - ends[1])}
 
 
 def gaps(spans: DataFrame, least: float, key: str = "pid") -> DataFrame:
@@ -85,16 +103,26 @@ def grid(el: DataFrame, canvas: tuple[float, float], key: str = "pid") -> DataFr
 
 def alignment(el: DataFrame, canvas: tuple[float, float], key: str = "pid") -> DataFrame:
     """(key, alignment): left, center or right if over 55 % of the votes agree, else mixed."""
-    w = canvas[0]
     x = el.join(margins(el, canvas, key), key)
+    n = x.groupBy(key).agg(*votes(canvas))
+    return n.select(key, agreed().alias("alignment"))
+
+
+def votes(canvas: tuple[float, float]) -> list[Column]:
+    """Counts of a design's elements on its left side, in the centre and on its right; elements have the design's margins."""
+    w = canvas[0]
     centre = F.abs(F.col("x") + F.col("w") / 2 - w / 2) < w * 0.04
     left = F.abs(F.col("x") - F.col("left")) < w * 0.03
     right = F.abs(F.col("x") + F.col("w") - (w - F.col("right"))) < w * 0.03
     vote = F.when(centre, "center").when(left, "left").when(right, "right")
-    n = x.groupBy(key).agg(*(F.count(F.when(vote == v, 1)).alias(v) for v in ("left", "center", "right")))
-    total, most = F.greatest(F.lit(1), F.col("left") + F.col("center") + F.col("right")), F.greatest("left", "center", "right")
-    name = F.when(F.col("left") == most, "left").when(F.col("center") == most, "center").otherwise("right")
-    return n.select(key, F.when(most / total > 0.55, name).otherwise("mixed").alias("alignment"))
+    return [F.count(F.when(vote == v, 1)).alias(f"n_{v}") for v in ("left", "center", "right")]
+
+
+def agreed() -> Column:
+    l, c, r = (F.col(f"n_{v}") for v in ("left", "center", "right"))  # noqa: E741
+    total, most = F.greatest(F.lit(1), l + c + r), F.greatest(l, c, r)
+    name = F.when(l == most, "left").when(c == most, "center").otherwise("right")
+    return F.when(most / total > 0.55, name).otherwise("mixed")
 
 
 #: Elements whose cells are worked out at once.
@@ -107,8 +135,17 @@ def symmetry(el: DataFrame, canvas: tuple[float, float], cells: int = 12, key: s
     One shuffle brings a design's boxes together, four numbers each; their cells exist in the task only,
     some thousand elements at a time.
     """
-    boxes = el.groupBy(key).agg(F.flatten(F.collect_list(F.array(*(F.col(c).cast("double") for c in "xywh")))).alias("boxes"))
-    size, k, kind = (canvas[0] / cells, canvas[1] / cells), np.arange(cells), dict(el.dtypes)[key]
+    return mirrored(el.groupBy(key).agg(boxes()), canvas, cells)
+
+
+def boxes() -> Column:
+    return F.flatten(F.collect_list(F.array(*(F.col(c).cast("double") for c in "xywh")))).alias("boxes")
+
+
+def mirrored(designs: DataFrame, canvas: tuple[float, float], cells: int = 12) -> DataFrame:
+    """Designs with their symmetry instead of their boxes; other columns stay."""
+    size, k = (canvas[0] / cells, canvas[1] / cells), np.arange(cells)
+    kept = [f for f in designs.schema if f.name != "boxes"]
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -121,11 +158,12 @@ def symmetry(el: DataFrame, canvas: tuple[float, float], cells: int = 12, key: s
                 mass[own[first]] += np.add.reduceat(y[:, :, None] * x[:, None] / (size[0] * size[1]), first)
             mass = np.minimum(1, mass)
             left, right = mass[..., : cells // 2], mass[..., ::-1][..., : cells // 2]
-            yield pd.DataFrame({key: pdf[key], "diff": np.abs(left - right).sum((1, 2)), "mass": (left + right).sum((1, 2))})
+            yield pdf.drop(columns="boxes").assign(_diff=np.abs(left - right).sum((1, 2)), _mass=(left + right).sum((1, 2)))
 
-    s = boxes.mapInPandas(spread, f"{key} {kind}, diff double, mass double")
+    s = designs.select(*(F.col(f"`{f.name}`") for f in kept), "boxes").mapInPandas(spread, StructType([*kept, StructField("_diff", DoubleType()), StructField("_mass", DoubleType())]))
     # a hair above, so that exact halves don't depend on the order of the sums
-    return s.select(key, round_to(F.when(F.col("mass") > 0, F.greatest(F.lit(0.0), 1 - F.col("diff") / F.col("mass"))).otherwise(1.0) + 1e-9, 2).alias("symmetry"))
+    share = F.when(F.col("_mass") > 0, F.greatest(F.lit(0.0), 1 - F.col("_diff") / F.col("_mass"))).otherwise(1.0)
+    return s.withColumn("symmetry", round_to(share + 1e-9, 2)).drop("_diff", "_mass")
 
 
 def baseline(texts: DataFrame, key: str = "pid", size: str = "size") -> DataFrame:

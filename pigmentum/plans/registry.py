@@ -13,12 +13,14 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, *views: str, sql: str | None = None):
-    """Registers f(*views as DataFrames). `sql` follows the views' WITH clause; extra CTEs begin with a comma."""
+def query(name: str, *views: str, sql: str | None = None, derived: tuple[str, ...] = ()):
+    """Registers f(*views as DataFrames). `sql` follows the views' WITH clause; extra CTEs begin with a comma.
+
+    `derived` names the tables that f gets in Spark, where they aren't the views one by one."""
 
     def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(fixtures.view(spark, sf_dir, v) if v in fixtures.VIEWS else spark.read.parquet(f"{sf_dir}/{v}.parquet") for v in views))
+            return f(*(fixtures.view(spark, sf_dir, v) if v in fixtures.VIEWS or v in fixtures.DERIVED else spark.read.parquet(f"{sf_dir}/{v}.parquet") for v in derived or views))
 
         if name in QUERIES:
             raise ValueError(f"two queries are named {name}")
