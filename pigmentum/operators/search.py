@@ -6,6 +6,9 @@ come from equality joins of intents with the elements they ask for.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,31 +81,29 @@ def percent(x: Column) -> Column:
 def search(intents: DataFrame, texts: DataFrame, objects: DataFrame, palette: DataFrame, backgrounds: DataFrame, gradients: DataFrame, layers: DataFrame, key: str = "pid") -> DataFrame:
     """(qid, key, type, ord, title, subtitle): every intent's hits in every design, one branch per kind of target.
 
-    The table of intents is small by nature (phrases typed by people); it is joined on equality of
-    the target's argument, and Spark broadcasts it by its own size check.
+    The table of intents is small by nature (phrases typed by people) and is broadcast: a shuffle on what
+    they ask for would send all texts of a role, all boxes of a kind, to one task. Each table is read
+    once; its rows meet the intents of all kinds of target that it answers.
     """
-    q = intents.select("qid", "target", "arg", "sub")
-    on = lambda target: q.where(F.col("target") == target)
-    hit = lambda df, type, title, sub, n: df.select("qid", key, F.lit(type).alias("type"), F.lit(n).alias("branch"), "ord", title.alias("title"), sub.alias("subtitle"))
+    q = F.broadcast(intents.select("qid", "target", "arg", "sub", F.expr("try_cast(arg AS DOUBLE)").alias("least")))
+    on = lambda target: F.col("target") == target
+    asks = lambda *columns: reduce(or_, (F.lower(c).contains(F.col("arg")) for c in columns))
+    hit = lambda df, type, title, sub, n, ord=F.col("ord"): df.select("qid", key, F.lit(type).alias("type"), (F.lit(n) if isinstance(n, int) else n).alias("branch"), ord.alias("ord"), title.alias("title"), sub.alias("subtitle"))
     family = color.family(F.col("h"), F.col("s"), F.col("l"))
     swatches = palette.withColumn("family", family).withColumn("cname", color.name(F.col("h"), F.col("s"), F.col("l")))
-    # a colour answers to no word, to its family, and yellow and brown to gold
-    asked = F.explode(F.array_compact(F.array(F.lit(""), F.col("family"), F.when(F.col("family").isin("yellow", "brown"), "gold"))))
     pal_title = F.concat_ws(" ", "cname", "hex")
-    out = hit(swatches.withColumn("arg", asked).join(on("color"), "arg"), "color", pal_title, F.concat_ws(" · ", "role", percent(F.col("weight"))), 0)
-    out = out.unionByName(hit(gradients.withColumn("arg", F.lit("")).join(on("gradient"), "arg"), "color", F.col("css"), F.col("region"), 0))
-    kinds = F.explode(F.array(F.lit(""), F.col("kind")))
-    out = out.unionByName(hit(backgrounds.withColumn("arg", kinds).join(on("background"), "arg"), "background", F.col("label"), F.concat_ws(" · ", "kind", percent(F.col("conf"))), 0))
-    role = texts.join(on("role").withColumnRenamed("arg", "role"), "role")
+    # a colour answers to no word, to its family, and yellow and brown to gold
+    asked = F.col("arg").isin("", F.col("family")) | ((F.col("arg") == "gold") & F.col("family").isin("yellow", "brown"))
+    found = swatches.join(q, (on("color") & asked) | (on("any") & asks("hex", "cname")))
+    out = hit(found, "color", pal_title, F.when(on("any"), F.col("role")).otherwise(F.concat_ws(" · ", "role", percent(F.col("weight")))), F.when(on("any"), 2).otherwise(0))
+    out = out.unionByName(hit(gradients.join(q, on("gradient") & (F.col("arg") == "")), "color", F.col("css"), F.col("region"), 0))
+    out = out.unionByName(hit(backgrounds.join(q, on("background") & F.col("arg").isin("", F.col("kind"))), "background", F.col("label"), F.concat_ws(" · ", "kind", percent(F.col("conf"))), 0))
     px = F.concat(F.floor("size").cast("string"), F.lit("px"))
-    out = out.unionByName(hit(role, "text", F.col("txt"), F.concat_ws(" ", "family", F.col("weight").cast("string"), F.lit("·"), px), 0))
-    size = on("size").select("qid", F.col("arg").cast("double").alias("least"))
-    out = out.unionByName(hit(texts.join(size, F.col("size") > F.col("least")), "text", F.col("txt"), F.concat_ws(" ", px, "family"), 0))
-    shown = layers.withColumn("arg", F.explode(F.array_distinct(F.array(F.lit(""), F.when(F.col("type") == "text", "text").otherwise("")))))
-    out = out.unionByName(hit(shown.join(on("layer"), "arg").withColumn("ord", F.when(F.col("arg") == "", -F.col("z")).otherwise(F.col("z"))), "layer", F.col("name"), F.concat_ws(" ", "type", F.lit("layer")), 0))
-    wanted = objects.withColumn("arg", F.explode(F.array("kind", F.lit("*")))).join(on("object"), "arg").where((F.col("sub") == "") | F.expr("lower(label) rlike sub"))
-    out = out.unionByName(hit(wanted, "object", F.col("label"), F.concat_ws(" · ", "kind", percent(F.col("conf"))), 0))
-    free = on("any").select("qid", F.col("arg").alias("q"))
-    out = out.unionByName(hit(texts.join(free, F.lower("txt").contains(F.col("q"))), "text", F.col("txt"), F.col("role"), 0))
-    out = out.unionByName(hit(objects.join(free, F.lower("label").contains(F.col("q")) | F.col("kind").contains(F.col("q"))), "object", F.col("label"), F.col("kind"), 1))
-    return out.unionByName(hit(swatches.join(free, F.lower("hex").contains(F.col("q")) | F.lower("cname").contains(F.col("q"))), "color", pal_title, F.col("role"), 2))
+    found = texts.join(q, (on("role") & (F.col("arg") == F.col("role"))) | (on("size") & (F.col("size") > F.col("least"))) | (on("any") & asks("txt")))
+    about = F.when(on("role"), F.concat_ws(" ", "family", F.col("weight").cast("string"), F.lit("·"), px)).when(on("size"), F.concat_ws(" ", px, "family")).otherwise(F.col("role"))
+    out = out.unionByName(hit(found, "text", F.col("txt"), about, 0))
+    found = layers.join(q, on("layer") & ((F.col("arg") == "") | ((F.col("arg") == "text") & (F.col("type") == "text"))))
+    out = out.unionByName(hit(found, "layer", F.col("name"), F.concat_ws(" ", "type", F.lit("layer")), 0, F.when(F.col("arg") == "", -F.col("z")).otherwise(F.col("z"))))
+    wanted = on("object") & F.col("arg").isin(F.col("kind"), "*") & ((F.col("sub") == "") | F.expr("lower(label) rlike sub"))
+    found = objects.join(q, wanted | (on("any") & asks("label", "kind")))
+    return out.unionByName(hit(found, "object", F.col("label"), F.when(on("any"), F.col("kind")).otherwise(F.concat_ws(" · ", "kind", percent(F.col("conf")))), F.when(on("any"), 1).otherwise(0)))

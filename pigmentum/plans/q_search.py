@@ -71,10 +71,17 @@ def _search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(search.compile_intents(phrases(spark)), **tables(spark, d))
 
 
+#: Tables that answer a target.
+ANSWERED = {
+    "color": ("palette",), "gradient": ("gradients",), "background": ("backgrounds",), "role": ("texts",), "size": ("texts",), "layer": ("layers",), "object": ("objects",), "any": ("texts", "objects", "palette"),
+}
+
+
 def _branch(name: str, target: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = search.compile_intents(phrases(spark)).where(F.col("target") == target)
-        return search.search(t, **tables(spark, d))
+        t, given = search.compile_intents(phrases(spark)), tables(spark, d)
+        # tables that don't answer this target have no hits; they aren't read
+        return search.search(t.where(F.col("target") == target), **{k: v if k in ANSWERED[target] else v.where("false") for k, v in given.items()})
 
     QUERIES[name] = run
     SQL[name] = f"{BASE} {HITS[target]}".replace("'color', 0, ord, 'linear", "'color' AS type, 0 AS branch, ord, 'linear")

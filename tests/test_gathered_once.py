@@ -37,3 +37,11 @@ def test_scores(spark):
     for name, more in (("agg_17_layout_score", 0), ("agg_18_dna", 2)):
         text = plan(spark, lambda: QUERIES[name](spark, D))
         assert scans(text, "l_orderkey") == 1 and shuffles(text) == 4 + more and "Expand" not in text
+
+
+def test_search(spark):
+    """No shuffle on what is asked for, which a few values would make of a few tasks; each table is read once, and only if it answers."""
+    for name, lines in (("qry_05_text_role_intent", 1), ("qry_04_background_intent", 1), ("qry_09_full_text", 2), ("qry_01_smart_search", 4)):
+        text = plan(spark, lambda: QUERIES[name](spark, D))
+        assert scans(text, "l_orderkey") == lines
+        assert not re.search(r"hashpartitioning\((?:arg|role|kind)#", text) and "BroadcastNestedLoopJoin BuildLeft" not in text
