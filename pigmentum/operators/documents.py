@@ -4,7 +4,7 @@ Every document is one row, so a scene (a video, for timelines) must fit a row as
 without layers have empty lists; null values are left out, as JSON writers leave out what is undefined.
 Layers have (key, z, id, name, type, x, y, w, h, visible, locked, opacity, rotation, src, fit, fill,
 radius, txt, size, weight, family, align, spacing, line_height, upper_case), layers of videos also
-(scene, t_in, t_out, motion).
+(scene, t_in, t_out, motion). Where texts are None, all layers are texts, with a role.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ def _s(**fields: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
-def _is(kind: str) -> Column:
-    return F.col("type") == kind
+def _is(kind: str, c=F.col) -> Column:
+    return c("type") == kind
 
 
-def _picture() -> Column:
-    return ~F.col("type").isin("text", "shape")
+def _picture(c=F.col) -> Column:
+    return ~c("type").isin("text", "shape")
 
 
 def _channels(hex: Column) -> list[Column]:
@@ -47,18 +47,26 @@ def _solid(hex: Column) -> Column:
     return _s(type=F.lit("SOLID"), color=_unit(hex))
 
 
-def _gathered(scenes: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
-    """The scenes with an array per part, each of (key, value) rows with one array a key; none is an empty one."""
-    for name, rows in parts.items():
-        scenes = scenes.join(rows.withColumnRenamed("v", name), key, "left").withColumn(name, F.coalesce(name, F.array()))
-    return scenes
+def _gathered(scenes: DataFrame | list[str], key: str, layers: DataFrame, lists: dict[str, Column], palette: DataFrame, colour: Column, **parts: DataFrame) -> DataFrame:
+    """The scenes with a list of each value of their layers, one of their palette's colours as _c, and other (key, v) lists; none is an empty one.
+
+    `lists` gathers a scene's layers in one aggregate. Scenes as SQL expressions over the key stand for
+    all scenes that have layers; those are then read once.
+    """
+    listed = layers.groupBy(key).agg(*(v.alias(name) for name, v in lists.items()))
+    whole = listed.selectExpr(*scenes, *lists) if isinstance(scenes, list) else scenes.join(listed, key, "left")
+    for name, rows in ({"_c": ordered(palette.withColumn("z", F.col("ord")), colour, "v", key)} | parts).items():
+        whole = whole.join(rows.withColumnRenamed("v", name), key, "left")
+    return whole.withColumns({name: F.coalesce(name, F.array()) for name in (*lists, "_c", *parts)})
 
 
-def _in_order(rows: DataFrame, value: Column, order: str, key: str) -> DataFrame:
-    return ordered(rows.withColumn("z", F.col(order)), value, "v", key)
+def _list(value: Column, falling: bool = False) -> Column:
+    """Values in z order."""
+    one = F.struct((-F.col("z") if falling else F.col("z")).alias("z"), value.alias("v"))
+    return F.transform(F.array_sort(F.collect_list(one)), lambda s: s["v"])
 
 
-def layer_document(scenes: DataFrame, layers: DataFrame, palette: DataFrame, key: str = "pid") -> DataFrame:
+def layer_document(scenes: DataFrame | list[str], layers: DataFrame, palette: DataFrame, key: str = "pid") -> DataFrame:
     """(key, json): a layered image, the top layer first. Scenes: name, width, height, design_type; palette: ord, hex."""
     c = F.col
     bounds = _s(top=half_up(c("y")), left=half_up(c("x")), bottom=half_up(c("y") + c("h")), right=half_up(c("x") + c("w")))
@@ -70,31 +78,39 @@ def layer_document(scenes: DataFrame, layers: DataFrame, palette: DataFrame, key
         id=c("id"), name=c("name"), kind=kind, visible=c("visible"), locked=c("locked"), opacity=half_up(c("opacity") * 255), blendMode=F.lit("normal"), bounds=bounds, rotation=c("rotation"),
         text=text, fill=F.when(_is("shape"), c("fill")), cornerRadius=F.when(_is("shape"), c("radius")), image=F.when(_picture(), _s(dataUrl=c("src"))),
     )
-    whole = _gathered(scenes, key, _l=ordered(layers, one, "v", key, falling=True), _p=_in_order(palette, c("hex"), "ord", key))
+    whole = _gathered(scenes, key, layers, {"_l": _list(one, falling=True)}, palette, c("hex"))
     about = _s(name=c("name"), width=c("width"), height=c("height"), resolution=F.lit(72), colorMode=F.lit("RGB"), bitsPerChannel=F.lit(8))
-    return whole.select(key, F.to_json(F.struct(F.lit("layers@1").alias("$schema"), about.alias("document"), c("_l").alias("layers"), _s(designType=c("design_type"), palette=c("_p")).alias("analysis"))).alias("json"))
+    return whole.select(key, F.to_json(F.struct(F.lit("layers@1").alias("$schema"), about.alias("document"), c("_l").alias("layers"), _s(designType=c("design_type"), palette=c("_c")).alias("analysis"))).alias("json"))
 
 
-def node_document(scenes: DataFrame, layers: DataFrame, palette: DataFrame, texts: DataFrame, key: str = "pid") -> DataFrame:
+def node_document(scenes: DataFrame | list[str], layers: DataFrame, palette: DataFrame, texts: DataFrame | None, key: str = "pid") -> DataFrame:
     """(key, json): a tree of nodes, images by layer, colour styles and the distinct text styles as first seen.
 
     Scenes: name, width, height, background; palette: ord, hex, name, role; texts: ord, family, weight, size, role.
     """
+    def node(c) -> Column:
+        style = _s(
+            fontFamily=c("family"), fontWeight=c("weight"), fontSize=c("size"), letterSpacing=c("spacing"), lineHeightPx=c("size") * c("line_height"),
+            textAlignHorizontal=F.upper(c("align")), textAlignVertical=F.lit("CENTER"), textCase=F.when(c("upper_case"), "UPPER").otherwise("ORIGINAL"),
+        )
+        fill = _s(type=F.when(_picture(c), "IMAGE").otherwise("SOLID"), color=F.when(~_picture(c), _unit(c("fill"))), scaleMode=F.when(_picture(c), "FILL"), imageRef=F.when(_picture(c), c("id")))
+        return _s(
+            id=c("id"), name=c("name"), visible=c("visible"), locked=c("locked"), opacity=c("opacity"), rotation=c("rotation"), absoluteBoundingBox=_s(x=c("x"), y=c("y"), width=c("w"), height=c("h")),
+            constraints=_s(vertical=F.lit("TOP"), horizontal=F.lit("LEFT")), type=F.when(_is("text", c), "TEXT").otherwise("RECTANGLE"), characters=F.when(_is("text", c), c("txt")),
+            style=F.when(_is("text", c), style), cornerRadius=F.when(_is("shape", c), c("radius")), fills=F.array(fill),
+        )
+
     c = F.col
-    style = _s(
-        fontFamily=c("family"), fontWeight=c("weight"), fontSize=c("size"), letterSpacing=c("spacing"), lineHeightPx=c("size") * c("line_height"),
-        textAlignHorizontal=F.upper("align"), textAlignVertical=F.lit("CENTER"), textCase=F.when(c("upper_case"), "UPPER").otherwise("ORIGINAL"),
-    )
-    fill = _s(type=F.when(_picture(), "IMAGE").otherwise("SOLID"), color=F.when(~_picture(), _unit(c("fill"))), scaleMode=F.when(_picture(), "FILL"), imageRef=F.when(_picture(), c("id")))
-    node = _s(
-        id=c("id"), name=c("name"), visible=c("visible"), locked=c("locked"), opacity=c("opacity"), rotation=c("rotation"), absoluteBoundingBox=_s(x=c("x"), y=c("y"), width=c("w"), height=c("h")),
-        constraints=_s(vertical=F.lit("TOP"), horizontal=F.lit("LEFT")), type=F.when(_is("text"), "TEXT").otherwise("RECTANGLE"), characters=F.when(_is("text"), c("txt")),
-        style=F.when(_is("text"), style), cornerRadius=F.when(_is("shape"), c("radius")), fills=F.array(fill),
-    )
-    image = F.struct(c("id"), c("src"))
+    said = lambda c: _s(name=c("role"), fontFamily=c("family"), fontWeight=c("weight"), fontSize=c("size"))
     named = _s(name=F.concat_ws("/", "role", "name"), color=_unit(c("hex")))
-    said = _s(name=c("role"), fontFamily=c("family"), fontWeight=c("weight"), fontSize=c("size"))
-    whole = _gathered(scenes, key, _l=ordered(layers, node, "v", key), _i=ordered(layers.where(_picture()), image, "v", key), _c=_in_order(palette, named, "ord", key), _t=_in_order(texts, said, "ord", key))
+    # layers are gathered as they come and become nodes afterwards: as nodes they are several times as wide
+    used = ["id", "name", "type", "x", "y", "w", "h", "visible", "locked", "opacity", "rotation", "src", "fill", "radius", "txt", "size", "weight", "family", "align", "spacing", "line_height", "upper_case"]
+    raw = F.struct(*used, *(["role"] if texts is None else []))
+    apart = {} if texts is None else {"_t": ordered(texts.withColumn("z", F.col("ord")), said(c), "v", key)}
+    whole = _gathered(scenes, key, layers, {"_raw": _list(raw)}, palette, named, **apart)
+    each = lambda rows, f: F.transform(rows, lambda s: f(lambda n: s[n]))
+    pictures = each(F.filter("_raw", lambda s: _picture(lambda n: s[n])), lambda c: F.struct(c("id").alias("id"), c("src").alias("src")))
+    whole = whole.withColumns({"_l": each("_raw", node), "_i": pictures} | ({"_t": each("_raw", said)} if texts is None else {})).drop("_raw")
     box = _s(x=F.lit(0), y=F.lit(0), width=c("width"), height=c("height"))
     frame = _s(id=F.lit("1:1"), type=F.lit("FRAME"), name=c("name"), absoluteBoundingBox=box, fills=F.array(_solid(c("background"))), clipsContent=F.lit(True), children=c("_l"))
     canvas = _s(id=F.lit("0:1"), type=F.lit("CANVAS"), name=F.lit(CANVAS_NAME), backgroundColor=_unit(F.lit(CANVAS_COLOR)), children=F.array(frame))
@@ -103,7 +119,7 @@ def node_document(scenes: DataFrame, layers: DataFrame, palette: DataFrame, text
     return whole.select(key, F.to_json(F.struct(F.lit("nodes@1").alias("$schema"), c("name"), root.alias("document"), F.map_from_entries("_i").alias("images"), styles.alias("styles"))).alias("json"))
 
 
-def page_document(scenes: DataFrame, layers: DataFrame, palette: DataFrame, texts: DataFrame, key: str = "pid") -> DataFrame:
+def page_document(scenes: DataFrame | list[str], layers: DataFrame, palette: DataFrame, texts: DataFrame | None, key: str = "pid") -> DataFrame:
     """(key, json): a page of elements with a brand kit of the palette and the distinct fonts as first seen."""
     c = F.col
     text = _s(
@@ -115,10 +131,12 @@ def page_document(scenes: DataFrame, layers: DataFrame, palette: DataFrame, text
         type=F.when(_is("text"), "TEXT").when(_is("shape"), "SHAPE").otherwise("IMAGE"), text=F.when(_is("text"), text), fill=F.when(_is("shape"), _s(color=c("fill"))),
         cornerRadius=F.when(_is("shape"), c("radius")), image=F.when(_picture(), _s(src=c("src"), fit=c("fit"))),
     )
-    whole = _gathered(scenes, key, _l=ordered(layers, one, "v", key), _c=_in_order(palette, c("hex"), "ord", key), _f=_in_order(texts, c("family"), "ord", key))
+    own = {"_t": _list(c("family"))} if texts is None else {}
+    apart = {} if texts is None else {"_t": ordered(texts.withColumn("z", F.col("ord")), c("family"), "v", key)}
+    whole = _gathered(scenes, key, layers, {"_l": _list(one)} | own, palette, c("hex"), **apart)
     page = _s(background=_s(color=c("background")), elements=c("_l"))
     size = _s(width=c("width"), height=c("height"), units=F.lit("px"))
-    kit = _s(colors=c("_c"), fonts=F.array_distinct("_f"))
+    kit = _s(colors=c("_c"), fonts=F.array_distinct("_t"))
     return whole.select(key, F.to_json(F.struct(F.lit("pages@1").alias("$schema"), c("name").alias("title"), size.alias("dimensions"), F.array(page).alias("pages"), kit.alias("brandKit"))).alias("json"))
 
 

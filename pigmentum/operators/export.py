@@ -48,10 +48,10 @@ def svg(layers: DataFrame, canvas: tuple[int, int], background: str = "#FFFFFF",
     text = F.concat(F.lit('<text id="'), F.col("id"), F.lit('" x="'), number(at), F.lit('" y="'), number(F.col("y") + F.col("h") / 2), F.lit('" text-anchor="'), anchor, F.lit('" font-family="'), xml(F.col("family")), F.lit('" font-size="'), c("size"), F.lit('" font-weight="'), c("weight"), F.lit('" letter-spacing="'), c("spacing"), F.lit('" fill="'), F.col("fill"), F.lit('" '), turn, F.lit(">"), said, F.lit("</text>"))
     rect = F.concat(F.lit("<rect "), frame, F.lit(' rx="'), c("radius"), F.lit('" fill="'), F.col("fill"), F.lit('" '), turn, F.lit("/>"))
     one = F.when(F.col("type").isin("image", "background"), image).when(F.col("type") == "text", text).otherwise(rect)
-    body = ordered(layers.where("visible"), one, "parts", key)
     w, h = canvas
     head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}"><rect width="100%" height="100%" fill="{background}"/>'
-    return layers.select(key).distinct().join(body, key, "left").select(key, F.concat(F.lit(head), F.coalesce(F.array_join("parts", ""), F.lit("")), F.lit("</svg>")).alias("svg"))
+    body = F.array_sort(F.collect_list(F.when(F.col("visible"), F.struct("z", one.alias("v")))))
+    return layers.groupBy(key).agg(F.concat(F.lit(head), F.array_join(F.transform(body, lambda s: s["v"]), ""), F.lit("</svg>")).alias("svg"))
 
 
 def layer_stack(layers: DataFrame, key: str = "pid") -> DataFrame:

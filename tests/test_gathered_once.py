@@ -45,3 +45,10 @@ def test_search(spark):
         text = plan(spark, lambda: QUERIES[name](spark, D))
         assert scans(text, "l_orderkey") == lines
         assert not re.search(r"hashpartitioning\((?:arg|role|kind)#", text) and "BroadcastNestedLoopJoin BuildLeft" not in text
+
+
+def test_documents(spark):
+    """A design's layers, texts and pictures come from one gathering of its lines; only the palette is joined."""
+    for name, parts in (("snk_07_svg", 0), ("snk_09_layer_document", 1), ("snk_10_node_document", 1), ("snk_11_page_document", 1)):
+        text = plan(spark, lambda: QUERIES[name](spark, D))
+        assert scans(text, "l_orderkey") == 1 and shuffles(text) == 4 + parts
