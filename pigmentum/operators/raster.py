@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,27 +165,138 @@ def _draw(canvas: np.ndarray, layer, scale: float) -> None:
     canvas[rows, cols] = canvas[rows, cols] * (1 - a) + colour * a
 
 
+def _draw_many(canvas: np.ndarray, start: np.ndarray, side: tuple[np.ndarray, np.ndarray], q: dict[str, np.ndarray], scale: float) -> None:
+    """Layers on canvases as by `_draw`, each on a canvas of its own; canvases of `side` (w, h) lie one after the other, from `start` on."""
+    w, h = q["w"], q["h"]
+    reach = np.hypot(w, h) / 2 + 1 / scale
+    cx, cy = q["x"] + w / 2, q["y"] + h / 2
+    cut = lambda c, n: (np.clip(np.floor((c - reach) * scale), 0, n).astype(int), np.clip(np.ceil((c + reach) * scale), 0, n).astype(int))
+    (top, bottom), (left, right) = cut(cy, side[1]), cut(cx, side[0])
+    of, py, px = kernels.rectangles(top, left, bottom, right)
+    dx, dy, cos, sin = (px + 0.5) / scale - cx[of], (py + 0.5) / scale - cy[of], q["cos"][of], q["sin"][of]
+    u, v, half_w, half_h = dx * cos + dy * sin, dy * cos - dx * sin, (w / 2)[of], (h / 2)[of]
+    inside = (u >= -half_w) & (u < half_w) & (v >= -half_h) & (v < half_h)
+    round_ = np.where(q["shape"], np.minimum(np.minimum(q["radius"], w / 2), h / 2), 0.0)
+    if (round_ > 0).any():
+        r = round_[of]
+        qx, qy = np.maximum(np.abs(u) - (half_w - r), 0), np.maximum(np.abs(v) - (half_h - r), 0)
+        inside &= ~(r > 0) | (qx * qx + qy * qy <= r * r)
+    seen = np.flatnonzero(inside)
+    of, u, v = of[seen], u[seen], v[seen]
+    at = start[of] + py[seen] * side[0][of] + px[seen]
+    colour, alpha = q["rgb"][of], q["opacity"][of]
+    if len(p := np.flatnonzero(q["picture"][of] >= 0)):
+        k = of[p]
+        to = lambda c, side, n: np.clip(np.floor((c + side / 2) / side * n), 0, n - 1).astype(int)
+        pixel = q["picture"][k] + 4 * (to(v[p], h[k], q["picture_h"][k]) * q["picture_w"][k] + to(u[p], w[k], q["picture_w"][k]))
+        colour[p] = q["bytes"][pixel[:, None] + np.arange(3)]
+        alpha[p] = alpha[p] * (q["bytes"][pixel + 3] / 255)
+    a = alpha[:, None]
+    canvas[at] = canvas[at] * (1 - a) + colour * a
+
+
+FIELDS = ["z", "type", "x", "y", "w", "h", "rotation", "opacity", "radius", "r", "g", "b", "picture"]
+#: Pixels of the canvases that are drawn side by side; a larger canvas is drawn by itself.
+SIDE_BY_SIDE = 1 << 16
+
+
+def listed(layers: DataFrame, key: str = "pid") -> DataFrame:
+    """(key, layers): each scene's layers that are drawn, bottom to top. See `render`."""
+    shown = F.expr("visible AND w > 0 AND h > 0 AND x IS NOT NULL AND y IS NOT NULL AND (type <> 'text' OR picture IS NOT NULL)")
+    zero = {c: F.coalesce(c, F.lit(d)) for c, d in (("rotation", 0.0), ("opacity", 1.0), ("r", 0), ("g", 0), ("b", 0))}
+    return layers.withColumns(zero).groupBy(key).agg(F.sort_array(F.collect_list(F.when(shown, F.struct(*FIELDS)))).alias("layers"))
+
+
+def _numbers(column: pa.ListArray) -> dict[str, np.ndarray]:
+    """The numbers of all layers of a column of scenes, one after the other."""
+    of = dict(zip(FIELDS, column.flatten().flatten(), strict=True))
+    number = lambda c: np.asarray(of[c].cast(pa.float64()).fill_null(0), float)
+    q = {c: number(c) for c in ("x", "y", "w", "h", "opacity", "radius")}
+    turn = [math.radians(t) for t in number("rotation").tolist()]
+    q |= {"cos": np.array([math.cos(t) for t in turn]), "sin": np.array([math.sin(t) for t in turn])}
+    q |= {"rgb": np.stack([number(c) for c in "rgb"], axis=1), "shape": np.asarray(pc.equal(of["type"], "shape").fill_null(False))}
+    w, h, data = of["picture"].flatten()
+    size = np.asarray(pc.binary_length(data).fill_null(0)).astype(np.int64)
+    q |= {"picture": np.where(np.asarray(of["picture"].is_valid()), np.cumsum(size) - size, -1), "bytes": np.frombuffer(b"".join(data.drop_null().to_pylist()), np.uint8)}
+    return q | {"picture_w": np.asarray(w.fill_null(0)).astype(np.int64), "picture_h": np.asarray(h.fill_null(0)).astype(np.int64)}
+
+
+def draw(rows: DataFrame, scale: float = 1.0, key: str = "pid") -> DataFrame:
+    """`render` of scenes (key, width, height, r, g, b, layers) that have their layers listed.
+
+    Small canvases lie side by side in one array and get their lowest layers together, then their second ones, and so on.
+    """
+
+    def canvases(b: pa.RecordBatch, w: np.ndarray, h: np.ndarray, count: np.ndarray, q: dict[str, np.ndarray], first: np.ndarray):
+        """(scenes from, to, their pixels in rows of RGB), a few scenes at a time."""
+        ground = np.stack([np.asarray(b.column(c), float) for c in "rgb"], axis=1)
+        size, each = w * h, {k: v for k, v in q.items() if k != "bytes"}
+        at = 0
+        while at < len(size):
+            end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), SIDE_BY_SIDE, "right")))
+            canvas = np.repeat(ground[at:end], size[at:end], axis=0)
+            if size[at] > SIDE_BY_SIDE:
+                whole = canvas.reshape(h[at], w[at], 3)
+                for layer in b.column("layers")[at].as_py() or []:
+                    _draw(whole, layer, scale)
+            else:
+                start, n = np.cumsum(size[at:end]) - size[at:end], count[at:end]
+                for k in range(int(n.max())):
+                    scenes = np.flatnonzero(n > k)
+                    some = {c: v[first[at + scenes] + k] for c, v in each.items()}
+                    _draw_many(canvas, start[scenes], (w[at + scenes], h[at + scenes]), some | {"bytes": q["bytes"]}, scale)
+            yield at, end, np.floor(np.clip(canvas, 0, 255) + 0.5).astype(np.uint8)
+            at = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, h = (np.maximum(1, (np.asarray(b.column(c), float) * scale + 0.5).astype(int)) for c in ("width", "height"))
+            count = np.asarray(pc.list_value_length(b.column("layers")).fill_null(0)).astype(int)
+            for at, end, pixels in canvases(b, w, h, count, _numbers(b.column("layers")), np.cumsum(count) - count):
+                size = w[at:end] * h[at:end]
+                to = np.cumsum(size)
+                scenes = [pixels[e - n : e].reshape(y, x, 3) for e, n, x, y in zip(to.tolist(), size.tolist(), w[at:end].tolist(), h[at:end].tolist(), strict=True)]
+                sums = np.add.reduceat(pixels, to - size, axis=0, dtype=np.int64)
+                columns = [b.column(key).slice(at, end - at), *(pa.array(x[at:end], pa.int32()) for x in (w, h, count)), pa.array([x.tobytes() for x in scenes], pa.binary()), pa.array([kernels.png(x) for x in scenes], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1) * 3, pa.int32()), pa.array(sums.ravel()))], [key, "w", "h", "drawn", "data", "png", "sums"])
+
+    rows = rows.select(key, "width", "height", "r", "g", "b", "layers")
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, w int, h int, drawn int, data binary, png binary, sums array<long>")
+
+
 def render(scenes: DataFrame, layers: DataFrame, scale: float = 1.0, key: str = "pid") -> DataFrame:
-    """(key, w, h, drawn, data, png): each scene (key, width, height, r, g, b of its background) with its visible layers, bottom to top.
+    """(key, w, h, drawn, data, png, sums): each scene (key, width, height, r, g, b of its background) with its visible layers, bottom to top.
 
     Layers have (key, z, type, x, y, w, h, rotation in degrees about the centre, opacity, visible, radius,
     r, g, b, picture struct<w, h, data> of RGBA bytes, null for a plain fill). `scale` is canvas pixels a
-    scene pixel. Text is not drawn: there are no glyphs on a cluster; its layers come with a picture or
-    stay out. Layers of no size, or with a null box, are skipped. A scene's layers are one row, its canvas one array.
+    scene pixel; sums are those of the canvas's red, green and blue. Text is not drawn: there are no glyphs on a cluster;
+    its layers come with a picture or stay out. Layers of no size, or with a null box, are skipped. A scene's layers are one row, its canvas one array.
     """
-    fields = ["z", "type", "x", "y", "w", "h", "rotation", "opacity", "radius", "r", "g", "b", "picture"]
-    shown = layers.where("visible AND w > 0 AND h > 0 AND x IS NOT NULL AND y IS NOT NULL AND (type <> 'text' OR picture IS NOT NULL)")
-    zero = {c: F.coalesce(c, F.lit(d)) for c, d in (("rotation", 0.0), ("opacity", 1.0), ("r", 0), ("g", 0), ("b", 0))}
-    listed = shown.withColumns(zero).groupBy(F.col(key).alias("_of")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("layers"))
-    rows = scenes.select(key, "width", "height", "r", "g", "b").join(listed, F.col(key) == F.col("_of"), "left").drop("_of")
-
-    def one(row):
-        w, h = max(1, int(row.width * scale + 0.5)), max(1, int(row.height * scale + 0.5))
-        canvas = np.tile(np.array([row.r, row.g, row.b], float), (h, w, 1))
-        found = row.layers if row.layers is not None else []
-        for layer in found:
-            _draw(canvas, layer, scale)
-        whole = np.floor(np.clip(canvas, 0, 255) + 0.5).astype(np.uint8)
-        return [(getattr(row, key), w, h, len(found), whole.tobytes(), kernels.png(whole))]
-
-    return per_row(rows, one, f"{key} {dict(scenes.dtypes)[key]}, w int, h int, drawn int, data binary, png binary")
+    found = listed(layers, key).withColumnRenamed(key, "_of")
+    return draw(scenes.join(found, F.col(key) == F.col("_of"), "left").drop("_of"), scale, key)
+
+
+def painted(found: pa.ListArray, w: int, h: int) -> np.ndarray:
+    """Canvases (scene, h, w, 3), white under each scene's plain layers, struct<x, y, w, h in pixels, opacity, r, g, b>, bottom to top."""
+    q = {f.name: np.asarray(c, float) for f, c in zip(found.type.value_type, found.flatten().flatten(), strict=True)}
+    count = np.asarray(pc.list_value_length(found)).astype(int)
+    first, canvas = np.cumsum(count) - count, np.full((len(count) * w * h, 3), 255.0)
+    for k in range(int(count.max(initial=0))):
+        on = np.flatnonzero(count > k)
+        i = first[on] + k
+        box, rgb = [q[c][i].astype(int) for c in "xywh"], np.stack([q[c][i] for c in "rgb"], axis=1)
+        kernels.over_many(canvas, on * (w * h), (w, h), box, rgb, q["opacity"][i])
+    return canvas.reshape(len(count), h, w, 3)
+
+
+def paint(rows: DataFrame, w: int, h: int, key: str = "pid") -> DataFrame:
+    """(key, layers, pixels): scenes with their plain layers listed (see `painted`) on canvases of w x h, how many layers and pixels were painted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, max(1, SIDE_BY_SIDE // (w * h))):
+                some = b.slice(at, max(1, SIDE_BY_SIDE // (w * h)))
+                canvas = painted(some.column("layers"), w, h)
+                yield pa.RecordBatch.from_arrays([some.column(key), pc.list_value_length(some.column("layers")).cast(pa.int64()), pa.array([x.shape[0] * x.shape[1] for x in canvas], pa.int32())], [key, "layers", "pixels"])
+
+    return rows.select(key, "layers").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, layers bigint, pixels int")
