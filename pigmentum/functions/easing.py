@@ -32,12 +32,10 @@ def ease(curve: str, x: Column) -> Column:
     if curve == "linear":
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
-    def halve(s, _):
-        mid = (s["lo"] + s["hi"]) / 2
-        below = _curve(mid, x1, x2) < x
-        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve, lambda s: _curve((s["lo"] + s["hi"]) / 2, y1, y2))
+    # the state is the middle of what is left, one number; all middles are exact, so they are those of two ends
+    halve = lambda mid, width: F.when(_curve(mid, x1, x2) < x, mid + width).otherwise(mid - width)
+    widths = F.array(*(F.lit(0.5 ** (i + 2)) for i in range(BISECTIONS)))
+    found = F.aggregate(widths, F.lit(0.5), halve, lambda mid: _curve(mid, y1, y2))
     return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(found)
 
 
