@@ -199,17 +199,23 @@ def split_words(words: DataFrame, keys: list[str], gap: float = 1.2) -> DataFram
 
     Words (x0, x1, y0, y1, text, conf) off the line's middle or much too high are dropped first.
     """
-    by, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x0", "word")
-    upper_mid = lambda c: F.element_at(F.sort_array(F.collect_list(c).over(by)), (F.floor(F.count(F.lit(1)).over(by) / 2) + 1).cast("int"))
-    x = words.where(F.trim("text") != "").withColumn("mid", (F.col("y0") + F.col("y1")) / 2).withColumn("hh", F.col("y1") - F.col("y0"))
-    x = x.withColumn("cy", upper_mid(F.col("mid"))).withColumn("wh", upper_mid(F.col("hh")))
-    x = x.where((F.abs(F.col("mid") - F.col("cy")) < 0.5 * F.col("wh")) & (F.col("hh") < 1.8 * F.col("wh")))
-    x = x.withColumn("part", F.sum(F.when(F.col("x0") - F.lag("x1").over(order) > gap * F.col("wh"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    g = Window.partitionBy(*keys, "part")
-    good = F.when(F.col("text").rlike(r"[\p{L}\p{N}]"), F.struct("x0", "word"))
-    x = x.withColumn("_a", F.min(good).over(g)).withColumn("_b", F.max(good).over(g)).where(F.struct("x0", "word").between(F.col("_a"), F.col("_b")))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word", "text"))), lambda s: s["text"]), " ")
-    return x.groupBy(*keys, "part").agg(said.alias("text"), F.avg("conf").alias("conf"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    found = words.where(F.trim("text") != "").select(*keys, F.struct("x0", "word", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("mid"), (F.col("y1") - F.col("y0")).alias("hh"), "text", "conf").alias("_w"))
+    each = lambda a, c: F.transform(a, lambda w: w[c])
+    upper_mid = lambda c: F.element_at(F.sort_array(F.filter(each("_w", c), lambda v: v.isNotNull())), (F.floor(F.size("_w") / 2) + 1).cast("int"))
+    # a line is gathered once, by the keys; all else is worked out inside its array
+    x = found.groupBy(*keys).agg(F.array_sort(F.collect_list("_w")).alias("_w")).withColumns({"_cy": upper_mid("mid"), "_wh": upper_mid("hh")})
+    x = x.withColumn("_w", F.filter("_w", lambda w: (F.abs(w["mid"] - F.col("_cy")) < 0.5 * F.col("_wh")) & (w["hh"] < 1.8 * F.col("_wh"))))
+    starts = F.transform("_w", lambda w, i: F.when((i == 0) | (w["x0"] - F.get("_w", i - 1)["x1"] > gap * F.col("_wh")), i))
+    x = x.withColumn("_at", F.filter(starts, lambda i: i.isNotNull()))
+    parts = F.transform("_at", lambda i, n: F.struct(n.cast("bigint").alias("part"), F.slice("_w", i + 1, F.coalesce(F.get("_at", n + 1), F.size("_w")) - i).alias("w")))
+    place = lambda w: F.struct(w["x0"].alias("x0"), w["word"].alias("word"))
+    x = x.select(*keys, F.inline(parts))
+    good = F.transform(F.filter("w", lambda w: w["text"].rlike(r"[\p{L}\p{N}]")), place)
+    x = x.withColumn("_g", F.struct(F.array_min(good).alias("a"), F.array_max(good).alias("b")))
+    x = x.select(*keys, "part", F.filter("w", lambda w: place(w).between(F.col("_g.a"), F.col("_g.b"))).alias("w")).where(F.size("w") > 0)
+    conf = F.filter(each("w", "conf"), lambda v: v.isNotNull())
+    mean = F.when(F.size(conf) > 0, F.aggregate(conf, F.lit(0.0), lambda s, v: s + v) / F.size(conf))
+    return x.select(*keys, "part", F.array_join(each("w", "text"), " ").alias("text"), mean.alias("conf"), F.array_min(each("w", "x0")).alias("x0"), F.array_max(each("w", "x1")).alias("x1"))
 
 
 def cues(items: DataFrame, key: str, order: str, near: float = 0.15) -> DataFrame:
