@@ -85,6 +85,24 @@ def test_recall_by_similarity_and_few_chance_meetings():
     assert met < 0.3 * 200 * 199 / 2
 
 
+def test_candidates_in_proportion_to_the_table(spark, monkeypatch):
+    """No cells of fingerprints, which texts share by chance; one band more finds more pairs than they would."""
+    monkeypatch.setattr(simhash, "cells", None)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, i % 3))) for i in range(9)] + [(9 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(50))) for i in range(30)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == [0, *range(9, 39)]
+    for s in (0.8, 0.9, 0.95):
+        met, extra = 0, int(400 * (1 - s) / s)
+        draw = np.random.default_rng(int(100 * s))
+        for _ in range(400):
+            both, own = draw.integers(0, 1 << 63, 400, np.uint64), draw.integers(0, 1 << 63, extra, np.uint64)
+            a, b = (simhash.majority(np.concatenate([both, x])) for x in (own[: extra // 2], own[extra // 2 :]))
+            met += ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4
+        assert met / 400 < s**similar.ROWS
+
+
 def test_chains_and_large_groups(spark, monkeypatch):
     """Each text is like its neighbours only, so a comparison with one member of a key doesn't suffice."""
     monkeypatch.setattr(similar, "HUB", 8)
