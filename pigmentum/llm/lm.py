@@ -22,18 +22,18 @@ documents send only their other words to be joined with the table of counts.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import bucket, cut_lineage, map_batches, texts_of
+from .common import bucket, cut_lineage, map_batches
 
 #: The end token's name; no word holds a space.
 END = " "
@@ -46,33 +46,55 @@ SHARD_TOKENS, SHARDS = 300_000, 256
 BLOCKS, SALT = 8, 64
 #: Tokens of the documents that run side by side.
 CHUNK_TOKENS = 3_000_000
+#: Bytes of the texts whose words are told apart at a time (a longer text by itself).
+SLICE_BYTES = 2 << 20
 #: How the model's numbers of words are stored.
 ID = np.dtype("<i2")
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+def words_of(batch: pa.RecordBatch, i: int):
+    """(at, end, names, word, start) for some rows of the texts in column i after another.
+
+    at, end: which rows; names: the different words of theirs; word: the number in names of each
+    word, text after text; start: where each text's words start there, and their end.
+    """
+    texts = pc.ascii_lower(pc.fill_null(batch.column(i), ""))
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    edges = [*np.flatnonzero(np.diff(size, prepend=-1)).tolist(), len(texts)] if len(texts) else []
+    for at, end in zip(edges, edges[1:], strict=False):
+        split = pc.ascii_split_whitespace(texts.slice(at, end - at))
+        coded = split.flatten().dictionary_encode()
+        word, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        start = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        if "" in names:  # beside whitespace at a text's ends
+            kept = word != names.index("")
+            start = np.append(0, np.cumsum(kept))[start]
+            word = word[kept]
+        yield at, end, names, word, start
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
     """(token, c) over all rows of `train`, each with its end token."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: dict[str, int] = {}
 
         def rows():
             names = list(held)
             for at in range(0, len(names), 50_000):
                 some = names[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in some], pa.string()), pa.array([held[x] for x in some], pa.int64())], ["token", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([held[x] for x in some], pa.int64())], ["token", "c"])
 
         for b in batches:
-            for text in texts_of(b, 0):
-                held.update(tokens(text))
-                held[END.encode()] += 1
+            for at, end, names, word, _ in words_of(b, 0):
+                get = held.get
+                for x, n in zip(names, np.bincount(word, minlength=len(names)).tolist(), strict=True):
+                    if n:
+                        held[x] = get(x, 0) + n
+                held[END] = get(END, 0) + end - at
                 if len(held) > 400_000:
                     yield from rows()
-                    held.clear()
+                    held = {}
         yield from rows()
 
     return map_batches(train, ["text"], run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -104,7 +126,7 @@ class Words:
     def __init__(self, names: list[str], counts: list[int], ends: int, total: int, kinds: int):
         self.total, self.kinds, self.ends = total, kinds, ends
         self.count = np.array(counts, np.float64)
-        self.number = {x.encode(): i for i, x in enumerate(names)}
+        self.number = {x: i for i, x in enumerate(names)}
         known = min(len(names), gru.VOCAB - 2)
         self.of = np.full(len(names) + 1, gru.UNK, np.int32)  # number in the head -> in the model; the last: not in the head
         self.of[:known] = np.arange(2, known + 2)
@@ -115,14 +137,9 @@ class Words:
         self.log_all = math.log10(total + 0.1 * (kinds + 1))
         self.log_rest = math.log10(rest + 0.1 * (kinds - (ends > 0) - known + 1))
 
-    def read(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """The words and their numbers in the head (one past its end: not there), without the end token."""
-        words = tokens(text)
-        get, none = self.number.get, len(self.count)
-        return words, np.fromiter(map(get, words, repeat(none)), np.int64, len(words))
-
-    def model_ids(self, head: np.ndarray) -> np.ndarray:
-        return np.append(self.of[head], np.int32(gru.END))
+    def in_head(self, names: list[str]) -> np.ndarray:
+        """The words' numbers in the head (one past its end: not there)."""
+        return np.fromiter(map(self.number.get, names, repeat(len(self.count))), np.int64, len(names))
 
 
 def _mean(pdf: pd.DataFrame) -> np.ndarray:
@@ -186,29 +203,45 @@ def numbered(docs: DataFrame, words) -> DataFrame:
     """
 
     def run(batches):
-        w, part, at = words.value, TaskContext.get().partitionId(), 0
-        log_count = np.log10(w.count + 0.1)
+        w, part, seen = words.value, TaskContext.get().partitionId(), 0
+        none = len(w.count)
+        log_count = np.append(np.log10(w.count + 0.1), 0.0)  # the last: not in the head
         log_end = math.log10(w.ends + 0.1)
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.string(), pa.int64()]
         names = ["row", "doc_id", "held_out", "deal", "n_tokens", "n_known", "base", "rest", "ids", "token", "tf"]
+
+        def rows(*cols):
+            return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(cols[0]), k) for k in kinds[len(cols) :])], names)
+
         for b in batches:
-            rows, more = [], []
-            for doc, text, out, deal in zip(b.column(0).to_pylist(), texts_of(b, 1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                row, at = (part << 40) | at, at + 1
-                all_words, head = w.read(text)
-                ids = w.model_ids(head)
-                known = head[head < len(log_count)]
-                logs = log_count[known]
-                unknown = logs[w.of[known] == gru.UNK]
-                rest = float(unknown.sum()) - int((ids == gru.UNK).sum()) * w.log_rest
-                rows.append((row, doc, out, deal, len(ids), len(known) + (w.ends > 0), float(logs.sum()) + log_end - len(ids) * w.log_all, rest, ids.astype(ID).tobytes()))
-                if len(known) < len(head):
-                    more += [(row, t.decode(), n) for t, n in Counter(all_words[i] for i in np.flatnonzero(head == len(log_count)).tolist()).items()]
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64())], names)
-            for i in range(0, len(more), 50_000):
-                r, t, n = zip(*more[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), *(pa.nulls(len(r), k) for k in kinds[1:]), pa.array(t, pa.string()), pa.array(n, pa.int64())], names)
+            for at, end, own, word, start in words_of(b, 1):
+                n, length = end - at, np.diff(start)
+                row, seen = (part << 40) + np.arange(seen, seen + n), seen + n
+                number = w.in_head(own)
+                head = number[word]
+                doc = np.repeat(np.arange(n), length)
+                total = lambda x, doc=doc, n=n: np.bincount(doc, weights=x, minlength=n)
+                known, logs, model = head < none, log_count[head], w.of[head]
+                unknown = model == gru.UNK
+                ids = np.full(len(word) + n, gru.END, ID)
+                ids[np.arange(len(word)) + doc] = model
+                edges = (start + np.arange(n + 1)) * ID.itemsize
+                yield rows(
+                    pa.array(row),
+                    b.column(0).slice(at, n).cast(pa.int64()),
+                    *(b.column(i).slice(at, n) for i in (2, 3)),
+                    pa.array(length + 1),
+                    pa.array(total(known).astype(np.int64) + (w.ends > 0)),
+                    pa.array(total(logs) + log_end - (length + 1) * w.log_all),
+                    pa.array(total(np.where(unknown, logs - w.log_rest, 0))),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids)]),
+                )
+                away = np.flatnonzero(~known)
+                pairs, tf = np.unique(doc[away] * len(own) + word[away], return_counts=True)
+                for i in range(0, len(pairs), 50_000):
+                    some = pairs[i : i + 50_000]
+                    got = pa.array([own[x] for x in (some % len(own)).tolist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(row[some // len(own)]), *(pa.nulls(len(some), k) for k in kinds[1:-2]), got, pa.array(tf[i : i + 50_000])], names)
 
     return map_batches(docs, ["doc_id", "text", "held_out", "deal"], run, "row long, doc_id long, held_out boolean, deal int, n_tokens long, n_known long, base double, rest double, ids binary, token string, tf long")
 

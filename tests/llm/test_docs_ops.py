@@ -484,3 +484,29 @@ def test_digests(spark, docs):
     ids = bpe.load().hf.encode(text, add_special_tokens=False).ids
     assert q.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and q.n_tokens == len(ids) and out.decoded == TEXT[0]
     assert q.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_lm_words_of_batches_are_those_of_the_texts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["  A b\t\nc ", "", None, " \n", "Ä ÉX\x0bq\x0cr\x1cs", "x b", *(prose(i, 40) for i in range(9))]
+    monkeypatch.setattr(lm, "SLICE_BYTES", 50)
+    got = []
+    for at, end, names, word, start in lm.words_of(pa.record_batch({"text": pa.array(texts)}), 0):
+        assert len(start) == end - at + 1
+        got += [[names[w] for w in word[s:e]] for s, e in zip(start, start[1:], strict=False)]
+    assert got == [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+
+
+def test_gru_multiplies_small_classes_together():
+    """Every row is in one block and at a place of its own class; classes of a few words share a product."""
+    rng = np.random.default_rng(3)
+    cls = np.sort(np.append(np.zeros(5000, int), rng.integers(0, 64, 1500)))
+    hs, seen, room = rng.random((len(cls), 3)).astype(np.float32), [], gru._Room()
+    blocks = list(gru._blocks(cls, 64))
+    for k, m, most, s, e, places in blocks:
+        x = gru._block(hs[s:e], m - k, most, places, room)
+        assert x.shape[:2] == (m - k, most) and (k + places // most == cls[s:e]).all() and (x.reshape(-1, 3)[places] == hs[s:e]).all()
+        assert np.isclose(x.sum(), hs[s:e].sum(), rtol=1e-4)  # all other rows are zero
+        seen += range(s, e)
+    assert seen == list(range(len(cls))) and len(blocks) < 20
