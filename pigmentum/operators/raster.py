@@ -71,6 +71,21 @@ def salient(small: np.ndarray) -> np.ndarray:
     return kernels.segment(small)["mask"]
 
 
+def layers_of(rgb: np.ndarray, boxes: list[tuple[float, float, float, float]], raster: int, mask_of: Callable[[np.ndarray], np.ndarray] = salient) -> tuple[list[tuple], np.ndarray]:
+    """An image's layers (layer, kind, x, y, RGB or RGBA values), the plate first, and which of the plate's pixels are the image's own."""
+    h, w = rgb.shape[:2]
+    _, small_w, small_h = fitted(w, h, raster)
+    small = kernels.resample(rgb, small_w, small_h)
+    whole, own = kernels.plate(rgb, small, mask_of(small), boxes)
+    out = [(0, "background", 0, 0, whole)]
+    solid = kernels.refine_mask(kernels.luminance(rgb))
+    for n, (x, y, bw, bh) in enumerate(boxes, 1):
+        x0, y0, x1, y1 = max(0, int(x)), max(0, int(y)), min(w, int(np.ceil(x + bw))), min(h, int(np.ceil(y + bh)))
+        if x0 < x1 and y0 < y1:
+            out.append((n, "object", x0, y0, np.dstack([rgb, solid * 255.0])[y0:y1, x0:x1]))
+    return out, own
+
+
 def scene_layers(images: DataFrame, boxes: DataFrame, w: int, h: int, raster: int, mask_of: Callable[[np.ndarray], np.ndarray] = salient, key: str = "f") -> DataFrame:
     """(key, layer, kind, x, y, w, h, own, data, png): an image's background plate, layer 0, and a cut-out of each box.
 
@@ -82,22 +97,12 @@ def scene_layers(images: DataFrame, boxes: DataFrame, w: int, h: int, raster: in
     """
     listed = boxes.groupBy(F.col(key).alias("_of")).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h"))).alias("boxes"))
     joined = images.select(key, "v").join(listed, F.col(key).eqNullSafe(F.col("_of")), "left").select(key, "v", "boxes")
-    scale = max(1.0, max(w, h) / raster)
-    size = max(1, int(w / scale + 0.5)), max(1, int(h / scale + 0.5))
 
     def one(row):
-        rgb, found = grey_image(row.v, w, h), [tuple(b[c] for c in "xywh") for b in (row.boxes if row.boxes is not None else [])]
-        small = kernels.resample(rgb, *size)
-        whole, own = kernels.plate(rgb, small, mask_of(small), found)
+        layers, own = layers_of(grey_image(row.v, w, h), [tuple(b[c] for c in "xywh") for b in (row.boxes if row.boxes is not None else [])], raster, mask_of)
+        count = lambda a: int((a[..., 3] > 0).sum() if a.shape[-1] == 4 else own.sum())
         pack = lambda a: np.ascontiguousarray(a).astype(np.uint8).tobytes()
-        out = [(getattr(row, key), 0, "background", 0, 0, w, h, int(own.sum()), pack(whole), kernels.png(whole))]
-        solid = kernels.refine_mask(kernels.luminance(rgb))
-        for n, (x, y, bw, bh) in enumerate(found, 1):
-            x0, y0, x1, y1 = max(0, int(x)), max(0, int(y)), min(w, int(np.ceil(x + bw))), min(h, int(np.ceil(y + bh)))
-            if x0 < x1 and y0 < y1:
-                rgba = np.dstack([rgb, solid * 255.0])[y0:y1, x0:x1]
-                out.append((getattr(row, key), n, "object", x0, y0, x1 - x0, y1 - y0, int((rgba[..., 3] > 0).sum()), pack(rgba), kernels.png(rgba)))
-        return out
+        return [(getattr(row, key), n, kind, x, y, a.shape[1], a.shape[0], count(a), pack(a), kernels.png(a)) for n, kind, x, y, a in layers]
 
     return per_row(joined, one, f"{key} {dict(images.dtypes)[key]}, {LAYER}")
 

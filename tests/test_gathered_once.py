@@ -52,3 +52,9 @@ def test_documents(spark):
     for name, parts in (("snk_07_svg", 0), ("snk_09_layer_document", 1), ("snk_10_node_document", 1), ("snk_11_page_document", 1)):
         text = plan(spark, lambda: QUERIES[name](spark, D))
         assert scans(text, "l_orderkey") == 1 and shuffles(text) == 4 + parts
+
+
+def test_scene_layers(spark):
+    """A frame's pixels are gathered once; its boxes and layers are worked out beside them."""
+    text = plan(spark, lambda: QUERIES["ras_14_scene_layers"](spark, D))
+    assert shuffles(text) == 1 and "Join" not in re.sub("BroadcastNestedLoopJoin|CartesianProduct", "", text)
